@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from . import exact_dedup, url_filter
+from .exact_dedup import op2_exact_dedup
+from .mixing import op10_mixing
+from .packing import op8_packing
+from .quality_classifier import op1_quality_classifier
+from .quality_rules import op9_quality_rules
 from .token_records import op5_token_records
+from .url_filter import op7_url_filter
 
-QUERIES = {f.__name__: f for f in (op5_token_records,)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_exact_dedup, op5_token_records, op7_url_filter, op8_packing, op9_quality_rules, op10_mixing)}
+ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_url_filter": url_filter.oracle()}
