@@ -64,3 +64,28 @@ def single_threaded() -> None:
     """Keep native libraries on the task's own core."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
+
+#: Rows of ids that are broadcast at most; 16 bytes each.
+FEW_IDS = 500_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """``ids`` with a broadcast hint if it has at most ``FEW_IDS`` rows, which is counted; else as it is."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not in ``ids`` (doc_id); those without an id stay."""
+    gone = few(ids.select(F.col("doc_id").alias("gone_id")))
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+
+
+def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows of a schema (DDL, flat) as an Arrow batch."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.record_batch([pa.array(c, KINDS[k]) for c, k in zip(columns, kinds, strict=True)], list(names))

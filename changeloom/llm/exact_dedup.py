@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts_of, written
+from .common import batch, few, texts_of, written
 
 #: Two primes below 2^31 and a base for each.
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
@@ -39,8 +39,6 @@ CHUNK = 1 << 16
 HUGE = 8 << 20
 #: Rows of a group that share a salt.
 SALTED = 64
-#: Rows that are broadcast at most: ids of 40 bytes.
-BROADCAST = 500_000
 
 
 class Fingerprint:
@@ -83,14 +81,6 @@ KEY = "doc_id long, row_key long"
 FACTS = f"{KEY}, fp0 long, fp1 long, n_bytes long, n_points long, text_sha256 string"
 SPANS = f"{FACTS}, whole long, span binary, after long"
 PARTS = "row_key long, keep_key long, salt int, no int, part binary"
-KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-
-
-def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    """Rows of a schema as an Arrow batch."""
-    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    columns = zip(*rows, strict=True) if rows else [()] * len(names)
-    return pa.record_batch([pa.array(c, KINDS[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -163,12 +153,11 @@ def parts(docs: DataFrame, rows: DataFrame) -> DataFrame:
                         out, size = [], 0
             yield batch(out, PARTS)
 
-    few = rows.limit(BROADCAST + 1).count() <= BROADCAST
-    return keyed(docs).join(F.broadcast(rows) if few else rows, "row_key").select("row_key", "keep_key", "salt", "text").mapInArrow(cut, PARTS)
+    return keyed(docs).join(few(rows), "row_key").select("row_key", "keep_key", "salt", "text").mapInArrow(cut, PARTS)
 
 
-def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE, salted: int = SALTED) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
+def decisions(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE, salted: int = SALTED) -> DataFrame:
+    """doc_id, row_key, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
     rest = fingerprints(docs, primes, huge).withColumn("level", F.lit(0))
     settled, level = [], 0
     while True:
@@ -189,11 +178,25 @@ def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: in
     out = None
     for rows in settled:
         found = rows.join(leaders(rows), GROUP)
-        found = found.select("doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "text_sha256")
+        found = found.select("doc_id", "row_key", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "text_sha256")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE, salted: int = SALTED) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
+    return decisions(docs, primes, huge, salted).drop("row_key")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents, with all of their columns, that stay; of rows that repeat id and text one stays."""
+    found = written(decisions(docs).select("row_key", "kept"), "decisions")
+    gone = few(found.where("not kept").select(F.col("row_key").alias("gone_key")).distinct())
+    out = docs.join(gone, F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("gone_key"), "left_anti")
+    again = found.where("kept").groupBy("row_key").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if again else out
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on every document."""
     return exact_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

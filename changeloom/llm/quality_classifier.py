@@ -15,12 +15,15 @@ is 0.5. Repeated rows are scored each; other columns are ignored; an empty table
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import texts_of
+from .textstats import counts as counts_of
 from .textstats import features, held_out, labelled_counts, with_counts
 
 #: Labelled rows that are used at most; shares of the pooled covariance and of the diagonal; clipping of standardised
@@ -96,6 +99,19 @@ def score(docs: DataFrame, model: Discriminant | None, threshold: float = THRESH
     return with_counts(docs, made, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Discriminant | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all of their columns, whose score reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows and model:
+                found = np.array([counts_of(x) for x in texts_of(b["text"])], dtype=np.int64)
+                b = b.filter(pa.array(model.scores(found) >= threshold))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
