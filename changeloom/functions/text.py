@@ -48,7 +48,8 @@ SYNC_MESSAGE = r"(?iU)\b(auto-sync|sync(ed)? with upstream|upstream sync|merge u
 #: Line ends as Python's ``splitlines`` knows them, and white space at either end as ``strip`` does.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
-#: A key that names a secret, for snippets.
+#: Marks around a match, any key, and a key that names a secret, for snippets.
+_OPEN, _SHUT, _NAME = "\ue000", "\ue001", r"([A-Za-z_][A-Za-z0-9_-]*)"
 _SECRET_KEY = r"(?=[A-Za-z0-9_-]*?(?:api[_-]?key|token|password|secret))([A-Za-z_][A-Za-z0-9_-]*)"
 
 
@@ -123,14 +124,19 @@ def redact(c: Column) -> Column:
     return c
 
 
-def redact_snippet(c: Column) -> Column:
-    """Line of code without the values given to keys that name a secret, and without bearer tokens.
+def _redact_keyed(c: Column, pattern: str, by: str) -> Column:
+    """Replace matches whose key names a secret. Any match uses up its text, so all are marked first, then told apart."""
+    marked = F.regexp_replace(c, pattern, f"{_OPEN}$0{_SHUT}")
+    secret = pattern.removeprefix("(?iU)").replace(_NAME, _SECRET_KEY).replace(r"[^\s;&]+", rf"[^\s;&{_SHUT}]+").replace("[^'\"]+", f"[^'\"{_SHUT}]+")
+    keyed = F.regexp_replace(marked, f"(?iU){_OPEN}{secret}{_SHUT}", by)
+    return F.regexp_replace(keyed, f"[{_OPEN}{_SHUT}]", "")
+
 
-    Whether a key names one is a look-ahead inside the pattern, as a replacement can't decide.
-    """
-    c = F.regexp_replace(c, rf"(?iU)(['\"]){_SECRET_KEY}\1\s*:\s*(['\"])[^'\"]+\3", "$1$2$1: $3<redacted>$3")
-    c = F.regexp_replace(c, rf"(?iU)\b{_SECRET_KEY}\b\s*=\s*(['\"])[^'\"]+\2", "$1=$2<redacted>$2")
-    c = F.regexp_replace(c, rf"(?iU)\b{_SECRET_KEY}\b\s*=\s*(?!['\"])[^\s;&]+", "$1=<redacted>")
+def redact_snippet(c: Column) -> Column:
+    """Line of code without the values given to keys that name a secret, and without bearer tokens."""
+    c = _redact_keyed(c, rf"(?iU)(['\"]){_NAME}\1\s*:\s*(['\"])[^'\"]+\3", "$1$2$1: $3<redacted>$3")
+    c = _redact_keyed(c, rf"(?iU)\b{_NAME}\b\s*=\s*(['\"])[^'\"]+\2", "$1=$2<redacted>$2")
+    c = _redact_keyed(c, rf"(?iU)\b{_NAME}\b\s*=\s*(?!['\"])[^\s;&]+", "$1=<redacted>")
     return F.regexp_replace(c, r"(?iU)(Bearer\s+)[A-Za-z0-9._~+/=-]+", "$1<redacted>")
 
 
