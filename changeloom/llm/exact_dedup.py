@@ -161,7 +161,9 @@ def decisions(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUG
     rest = fingerprints(docs, primes, huge).withColumn("level", F.lit(0))
     settled, level = [], 0
     while True:
-        groups = written(leaders(rest).where("group_size > 1 and n_bytes > 0").withColumn("salts", F.ceil(F.col("group_size") / F.lit(salted)).cast("int")), "groups")
+        # Written before it is joined, so that both sides of the join are plain shuffles, which the engine can split.
+        lead = written(leaders(rest), "leaders")
+        groups = lead.where("group_size > 1 and n_bytes > 0").withColumn("salts", F.ceil(F.col("group_size") / F.lit(salted)).cast("int"))
         members = rest.join(groups, GROUP).where("row_key != keep_key")
         members = written(members.select("row_key", "keep_key", F.pmod(F.xxhash64("row_key"), "salts").cast("int").alias("salt")), "members")
         theirs = parts(docs, members)
@@ -170,14 +172,15 @@ def decisions(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUG
         both = theirs.join(ours, ["keep_key", "salt", "no"], "left")
         unequal = written(both.where(~F.col("part").eqNullSafe(F.col("other"))).select("row_key").distinct(), "unequal")
         if unequal.isEmpty():
-            settled.append(rest)
+            settled.append((rest, lead))
             break
         level += 1
-        settled.append(rest.join(unequal, "row_key", "left_anti"))
+        alone = rest.join(unequal, "row_key", "left_anti")
+        settled.append((alone, written(leaders(alone), "leaders")))
         rest = written(rest.join(unequal, "row_key", "left_semi").withColumn("level", F.lit(level)), "collided")
     out = None
-    for rows in settled:
-        found = rows.join(leaders(rows), GROUP)
+    for rows, lead in settled:
+        found = rows.join(lead, GROUP)
         found = found.select("doc_id", "row_key", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "text_sha256")
         out = found if out is None else out.unionByName(found)
     return out
