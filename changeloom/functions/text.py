@@ -112,7 +112,7 @@ def slug(c: Column) -> Column:
 
 def stem(upstream: Column, owner: Column, branch: Column) -> Column:
     """File stem of an instance."""
-    return F.concat_ws("--", slug(upstream), slug(owner), slug(branch))
+    return F.concat_ws("--", F.translate(upstream, "/", "-"), slug(owner), slug(branch))
 
 
 def redact(c: Column) -> Column:

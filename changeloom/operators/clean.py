@@ -158,14 +158,29 @@ def funnel(steps: list[tuple[str, str, DataFrame]]) -> DataFrame:
 
 
 def new_packages(diffs: DataFrame, index: DataFrame) -> DataFrame:
-    """Five counts over rows with files: rows that add or modify packages, or both, or neither, with shares."""
+    """Counts over all rows and their shares: rows that modify a known package, add one, do both, or only add."""
     known = index.select(F.col("repo").alias("upstream"), P.parent(F.col("path")).alias("d")).groupBy("upstream").agg(F.collect_set("d").alias("dirs"))
     rows = diffs.join(F.broadcast(known), "upstream", "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<string>")))
-    added = F.exists("files", lambda f: (P.name(f["filename"]) == "SKILL.md") & (f["status"] == "added"))
-    modified = F.exists("files", lambda f: owner_dir(f["filename"], F.col("dirs")).isNotNull())
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    counts = rows.select(F.coalesce(added, F.lit(False)).alias("a"), F.coalesce(modified, F.lit(False)).alias("m")).agg(
-        F.count(F.lit(1)).alias("total"), one(F.col("a")).alias("adds"), one(F.col("m")).alias("modifies"), one(F.col("a") & F.col("m")).alias("both"), one(~F.col("a") & ~F.col("m")).alias("neither")
-    )
-    long = counts.select("total", F.explode(F.map_from_arrays(F.array(*map(F.lit, ("total", "adds", "modifies", "both", "neither"))), F.array("total", "adds", "modifies", "both", "neither"))).alias("kind", "n"))
-    return long.select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0).alias("share"))
+    dirs, of = F.col("dirs"), lambda f: P.parent(f["filename"])
+    added = F.exists("files", lambda f: (P.name(f["filename"]) == "SKILL.md") & (f["status"] == "added") & ~F.array_contains(dirs, of(f)))
+    modified = F.exists("files", lambda f: owner_dir(f["filename"], dirs).isNotNull() | owner_dir(of(f), dirs).isNotNull())
+    one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    a, m = F.col("a"), F.col("m")
+    kinds = {"modifies_existing": m, "adds_new": a, "modifies_existing_and_adds_new": a & m, "adds_new_only": a & ~m}
+    flags = rows.select(F.coalesce(added, F.lit(False)).alias("a"), F.coalesce(modified, F.lit(False)).alias("m"))
+    counts = flags.agg(F.count(F.lit(1)).alias("total"), *[one(c).alias(k) for k, c in kinds.items()])
+    long = counts.select("total", F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds))).alias("category", "count"))
+    return long.select("category", "count", F.when(F.col("total") > 0, F.col("count") / F.col("total")).otherwise(0.0).alias("share_of_total"), F.col("total").alias("denominator"))
+
+
+def of_upstream(forks: DataFrame, upstream: str, most: int | None = None) -> DataFrame:
+    """Forks of one upstream, the first ``most`` in the order of the input."""
+    rows = forks.where(F.col("upstream") == upstream)
+    return rows if most is None else rows.orderBy("row_no").limit(most)
+
+
+def compared(raw: DataFrame) -> DataFrame:
+    """Typed records from raw comparisons: files below the prefix, and a status that keeps a tombstone for the rest."""
+    kept = F.filter(F.coalesce("files", F.array().cast(raw.schema["files"].dataType)), lambda f: (F.col("prefix") == "") | f["filename"].startswith(F.col("prefix")))
+    status = F.when(~F.col("found"), "not_found").when(F.size("files") > 0, "ok").otherwise("no_diff")
+    return raw.withColumn("files", kept).withColumn("status", status).withColumn("head_sha", F.try_element_at(F.col("commits.sha"), F.lit(-1)))

@@ -179,7 +179,7 @@ select doc_id, md5(trim(regexp_replace(regexp_replace(m, '(?im)^(?:{X.FOOTERS}):
     "redact_snippet": "with t as (select doc_id, regexp_extract(text, '[A-Za-z]+', 0) as w from documents) select doc_id, case when w = '' then 'api_key = \"\" color = ''''; my-token=; {\"password\": \"\"} Bearer ' else 'api_key=\"<redacted>\" color = ''' || w || '''; my-token=<redacted>; {\"password\": \"<redacted>\"} Bearer <redacted>' end as line from t",
     "pseudonym_digest": f"select c_custkey, 'customer-' || substr(sha256('{A.SALT}:customer:' || c_name), 1, 12) as pseudonym from customer",
     "pseudonym_uuid5": f"with t as (select c_custkey, c_name, c_mktsegment || '::' || c_name || '::main' as v from customer) select c_custkey, {uuid5('v')} as id, c_name as kept from t",
-    "label_parsing": "select n_nationkey, 'a|' || n_name || '|b' as labels, regexp_replace(n_name, '[^A-Za-z0-9._-]+', '-', 'g') || '--a-b-c--x' as stem from nation",
+    "label_parsing": "select n_nationkey, 'a|' || n_name || '|b' as labels, replace(n_name, '/', '-') || '--a-b-c--x' as stem from nation",
     "csv_decimals": "select c_custkey, printf('%.4f', c_acctbal / 64) as x from customer",
     "security_matches": f"{BY_DOC} select * from d",
     "security_summary": f"{BY_DOC} select count(*) as instances, sum(flagged::int)::bigint as flagged, sum((severity = 'CRITICAL')::int)::bigint as critical, sum((severity = 'WARNING')::int)::bigint as warning, sum(matches)::bigint as matches, round(sum(flagged::int) / count(*), 6) as prevalence from d",

@@ -87,7 +87,8 @@ def test_shared_history_and_scope(spark):
     index = spark.createDataFrame([("u", "skills/foo/SKILL.md")], "repo string, path string")
     found = C.in_scope(diffs, index).collect()
     assert [(r.row_no, [f.filename for f in r.files]) for r in found] == [(0, ["skills/foo/SKILL.md"])]
-    assert {r.kind: r.n for r in C.new_packages(diffs, index).collect()} == {"total": 4, "adds": 0, "modifies": 3, "both": 0, "neither": 1}
+    new = spark.createDataFrame([("u", [("skills/new/SKILL.md", "added")]), ("u", [("skills/foo/SKILL.md", "added"), ("skills/new/SKILL.md", "added")]), ("v", [("x", "added")])], f"upstream string, files {FILE}")
+    assert {r.category: (r["count"], r.denominator) for r in C.new_packages(new, index).collect()} == {"modifies_existing": (1, 3), "adds_new": (2, 3), "modifies_existing_and_adds_new": (1, 3), "adds_new_only": (1, 3)}
 
 
 def test_clean_commits(spark):
@@ -242,3 +243,58 @@ def test_incremental(spark, tmp_path):
     (src / "2.json").write_text('{"k": 2, "v": "c"}\n{"k": 3, "v": "d"}\n')
     run()
     assert {tuple(r) for r in spark.read.parquet(sink).collect()} == {(1, "a"), (2, "b"), (3, "d")}
+
+
+def test_features(spark):
+    from changeloom.operators import features as T
+
+    kind = "row_no long, upstream string, fork_owner string, fork_branch string, head_sha string, commits array<struct<sha string, message string>>, files array<struct<filename string, previous_filename string, status string, additions bigint, deletions bigint, patch string>>"
+    files = [("s/SKILL.md", None, "modified", 2, 1, "@@\n ---\n+description: é\n ---"), ("s/scripts/a.py", None, "added", 3, None, None), ("s/AGENTS.md", "s/old", "renamed", 0, 0, "")]
+    df = spark.createDataFrame([(1, "u/r", "me", "a b", "h", [("1", "x")], files), (0, "u/r", "me", "a b", "first", [("1", "Merge x y")], files[:1])], kind)
+    row = T.candidates(df).first()
+    assert (row.modification_id, row.head_sha, row.has_merge_commit, row.skill_md_file_count, row.total_additions, row.skill_patch_chars) == ("u/r::me::a b", "first", True, 1, 2, len(files[0][5]))
+    inputs = T.label_inputs(T.candidates(df.where("row_no = 1")).withColumn("sample_stratum", F.lit("full")))
+    assert inputs.first().stem == "u-r--me--a-b" and inputs.first().files[1].deletions == 0
+    inst = T.analysis_instances(inputs, spark.createDataFrame([("u-r--me--a-b", [T.METADATA])], "stem string, labels array<string>"))
+    assert [(r.group, r.instances, r.share) for r in T.metadata_split(inst).collect()] == [("metadata_instances", 1, 1.0), ("on_description", 1, 1.0), ("other_fields_only", 0, 0.0)]
+    assert [r.category for r in T.surface_prevalence(inst).collect()] == ["SKILL.md", "AGENTS.md", "scripts"]
+    assert [r.file for r in T.companion_prevalence(inst).collect()] == ["AGENTS.md"]
+    text = inputs.select(T.render_diff(F.col("commits"), F.col("files")).alias("t")).first().t
+    assert text.startswith("## Commit messages\n\n\n```\nx\n```\n\n\n## Files\n\n\n### `s/SKILL.md`  (modified, +2/-1)") and "_renamed from `s/old`_\n\n_(empty patch" in text
+
+
+def test_pages():
+    from changeloom.sources import remote as W
+
+    calls, waits = [], []
+
+    def listing(url, headers):
+        calls.append(url)
+        n = int(url.rsplit("page=", 1)[1])
+        if len(calls) == 1:
+            return 500, {}, ""
+        return 200, {"link": '<x>; rel="next"'} if n < 3 else {}, json.dumps([] if n == 2 else [{"i": n}])
+
+    assert [x["i"] for x in W.pages("http://x/forks", {}, None, listing, waits.append)] == [1, 3] and waits == [1]
+    search = lambda url, _: (200, {}, json.dumps({"items": [{"i": i} for i in range(100 if url.endswith("page=1") else 40)]}))
+    assert len(list(W.pages("http://x/search?q=a", {}, 1000, search))) == 140 and len(list(W.pages("http://x/s?q=a", {}, 30, search))) == 30
+    assert list(W.pages("http://x", {}, None, lambda u, h: (404, {}, ""))) == []
+    with pytest.raises(RuntimeError):
+        W.fetch("http://x", {}, lambda u, h: (429, {"x-ratelimit-reset": "0"}, ""), waits.append)
+
+
+def test_checkout(spark, tmp_path):
+    from changeloom.sources import remote as W
+
+    for p in ("a/SKILL.md", "b/c/SKILL.md", "b/x.md"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(f"---\nname: {p}\n---\n# T\n")
+    assert sorted(r.path for r in W.checkout_definitions(spark, str(tmp_path)).collect()) == ["a/SKILL.md", "b/c/SKILL.md"]
+    assert [r.path for r in W.checkout_definitions(spark, str(tmp_path), "b/").collect()] == ["b/c/SKILL.md"]
+
+
+def test_compared(spark):
+    kind = "found boolean, prefix string, commits array<struct<sha string, message string>>, files array<struct<filename string>>"
+    rows = [(True, "s/", [("1", "a"), ("2", "b")], [("s/x",), ("t",)]), (True, "s/", [], [("t",)]), (False, "", None, None), (True, "", [], [("t",)])]
+    out = C.compared(spark.createDataFrame(rows, kind)).collect()
+    assert [(r.status, r.head_sha, len(r.files)) for r in out] == [("ok", "2", 1), ("no_diff", None, 0), ("not_found", None, 0), ("ok", None, 1)]
