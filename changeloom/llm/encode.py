@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from .common import single_threaded
 
 #: White space as the tokenizers' regular expressions know it (the Unicode property).
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+$")
 #: If none of these is in a text, its only white space is single spaces and newlines. The first stands for a cut.
 _ODD = (b"\0", b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
