@@ -46,7 +46,7 @@ LOCAL_PATHS = (r"(?U)/Users/[^/\s]+", r"(?U)/home/[^/\s]+", r"(?iU)\b[A-Z]:\\Use
 SYNC_BRANCH = r"(?iU)\b(auto-sync|sync/upstream|upstream-\d|merge-upstream)\b"
 SYNC_MESSAGE = r"(?iU)\b(auto-sync|sync(ed)? with upstream|upstream sync|merge upstream)\b"
 #: Line ends as Python's ``splitlines`` knows them, and white space at either end as ``strip`` does.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 #: Marks around a match, any key, and a key that names a secret, for snippets.
 _OPEN, _SHUT, _NAME = "\ue000", "\ue001", r"([A-Za-z_][A-Za-z0-9_-]*)"
