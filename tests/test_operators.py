@@ -298,3 +298,24 @@ def test_compared(spark):
     rows = [(True, "s/", [("1", "a"), ("2", "b")], [("s/x",), ("t",)]), (True, "s/", [], [("t",)]), (False, "", None, None), (True, "", [], [("t",)])]
     out = C.compared(spark.createDataFrame(rows, kind)).collect()
     assert [(r.status, r.head_sha, len(r.files)) for r in out] == [("ok", "2", 1), ("no_diff", None, 0), ("not_found", None, 0), ("ok", None, 1)]
+
+
+def test_audit(spark):
+    from changeloom.operators import audit as T
+
+    df = spark.createDataFrame([(f"r{i:04d}",) for i in range(1220)], "k string")
+    drawn = [r.k for r in T.cochran_draw(df, "k").collect()]
+    assert len(drawn) == 293 and drawn == sorted(drawn)
+    seen, verdict = T.verdict_state(F.col("v"), F.col("x"))
+    states = spark.createDataFrame([(True, None), (True, "wrong"), (None, "wrong"), (False, None)], "v boolean, x string").select(seen, verdict).collect()
+    assert [tuple(r) for r in states] == [(True, "correct"), (True, "wrong"), (False, None), (False, None)]
+    kind = "record string, set string, predicted_labels string, remove_labels array<string>, add_labels array<string>"
+    a = spark.createDataFrame([("1", "sample", "x, y", ["y"], []), ("2", "low-confidence", "(none)", None, ["z"])], kind)
+    b = spark.createDataFrame([("1", "sample", "x, y", [], []), ("2", "low-confidence", "(none)", [], ["z"])], kind)
+    rows = {r.comparison: r for r in T.agreement_rows([a, b], a).collect()}
+    assert rows["auditors"].mean_jaccard == 0.75 and rows["model, sample"].precision == 0.5 and rows["model, all"].records == 2 and rows["model, low-confidence"].recall == 0.0
+    with pytest.raises(ValueError):
+        T.first_two([a])
+    out = spark.createDataFrame([([("p", "low", [("patch", " s ", "f.md")])], "why", "sufficient", False)], "a array<struct<name string, confidence string, evidence array<struct<type string, summary string, file string>>>>, r string, s string, u boolean")
+    text = out.select(T.render_labels(*map(F.col, "arsu")).alias("t")).first().t
+    assert text == "## Model prediction\n\n\n### `p` — confidence: **low** ⚠️ LOW\n\n- s\n  ↳ `f.md`\n\n\n## Rationale\n\nwhy\n\n\n---\n_patch_sufficiency: sufficient · uninformative_commit_messages: False_"
