@@ -154,7 +154,7 @@ select id, array_to_string(list_sort(kept || list_filter(d, lambda x: not list_c
 k as (select *, n11 + n10 + n01 + n00 as n from c), e as (select *, (n11 + n00) / n as po, ((n11 + n10) * (n11 + n01) + (n01 + n00) * (n10 + n00)) / (n * n) as pe from k) select n11, n10, n01, n00, round((po - pe) / (1 - pe), 6) as kappa from e""",
     "why_family_lift": """with e as (select event_type as why, json_extract_string(props, '$.k') as what from events), n as (select count(*) as n from e), y as (select why, count(*) as why_count from e where why is not null group by 1 having count(*) >= 5), x as (select what, count(*) as what_count from e where what is not null group by 1),
 b as (select why, what, count(*) as both_ from e group by 1, 2) select why, what, why_count, what_count, coalesce(both_, 0) as "both", round(coalesce(both_, 0) / why_count / (what_count / n), 6) as lift from y cross join x left join b using (why, what), n""",
-    "expression_share": "with n as (select count(distinct user_id) as n from events) select event_type as expression, count(*) as k, round(count(*) / any_value(n), 6) as share from events, n where event_type is not null group by 1",
+    "expression_share": "with e as (select event_type as x from events union all select json_extract_string(props, '$.k') from events union all select event_type from events) select x as expression, count(*) as k, round(count(*) / (select count(*) from events), 6) as share from e group by 1",
     "wilson_bounds": """with g as (select source, sum(quality)::bigint as k, count(*) as n from labels join documents using (doc_id) group by 1), p as (select *, k / n as p, 1.96 * 1.96 as zz from g)
 select source, k, n, round((p + zz / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n), 6) as low, round((p + zz / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n), 6) as high from p""",
     "cochran_size": "with g as (select coalesce(source, '(all)') as source, count(*) as n from documents group by rollup (source)), z as (select *, 1.96 * 1.96 * 0.5 * 0.5 / (0.05 * 0.05) as n0 from g) select source, n, least(ceil(n0 * n / (n0 + n - 1)), n)::bigint as size from z",

@@ -163,8 +163,8 @@ def why_family_lift(spark, sf):
 
 @query
 def expression_share(spark, sf):
-    """Share of types of events among the events of users, repeats counted."""
-    rows = table(spark, sf, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("e"))
+    """Share of the types and property keys of events over all events, repeats within an event counted."""
+    rows = table(spark, sf, "events").select(F.array("event_type", F.get_json_object("props", "$.k"), "event_type").alias("e"))
     return rounded(M.expression_share(rows, "e"))
 
 
