@@ -237,3 +237,13 @@ def fits(words, a, target):
 def test_held_out(spark):
     rows = spark.range(200).select(F.col("id").alias("doc_id"), S.held_out().alias("h")).collect()
     assert [r.h for r in rows] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)]
+
+
+def test_mixing_with_very_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame(mix_rows(), "doc_id long, text string, source string")
+    target = M.Target(entropy=0.99, repeats=2.0)
+    few = sorted(map(tuple, M.schedule(docs, target).collect()), key=repr)
+    monkeypatch.setattr(M, "FEW", 1)  # nothing is collected or broadcast
+    monkeypatch.setattr(M, "STEPS", 25)
+    many = sorted(map(tuple, M.schedule(docs, target).collect()), key=repr)
+    assert abs(len(few) - len(many)) <= 2 and len(set(few) & set(many)) >= len(few) - 4
