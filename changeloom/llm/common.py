@@ -30,10 +30,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and outlives executors."""
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and outlives executors.
+
+    The table goes when the application ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
