@@ -5,6 +5,9 @@ Regular expressions are Java's. ``(?U)`` makes ``\\w``, ``\\s`` and ``\\b`` foll
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +45,8 @@ SECRETS = (
     (r"(?iU)\b(api[_-]?key|token|secret|password)\s*[:=]\s*['\"]?[^'\"\s,;}]+", "$1=<REDACTED>"),
 )
 LOCAL_PATHS = (r"(?U)/Users/[^/\s]+", r"(?U)/home/[^/\s]+", r"(?iU)\b[A-Z]:\\Users\\[^\\\s]+")
+#: For each of these, texts of which a match holds one whatever its case: others needn't be searched.
+HOLDS = (("gh",), ("github_pat_",), ("sk-",), ("key", "token", "secret", "password"), ("/users/",), ("/home/",), ("users\\",))
 # Branch names and messages of rows that only follow their upstream.
 SYNC_BRANCH = r"(?iU)\b(auto-sync|sync/upstream|upstream-\d|merge-upstream)\b"
 SYNC_MESSAGE = r"(?iU)\b(auto-sync|sync(ed)? with upstream|upstream sync|merge upstream)\b"
@@ -64,23 +69,32 @@ def lines(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def bound(c: Column, f) -> Column:
+    """``f`` of a column that is evaluated once, however often ``f`` names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def subject(message: Column) -> Column:
-    """First line of the stripped message."""
-    return F.split(strip(message), LINE_END)[0]
+    """First line of the stripped message; only that line is read."""
+    end = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+    return F.regexp_extract(message, rf"\A{_BLANK}*((?:(?!{end})(?s:.))*?)(?={_BLANK}*\z|{end})", 1)
 
 
 def is_empty(message: Column) -> Column:
     """Whether a message is null or has white space alone."""
-    return F.coalesce(strip(message) == "", F.lit(True))
+    return ~F.coalesce(message.rlike(rf"(?!{_BLANK})(?s:.)"), F.lit(False))
 
 
 def _first(message: Column, classes) -> Column:
     """The first class whose pattern is found in the subject."""
-    out = F.when(is_empty(message), "empty")
-    of = subject(message)
-    for name, pattern in classes:
-        out = out.when(of.rlike(pattern), name)
-    return out
+
+    def choose(of: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, pattern in classes:
+            out = out.when(of.rlike(pattern), name)
+        return out
+
+    return F.when(is_empty(message), "empty").otherwise(bound(subject(message), choose))
 
 
 def noise_class(message: Column) -> Column:
@@ -116,11 +130,14 @@ def stem(upstream: Column, owner: Column, branch: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Text without secrets and local user paths."""
-    for pattern, by in SECRETS:
-        c = F.regexp_replace(c, pattern, by)
-    for pattern in LOCAL_PATHS:
-        c = F.regexp_replace(c, pattern, "<LOCAL_USER_PATH>")
+    """Text without secrets and local user paths. A pattern is only searched where a text holds what it needs."""
+    rules = [*SECRETS, *((p, "<LOCAL_USER_PATH>") for p in LOCAL_PATHS)]
+
+    def step(pattern: str, by: str, needs: tuple[str, ...]):
+        return lambda x: F.when(reduce(or_, (F.contains(F.lower(x), F.lit(t)) for t in needs)), F.regexp_replace(x, pattern, by)).otherwise(x)
+
+    for (pattern, by), needs in zip(rules, HOLDS, strict=True):
+        c = bound(c, step(pattern, by, needs))
     return c
 
 

@@ -31,9 +31,11 @@ def prevalence(instances: DataFrame) -> DataFrame:
     """One row for each category: hits, share, weighted share, and how much of skills and upstreams it reaches.
 
     An instance credits all of its skills to each of its categories. Hits and weights are summed by (category, upstream)
-    and reach is counted on distinct keys, so no distinct set is built in a single place.
+    and reach is counted on distinct keys, so no distinct set is built in a single place. Instances are cached, as six
+    branches read them (``spark.catalog.clearCache()`` lets go of them); lost blocks are made again.
     """
-    rows = weighted(instances.select("id", "upstream", F.array_distinct("categories").alias("categories"), F.array_distinct("skills").alias("skills")))
+    rows = instances.select("id", "upstream", F.array_distinct("categories").alias("categories"), F.array_distinct("skills").alias("skills"))
+    rows = weighted(rows.persist())
     long = rows.select("upstream", "w", "skills", F.explode("categories").alias("category"))
     by_upstream = long.groupBy("category", "upstream").agg(F.count(F.lit(1)).alias("hits"), F.sum("w").alias("w"))
     hits = by_upstream.groupBy("category").agg(F.sum("hits").alias("hits"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("upstreams"))
@@ -64,14 +66,14 @@ def share(rows: DataFrame, key: str) -> DataFrame:
 def bundles(instances: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """Sets of 2 to 3 categories that occur together: support, reach, and lift over independence, ranked.
 
-    Combinations are formed inside each row's array, without a self-join.
+    Combinations are formed inside each row's array, without a self-join. Instances are cached, as in ``prevalence``.
     """
-    rows = instances.select("id", "upstream", F.array_sort(F.array_distinct("categories")).alias("c"), F.array_distinct("skills").alias("skills"))
+    rows = instances.select("id", "upstream", F.array_sort(F.array_distinct("categories")).alias("c"), F.array_distinct("skills").alias("skills")).persist()
     pairs = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.greatest(F.size("c") - i - 1, F.lit(0))), lambda y: F.array(x, y))))
     triples = F.flatten(F.transform("c", lambda x, i: F.flatten(F.transform(F.slice("c", i + 2, F.greatest(F.size("c") - i - 1, F.lit(0))), lambda y: F.transform(F.filter(F.slice("c", i + 2, F.greatest(F.size("c") - i - 1, F.lit(0))), lambda z: z > y), lambda z: F.array(x, y, z))))))
     made = [c for n, c in ((2, pairs), (3, triples)) if n in sizes]
     long = rows.select("id", "upstream", "skills", F.explode(F.concat(*made)).alias("b"))
-    n = instances.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("upstream").alias("all_upstreams"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("upstream").alias("all_upstreams"))
     single = rows.select(F.explode("c").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("k"))
     by_upstream = long.groupBy("b", "upstream").agg(F.count(F.lit(1)).alias("k"))
     found = by_upstream.groupBy("b").agg(F.sum("k").alias("support"), F.count(F.lit(1)).alias("upstreams"))

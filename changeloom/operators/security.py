@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import bound
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -61,7 +64,7 @@ def one_of(patterns: tuple[str, ...]) -> str:
 
 def passes_global(line: Column) -> Column:
     """Whether a line holds any of the texts that rules ask for."""
-    return line.rlike("(?i)" + "|".join("".join("\\" + c if not (c.isalnum() or c in "_ \t") else c for c in t) for t in GLOBAL))
+    return bound(F.lower(line), lambda low: reduce(or_, (F.contains(low, F.lit(t)) for t in GLOBAL)))
 
 
 def rule_matches(line: Column, rule: Rule) -> Column:
