@@ -45,8 +45,8 @@ SECRETS = (
     (r"(?iU)\b(api[_-]?key|token|secret|password)\s*[:=]\s*['\"]?[^'\"\s,;}]+", "$1=<REDACTED>"),
 )
 LOCAL_PATHS = (r"(?U)/Users/[^/\s]+", r"(?U)/home/[^/\s]+", r"(?iU)\b[A-Z]:\\Users\\[^\\\s]+")
-#: For each of these, texts of which a match holds one whatever its case: others needn't be searched.
-HOLDS = (("gh",), ("github_pat_",), ("sk-",), ("key", "token", "secret", "password"), ("/users/",), ("/home/",), ("users\\",))
+#: A text without any of these, in lower case, has no match.
+HOLDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "key", "token", "secret", "password", "/users/", "/home/", "users\\")
 # Branch names and messages of rows that only follow their upstream.
 SYNC_BRANCH = r"(?iU)\b(auto-sync|sync/upstream|upstream-\d|merge-upstream)\b"
 SYNC_MESSAGE = r"(?iU)\b(auto-sync|sync(ed)? with upstream|upstream sync|merge upstream)\b"
@@ -130,15 +130,12 @@ def stem(upstream: Column, owner: Column, branch: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """Text without secrets and local user paths. A pattern is only searched where a text holds what it needs."""
-    rules = [*SECRETS, *((p, "<LOCAL_USER_PATH>") for p in LOCAL_PATHS)]
-
-    def step(pattern: str, by: str, needs: tuple[str, ...]):
-        return lambda x: F.when(reduce(or_, (F.contains(F.lower(x), F.lit(t)) for t in needs)), F.regexp_replace(x, pattern, by)).otherwise(x)
-
-    for (pattern, by), needs in zip(rules, HOLDS, strict=True):
-        c = bound(c, step(pattern, by, needs))
-    return c
+    """Text without secrets and local user paths. Texts that hold nothing that any pattern needs aren't searched."""
+    out = c
+    for pattern, by in [*SECRETS, *((p, "<LOCAL_USER_PATH>") for p in LOCAL_PATHS)]:
+        out = F.regexp_replace(out, pattern, by)
+    needed = bound(F.lower(c), lambda low: reduce(or_, (F.contains(low, F.lit(t)) for t in HOLDS)))
+    return F.when(needed, out).otherwise(c)
 
 
 def _redact_keyed(c: Column, pattern: str, by: str) -> Column:
