@@ -199,4 +199,9 @@ select page_id, arg_max(dir, length(dir)) as owner from p left join d on path =
 regexp_extract(regexp_extract(url, '://([^?#]*)', 1), '[^/]+$', 0) as leaf from pages) select case when leaf = '' and page_id % 10 in (1, 2, 7, 9, 3) then case page_id % 10 when 3 then 'assets' when 2 then 'additional directories' else 'additional files' end else s end as surface, count(*) as n from s group by 1""",
     "funnel_counts": "with u as (select min(doc_id) as doc_id from documents group by text) select 0::bigint as no, 'read' as step, 'documents' as unit, count(*) as count from documents union all select 1, 'unique', 'documents', count(*) from u union all select 2, 'labelled', 'documents', count(*) from u join labels using (doc_id) union all select 3, 'good', 'documents', count(*) from u join labels using (doc_id) where quality = 1",
     "turn_window_rank": "select conv_id, turn, row_number() over (partition by conv_id order by length(text) desc, turn) as rank, sum((role = 'assistant')::int) over (partition by conv_id order by turn rows unbounded preceding)::bigint as answers from conversations",
+    "taxonomy_check": """with t as (select distinct 'size ' || (p_size % 7) as family, p_size % 14 as no, concat_ws(' ', p_brand, p_type) as pattern from part)
+select 'family' as kind, family as name, count(distinct no) as n from t group by 2 having count(distinct no) > 1 union all select 'pattern', pattern, count(*) from t group by 2 having count(*) > 1""",
+    "verdict_states": "select quality is not null as audited, case when quality is null then null when quality = 0 then 'wrong' else 'correct' end as verdict, count(*) as n from documents left join labels using (doc_id) group by 1, 2",
+    "cochran_draw": "with n as (select count(*) as n, 1.96 * 1.96 * 0.5 * 0.5 / (0.05 * 0.05) as n0 from documents), r as (select doc_id, row_number() over (order by md5('1104:' || doc_id), doc_id) as k from documents) select doc_id from r, n where k <= least(ceil(n0 * n / (n0 + n - 1)), n)",
+    "label_jaccard": f"with {SETS} select id, round(case when len(list_distinct(a || b)) = 0 then 1 else len(list_intersect(a, b)) / len(list_distinct(a || b)) end, 6) as jaccard, list_has_all(a, b) as holds from two",
 }

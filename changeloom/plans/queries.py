@@ -14,11 +14,13 @@ from ..functions import anonymize as A
 from ..functions import diffs as D
 from ..functions import paths as P
 from ..functions import text as X
+from ..operators import audit as U
 from ..operators import clean as C
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import security as Z
+from ..operators import validate as V
 
 QUERIES = {}
 
@@ -469,3 +471,31 @@ def turn_window_rank(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
     w = Window.partitionBy("conv_id")
     return c.select("conv_id", "turn", F.row_number().over(w.orderBy(F.desc("n"), "turn")).cast("long").alias("rank"), F.sum((F.col("role") == "assistant").cast("long")).over(w.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)).alias("answers"))
+
+
+@query
+def taxonomy_check(spark, sf):
+    """Names that occur more than once in a taxonomy whose families are sizes and whose patterns are types and brands of parts."""
+    parts = table(spark, sf, "part").select(F.concat(F.lit("size "), F.col("p_size") % 7).alias("family"), (F.col("p_size") % 14).alias("family_no"), F.concat_ws(" ", "p_brand", "p_type").alias("pattern"))
+    return V.taxonomy_errors(parts.distinct()).select("kind", "name", "n")
+
+
+@query
+def verdict_states(spark, sf):
+    """Exported states of marks: a labelled document was visited, a bad one has a verdict."""
+    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    seen, verdict = U.verdict_state(F.col("quality").isNotNull(), F.when(F.col("quality") == 0, "wrong"))
+    return rows.groupBy(seen.alias("audited"), verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def cochran_draw(spark, sf):
+    """A draw of the documents at 95 % confidence and 5 % margin."""
+    return U.cochran_draw(table(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
+@query
+def label_jaccard(spark, sf):
+    """Similarity of both sets of families of each order, and whether the first holds the second."""
+    rows = two_sets(spark, sf)
+    return rounded(rows.select("id", M.jaccard(F.col("a"), F.col("b")).alias("jaccard"), (F.size(F.array_except("b", "a")) == 0).alias("holds")))
