@@ -4,17 +4,22 @@ Input are turns (conv_id, turn, role, text). A turn whose text is a JSON object
 ``id``, ``name`` and ``arguments``) makes calls; one of role ``tool`` whose text is a JSON object with ``tool_call_id`` is a
 result. Calls and results are joined by hash on (conv_id, identifier). Any other turn is a plain message.
 
-Order: a plain message and a message with calls keep their turn. Calls wait for the results that their arguments name as
-``{"$result": "<id>"}``; a call's level is 0, or one more than the greatest level of the calls that it waits for. A result
-comes after its call, at the later of both turns and at the call's level. (conv_id, order_turn, level, kind, turn) sorts a
-conversation topologically; no conversation is ever gathered in one task, so one may be of any length.
+Order: a plain message keeps its turn. Calls wait for the results that their arguments name as ``{"$result": "<id>"}``. A
+message with calls comes at its turn or, if that is later, at the greatest ``order_turn`` of the calls and results of other
+messages that its calls wait for; a call's level is 0, or one more than the greatest level that it waits for. A result comes
+at the latest of its turn, its message's ``order_turn`` and that of the results of the same message that its call waits for;
+its level is its call's, or its message's if that is greater and both share an ``order_turn``. (conv_id, order_turn, level,
+kind, turn) sorts a conversation topologically. Only for a call with ``unknown_tool`` or ``invalid_arguments`` waits inside its
+own message don't move the result: it is a refusal. No conversation is ever gathered in one task, so one may be of any
+length; a message, which is one row, is.
 
 Each call's arguments are validated against the tool's schema (types, required, properties, enum, items of JSON Schema).
 Messages become canonical JSON: keys sorted by code point, no spaces, no escapes but the necessary ones, UTF-8.
 
 ``status``: ``ok``; ``unknown_tool``, ``invalid_arguments``, ``no_result``, ``duplicate_id``, ``cycle`` for the first call with such a
 fault, in that order of precedence; ``no_call`` for a result without a call. Of calls that share an identifier the first
-in order of turn and place links; of several results for a call all link. A null text counts as empty, a null role as
+in order of turn and place links; of several results for a call all link. Waits in a circle
+of messages are a ``cycle`` too, as no order of these messages holds. A null text counts as empty, a null role as
 ``user``; null ids link nothing. Repeated rows are formatted each; other columns are ignored; an empty table gives an
 empty result.
 """
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from graphlib import CycleError, TopologicalSorter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +88,7 @@ def parsed(text: str) -> dict:
 def read_turn(role: str, text: str, tools: dict) -> tuple[int, str, list[str], list[str], list[str]]:
     """(kind, message, identifiers, fault of each, identifiers waited for): kind 0 plain, 1 calls, 2 result.
 
-    Each entry of the waits is ``caller`` and ``waited for``, joined by a newline.
+    Each entry of the waits is the caller's place and the identifier waited for, joined by a newline.
     """
     found = parsed(text)
     calls = found.get("tool_calls")
@@ -96,7 +102,7 @@ def read_turn(role: str, text: str, tools: dict) -> tuple[int, str, list[str], l
             schema = tools.get(name) if isinstance(name, str) else None
             ids.append(own if isinstance(own, str) else None)
             faults.append("unknown_tool" if schema is None else "" if valid(args, schema) else "invalid_arguments")
-            waits += [f"{ids[-1]}\n{w}" for w in named(args)] if ids[-1] is not None else []
+            waits += [f"{len(ids) - 1}\n{w}" for w in named(args)]
             out.append({"arguments": args, "id": own, "name": name})
         message = {"role": role, "tool_calls": out}
         if isinstance(found.get("content"), str):
@@ -107,28 +113,87 @@ def read_turn(role: str, text: str, tools: dict) -> tuple[int, str, list[str], l
     return 0, canonical({"role": role, "content": text}), [], [], []
 
 
-def levels(calls: DataFrame, waits: DataFrame) -> DataFrame:
-    """(conv_id, id, level, cycle) of the calls (conv_id, id): rounds over the edges (conv_id, id, after) that are left.
+def place(turn: int | None, calls: list[dict], cross: list[dict], inner: list[dict]) -> tuple[int | None, int, dict[int, tuple]]:
+    """(order_turn, level, {place: (floor, level, cycle, reach)}) of a message with calls.
 
-    Every round settles the calls that wait for none that isn't; when a round settles none, the rest is a cycle or
-    waits for one.
+    ``calls`` hold place, fault, and first and last turn of the results; ``cross`` what a call waits for in other messages
+    (place, reach, level); ``inner`` what it waits for in this one (place, target). No result of a call comes before its
+    floor; reach is the last ``order_turn`` of the call and its results.
     """
-    done = calls.select("conv_id", "id").join(waits.select("conv_id", "id").distinct(), ["conv_id", "id"], "left_anti")
-    done = done.withColumn("level", F.lit(0)).withColumn("cycle", F.lit(False))
-    if waits.isEmpty():
-        return done
-    done = written(done, "levels")
-    level, rest = 0, written(waits, "waits")
-    while not rest.isEmpty():
+    last = lambda *turns: max((t for t in turns if t is not None), default=None)
+    order = last(turn, *(x["reach"] for x in cross))
+    base, deps = {c["place"]: 0 for c in calls}, {c["place"]: set() for c in calls}
+    for x in cross:
+        base[x["place"]] = max(base[x["place"]], 1 + x["level"])
+    for x in inner:
+        deps[x["place"]].add(x["target"])
+    sorter, sequence = TopologicalSorter(deps), []
+    try:
+        sorter.prepare()
+    except CycleError:
+        pass  # what isn't in a cycle, nor waits for one, still comes
+    while ready := sorter.get_ready():
+        sequence += ready
+        sorter.done(*ready)
+    for p in sequence:
+        base[p] = max([base[p], *(1 + base[d] for d in deps[p])])
+    level, known = max(base.values()), {c["place"]: c for c in calls}
+    out: dict[int, tuple] = {}
+    for p in sequence:
+        c = known[p]
+        # The result of a call that wasn't fit to run is a refusal, which waits for no other result of the message.
+        floor = order if c["fault"] else last(order, *(out[d][3] for d in deps[p]))
+        tie = floor == order and (c["first"] is None or order is None or c["first"] <= order)
+        own = max([base[p], *(1 + out[d][1] for d in deps[p]), level if tie else 0])
+        out[p] = (floor, own, False, last(floor, c["last"]))
+    for p in base.keys() - out.keys():
+        out[p] = (order, level, True, last(order, known[p]["last"]))
+    return order, level, out
+
+
+PLACED = "row long, conv_id long, order_turn long, message_level int, place int, id string, floor long, level int, cycle boolean, reach long"
+
+
+def _place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PLACED`` for each call of each message."""
+    for b in batches:
+        out = []
+        for m in b.to_pylist():
+            order, level, found = place(m["turn"], m["calls"], m["cross"] or [], m["inner"] or [])
+            out += [(m["row"], m["conv_id"], order, level, c["place"], c["id"], *found[c["place"]]) for c in m["calls"]]
+        yield batch(out, PLACED)
+
+
+def placed(made: DataFrame, waits: DataFrame) -> DataFrame:
+    """``PLACED`` of the calls of messages that wait for a result.
+
+    ``made`` are all calls (row, conv_id, turn, place, id, nth, fault, first, last), ``waits`` the edges (row, conv_id, place,
+    after, owner, target). Rounds over the messages that are left: every round places those whose edges to other messages
+    lead to calls whose reach is known; when a round places none, the rest is a cycle or waits for one.
+    """
+    edges = written(waits.withColumn("outer", F.col("row") != F.col("owner")), "waits")
+    mine = made.join(edges.select("row").distinct(), "row", "left_semi").dropDuplicates(["row", "place"])
+    messages = mine.groupBy("row", "conv_id", "turn").agg(F.collect_list(F.struct("place", F.when(F.col("nth") == 1, F.col("id")).alias("id"), (F.col("fault") != "").alias("fault"), "first", "last")).alias("calls"))
+    inner = edges.where("not outer").groupBy("row").agg(F.collect_list(F.struct("place", "target")).alias("inner"))
+    left = written(messages.join(inner, "row", "left"), "messages")
+    free = made.where("nth = 1").join(edges.select("row").distinct(), "row", "left_anti")
+    reached = written(free.select("conv_id", F.col("id").alias("after"), F.greatest("turn", "last").alias("reach"), F.lit(0).alias("level")).join(edges.select("conv_id", "after").distinct(), ["conv_id", "after"], "left_semi"), "reached")
+    rest, done, level = edges.where("outer"), None, 0
+    while not left.isEmpty():
         level += 1
-        known = done.select("conv_id", F.col("id").alias("after"), F.lit(True).alias("known"))
-        open_ = rest.join(known, ["conv_id", "after"], "left").groupBy("conv_id", "id").agg(F.min(F.coalesce("known", F.lit(False))).alias("ready"))
-        ready = written(open_.where("ready").select("conv_id", "id"), "ready")
-        if ready.isEmpty():
-            stuck = rest.select("conv_id", "id").distinct().withColumn("level", F.lit(level)).withColumn("cycle", F.lit(True))
-            return done.unionByName(stuck)
-        done = written(done.unionByName(ready.withColumn("level", F.lit(level)).withColumn("cycle", F.lit(False))), "levels")
-        rest = written(rest.join(ready, ["conv_id", "id"], "left_anti"), "waits")
+        known = rest.join(reached.withColumn("known", F.lit(True)), ["conv_id", "after"], "left")
+        known = known.groupBy("row").agg(F.min(F.coalesce("known", F.lit(False))).alias("ready"), F.collect_list(F.struct("place", "reach", F.coalesce("level", F.lit(0)).alias("level"))).alias("cross"))
+        ready = left.join(known, "row", "left").where("coalesce(ready, true)").select("row", "conv_id", "turn", "calls", "inner", "cross")
+        now = written(ready.mapInArrow(_place_all, PLACED), "placed")
+        if now.isEmpty():
+            waiting = edges.select("row", "place", F.lit(True).alias("waits")).distinct()
+            stuck = left.select("row", "conv_id", "turn", F.explode("calls").alias("c")).select("row", "conv_id", "turn", F.col("c.place").alias("place"), F.col("c.id").alias("id")).join(waiting, ["row", "place"], "left")
+            stuck = stuck.select("row", "conv_id", F.col("turn").alias("order_turn"), F.lit(level).alias("message_level"), "place", "id", F.col("turn").alias("floor"), F.lit(level).alias("level"), F.coalesce("waits", F.lit(False)).alias("cycle"), F.col("turn").alias("reach"))
+            return stuck if done is None else done.unionByName(stuck)
+        done = now if done is None else written(done.unionByName(now), "placed")
+        reached = written(reached.unionByName(now.where("id is not null").select("conv_id", F.col("id").alias("after"), "reach", "level")), "reached")
+        left = written(left.join(now.select("row").distinct(), "row", "left_anti"), "messages")
+        rest = rest.join(left.select("row"), "row", "left_semi")
     return done
 
 
@@ -150,22 +215,23 @@ def chat_messages(turns: DataFrame, tools: dict | None = None) -> DataFrame:
     made = made.select("row", "conv_id", "turn", "place", F.col("call.ids").alias("id"), F.col("call.faults").alias("fault"))
     first = Window.partitionBy("conv_id", "id").orderBy("turn", "row", "place")
     made = made.withColumn("nth", F.when(F.col("id").isNotNull(), F.row_number().over(first)))
-    calls = made.where("nth = 1").select("conv_id", "id", F.col("turn").alias("call_turn"))
-    waits = rows.where("kind = 1").select("conv_id", F.explode("waits").alias("w")).select("conv_id", F.split("w", "\n").alias("w"))
-    waits = waits.select("conv_id", F.col("w")[0].alias("id"), F.col("w")[1].alias("after")).distinct()
-    waits = waits.join(calls.select("conv_id", F.col("id").alias("after")), ["conv_id", "after"], "left_semi")
-    ranks = levels(calls, waits)
     results = rows.where("kind = 2").select(own, "conv_id", "turn", F.col("ids")[0].alias("id"), "message")
-    answered = results.select("conv_id", "id").distinct().withColumn("answered", F.lit(True))
-
-    judged = made.join(ranks, ["conv_id", "id"], "left").join(answered, ["conv_id", "id"], "left")
+    answered = results.groupBy("conv_id", "id").agg(F.lit(True).alias("answered"), F.min("turn").alias("first"), F.max("turn").alias("last"))
+    made = made.join(answered, ["conv_id", "id"], "left")
+    calls = made.where("nth = 1").select("conv_id", "id", F.col("turn").alias("call_turn"), F.col("row").alias("owner"), F.col("place").alias("target"))
+    waits = rows.where("kind = 1").select(own, "conv_id", F.explode("waits").alias("w")).select("row", "conv_id", F.split("w", "\n", 2).alias("w"))
+    waits = waits.select("row", "conv_id", F.col("w")[0].cast("int").alias("place"), F.col("w")[1].alias("after")).distinct()
+    waits = waits.join(calls.select("conv_id", F.col("id").alias("after"), "owner", "target"), ["conv_id", "after"])
+    ranks = rows.sparkSession.createDataFrame([], PLACED) if waits.isEmpty() else placed(made, waits)
+
+    judged = made.join(ranks.select("row", "place", "order_turn", "message_level", "cycle"), ["row", "place"], "left")
     fault = F.when(F.col("fault") != "", F.col("fault")).when(F.col("answered").isNull(), "no_result").when(F.col("nth") > 1, "duplicate_id").when(F.col("cycle"), "cycle").otherwise("ok")
     rank = F.array_position(F.array(*map(F.lit, ("unknown_tool", "invalid_arguments", "no_result", "duplicate_id", "cycle", "ok"))), fault)
-    judged = judged.groupBy("row").agg(F.max(F.coalesce("level", F.lit(0))).alias("level"), F.min_by(fault, rank).alias("status"))
-    callers = rows.where("kind = 1").withColumn("row", own).join(judged, "row").select("conv_id", "turn", F.col("turn").alias("order_turn"), "level", "kind", "status", "message")
+    judged = judged.groupBy("row").agg(F.max("order_turn").alias("order_turn"), F.max(F.coalesce("message_level", F.lit(0))).alias("level"), F.min_by(fault, rank).alias("status"))
+    callers = rows.where("kind = 1").withColumn("row", own).join(judged, "row").select("conv_id", "turn", F.coalesce("order_turn", "turn").alias("order_turn"), "level", "kind", "status", "message")
 
-    linked = results.join(calls, ["conv_id", "id"], "left").join(ranks, ["conv_id", "id"], "left")
-    linked = linked.select("conv_id", "turn", F.coalesce(F.greatest("turn", "call_turn"), "turn").alias("order_turn"), F.coalesce("level", F.lit(0)).alias("level"), F.lit(2).alias("kind"), F.when(F.col("call_turn").isNull(), "no_call").otherwise("ok").alias("status"), "message")
+    linked = results.join(calls, ["conv_id", "id"], "left").join(ranks.where("id is not null").select("conv_id", "id", "floor", "level"), ["conv_id", "id"], "left")
+    linked = linked.select("conv_id", "turn", F.coalesce(F.greatest("turn", "call_turn", "floor"), "turn").alias("order_turn"), F.coalesce("level", F.lit(0)).alias("level"), F.lit(2).alias("kind"), F.when(F.col("call_turn").isNull(), "no_call").otherwise("ok").alias("status"), "message")
     return plain.unionByName(callers).unionByName(linked)
 
 

@@ -180,6 +180,31 @@ def test_chat(spark):
     assert H.chat_messages(turns.where("false")).count() == 0
 
 
+def test_chat_waits_against_turn_order(spark):
+    said = lambda *calls: json.dumps({"tool_calls": list(calls)})
+    answer = lambda i: json.dumps({"tool_call_id": i, "content": i})
+    turns = [
+        # x (turn 1) waits for y, whose message comes later; z shares x's message, and w waits for z
+        (1, 1, "assistant", said(call("x", "search", q={"$result": "y"}), call("z", "search"))), (1, 2, "assistant", said(call("y", "search"))),
+        (1, 3, "tool", answer("x")), (1, 4, "tool", answer("y")), (1, 5, "assistant", said(call("w", "search", q={"$result": "z"}))), (1, 0, "tool", answer("z")), (1, 6, "tool", answer("w")),
+        # inside one message, the result of a comes too early
+        (2, 1, "assistant", said(call("b", "search"), call("a", "search", q={"$result": "b"}))), (2, 2, "tool", answer("a")), (2, 3, "tool", answer("b")),
+        # a long way back, and results before their calls
+        (3, 1, "assistant", said(call("k", "search", q={"$result": "l"}))), (3, 2, "assistant", said(call("l", "search", q={"$result": "m"}))), (3, 3, "assistant", said(call("m", "search"))),
+        (3, 0, "tool", answer("k")), (3, 4, "tool", answer("l")), (3, 5, "tool", answer("m")),
+        # no order of the messages: r waits for s, s for t, which shares r's message
+        (4, 1, "assistant", said(call("r", "search", q={"$result": "s"}), call("t", "search"))), (4, 2, "assistant", said(call("s", "search", q={"$result": "t"}))),
+        (4, 3, "tool", answer("r")), (4, 4, "tool", answer("s")), (4, 5, "tool", answer("t")),
+    ]
+    rows = H.chat_messages(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), {"search": {"type": "object"}}).collect()
+    order = lambda c: [r.turn for r in sorted((r for r in rows if r.conv_id == c), key=lambda r: (r.order_turn, r.level, r.kind, r.turn))]
+    assert order(1) == [2, 4, 1, 0, 3, 5, 6]
+    assert order(2) == [1, 3, 2]
+    assert order(3) == [3, 5, 2, 4, 1, 0]
+    assert len(rows) == len(turns) and {r.status for r in rows if r.conv_id < 4} == {"ok"}
+    assert {r.turn: r.status for r in rows if r.conv_id == 4 and r.kind == 1} == {1: "cycle", 2: "cycle"}
+
+
 def test_schemas():
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"enum": [1, 2]}}}}
     assert H.valid({"a": 1, "b": [1, 2], "c": None}, schema)
