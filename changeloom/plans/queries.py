@@ -351,6 +351,12 @@ def document_lines(spark, sf) -> DataFrame:
     return docs.select("id", F.posexplode(F.split("t", "\n")).alias("line", "content"))
 
 
+@query
+def redact_snippet_lines(spark, sf):
+    """Every line of the documents without the values of secret keys. Has no SQL: tests hold it against brute force."""
+    return document_lines(spark, sf).select("id", "line", X.redact_snippet(F.col("content")).alias("content"))
+
+
 @query
 def security_matches(spark, sf):
     """Rules, categories and greatest severity of each document with a match."""

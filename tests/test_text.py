@@ -77,6 +77,16 @@ def test_redact_snippet(spark):
     assert values(spark, rows, X.redact_snippet) == [snippet(r) for r in rows]
 
 
+def test_redact_snippet_lines(spark, tmp_path):
+    from changeloom.plans.queries import QUERIES, document_lines
+
+    texts = ["Plain words first.\nThen token = \"04dbebab91\" inside\n\nand color = 'x'", "one two Bearer ab.cd/ef== end\nnext {'my-secret': 'é q', \"name\": \"n\"}", "x\t= 1; API_KEY=q&b=c;password = p\r\nu = \"v\" and token='w' twice token='z'", "", "=\n'token' : \"\" token = é=1 'tokens'='a'"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.id, r.line): r.content for r in QUERIES["redact_snippet_lines"](spark, str(tmp_path)).collect()}
+    expected = {(r.id, r.line): snippet(r.content) for r in document_lines(spark, str(tmp_path)).collect()}
+    assert found == expected and {k for k, v in expected.items() if "<redacted>" in v} == {(0, 1), (1, 0), (1, 1), (2, 0), (2, 1), (4, 1)}
+
+
 def test_fixed4(spark):
     rows = [0.03125, 0.09375, 1234567.5, 2.0, 1 / 3, -0.5]
     assert values(spark, rows, X.fixed4, "double") == [f"{x:.4f}" for x in rows]
