@@ -1,12 +1,16 @@
 """License scan: a trained paragraph classifier, confirmed by templates (operator 6).
 
-A paragraph is a line with a word. Its sparse features are word n-grams (one to three words) that occur in the training
+A paragraph is a line with a word, or a run of words over several lines of a block; blocks lie between lines without a word,
+so that hard-wrapped statements are read whole. Such a run is a shortest one that holds at least ``ALIKE`` of the words of a
+template and at most twice as many words as it. Of paragraphs that overlap the one most alike counts, and at a tie the line; what else is
+on the lines of a run is a paragraph of its own. A paragraph's sparse features are word n-grams (one to three words) that occur in the training
 paragraphs and are not made of ``STOP`` words alone. Multinomial logistic regression gives the licence families, ``unknown``
 (a licence statement of no known family) and ``none``. It is trained here, on sentences made from ``TEMPLATES`` and
 ``OTHERS`` by seeded changes of case, words and surroundings. A temperature, fitted on sentences that the training has not
 seen, calibrates the probabilities; a family whose probability stays below ``SURE`` becomes ``unknown``. A predicted family is
 confirmed if the paragraph holds at least ``ALIKE`` of the words of one of the family's templates; otherwise it too
-becomes ``unknown``.
+becomes ``unknown``. A line is also confirmed if its words and those of one of the family's ``HEADINGS`` agree, ``ALIKE`` of
+both together; a line that is just a heading has its family, whatever the model says.
 
 Texts without any word of the features are ``none`` without further work, which is what the model gives them. Null and empty
 texts hold no paragraph and no licence. Repeated rows are scanned each; other columns are ignored; an empty table gives an
@@ -16,8 +20,10 @@ empty result.
 from __future__ import annotations
 
 import random
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +49,21 @@ TEMPLATES = {
     "CC0": ["Released under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "This work is dedicated to the public domain"],
     "Proprietary": ["Copyright. All rights reserved", "No part of this publication may be reproduced without the prior written permission of the publisher", "This software is proprietary and confidential"],
 }
+#: Headings of licence texts, without "the". They confirm but don't train: alone, they are too short to learn from.
+HEADINGS = {
+    "MIT": ["MIT License", "MIT License MIT", "Expat License"],
+    "Apache-2.0": ["Apache License", "Apache License Version 2.0", "Apache License Version 2.0, January 2004"],
+    "GPL": ["GNU General Public License", "GNU General Public License Version 2", "GNU General Public License Version 3", "GNU General Public License v3.0"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License Version 3", "GNU Lesser General Public License v3.0"],
+    "AGPL": ["GNU Affero General Public License", "GNU Affero General Public License Version 3", "GNU Affero General Public License v3.0"],
+    "BSD": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "BSD 3-Clause New or Revised License", "BSD 2-Clause Simplified License"],
+    "MPL": ["Mozilla Public License", "Mozilla Public License Version 2.0"],
+    "ISC": ["ISC License", "ISC License ISC"],
+    "CC-BY": ["Creative Commons Attribution 4.0 International", "Creative Commons Attribution 4.0 International Public License"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International Public License"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International Public License"],
+    "CC0": ["CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"],
+}
 #: Statements of other licences, and sentences that only share words with licences.
 OTHERS = {
     "unknown": ["Licensed under the {x} Public License, version {n}", "Released under the {x} License", "This work is licensed under the {x} license agreement", "Distributed under the terms of the {x} License version {n}", "SPDX-License-Identifier: {x}-{n}", "licensed under {x} {n}"],
@@ -116,6 +137,8 @@ class Model:
         loss = {t: -np.log(self.softmax(margins / t)[np.arange(len(fresh)), labels] + 1e-12).mean() for t in np.geomspace(0.1, 4, 30).tolist()}
         self.temperature = min(loss, key=loss.get)
         self.templates = {k: [frozenset(tokens(t.encode())) for t in v] for k, v in TEMPLATES.items()}
+        self.headings = {k: [frozenset(tokens(t.encode())) for t in v] for k, v in HEADINGS.items()}
+        self.lengths = {k: [len(tokens(t.encode())) for t in v] for k, v in TEMPLATES.items()}
 
     def encode(self, rows: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row and column of each feature, and the classes."""
@@ -138,24 +161,108 @@ class Model:
         e = np.exp(m - m.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    def judge(self, asked: list[list[bytes]]) -> np.ndarray:
+        """Probabilities of the classes for paragraphs in words."""
+        owner, column, _ = self.encode([("", b" ".join(w)) for w in asked])
+        return self.softmax(self.margins(owner, column, len(asked)) / self.temperature)
+
+    def runs(self, lines: list[list[bytes]]) -> list[tuple[float, int, int, str]]:
+        """(similarity, first and last word, family) of the runs of a block that no line holds alone and a template confirms."""
+        words = [w for x in lines for w in x]
+        line_of = [i for i, x in enumerate(lines) for _ in x]
+        held, out = frozenset(words), []
+        for family, sets in self.templates.items():
+            for t, length in zip(sets, self.lengths[family], strict=True):
+                if len(t & held) < ALIKE * len(t):
+                    continue
+                hits, count = deque(), {}
+                for at, w in enumerate(words):
+                    if w not in t:
+                        continue
+                    hits.append(at)
+                    count[w] = count.get(w, 0) + 1
+                    while hits[0] <= at - 2 * length or count[words[hits[0]]] > 1:
+                        gone = words[hits.popleft()]
+                        count[gone] -= 1
+                        if not count[gone]:
+                            del count[gone]
+                    if len(count) >= ALIKE * len(t) and line_of[hits[0]] != line_of[at]:
+                        out.append((len(count) / len(t), hits[0], at, family))
+        return out
+
+    def statement(self, words: list[bytes], q: np.ndarray) -> tuple[str, float, float, bool] | None:
+        """(family, probability, similarity, whether a heading alone gave the family) of a paragraph with probabilities ``q``."""
+        here = frozenset(words)
+        bare = here - {b"the"}
+        if len(words) <= 12:
+            for family, sets in self.headings.items():
+                if bare in sets:
+                    return family, float(q[self.classes.index(family)]), 1.0, True
+        if q[-1] >= 0.5:
+            return None
+        best = self.classes[int(q[:-1].argmax())]
+        alike = max((len(t & here) / len(t) for t in self.templates.get(best, [])), default=0.0)
+        heading = alike < ALIKE and len(words) <= 12
+        if heading:
+            alike = max([alike, *(len(t & bare) / len(t | bare) for t in self.headings.get(best, []))])
+        sure = best != "unknown" and q.max() >= SURE and alike >= ALIKE
+        return best if sure else "unknown", float(q[:-1].max() if sure else 1 - q[-1]), float(alike), heading
+
+    def over_lines(self, lines: list[list[bytes]], found: dict[tuple[int, int], tuple[str, float, float, bool]], first: int) -> None:
+        """Put the statements over several lines of a block, which begins at line ``first``, into ``found``.
+
+        What is left of the lines that such a statement shares with other words is a paragraph of its own.
+        """
+        words = [w for x in lines for w in x]
+        line_of = [first + i for i, x in enumerate(lines) for _ in x]
+        sure = {i: x for (i, _), x in found.items() if x[0] != "unknown" and not x[3]}
+        taken: list[tuple[int, int]] = []
+
+        def stays(i: int, start: int, stop: int) -> bool:
+            """Whether the line's own statement is as sure beside the run from ``start`` to ``stop``."""
+            own = [j for j, line in enumerate(line_of) if line == i]
+            for part in ([words[j] for j in own if j < start], [words[j] for j in own if j > stop]):
+                said = self.statement(part, self.judge([part])[0]) if part else None
+                if said and not said[3] and said[0] == sure[i][0] and said[2] >= sure[i][2]:
+                    return True
+            return False
+
+        for alike, start, stop, family in sorted(self.runs(lines), key=lambda x: (-x[0], x[1], x[2])):
+            inside = range(line_of[start], line_of[stop] + 1)
+            if any(start <= b and a <= stop for a, b in taken) or any(i in sure and sure[i][2] >= alike and not stays(i, start, stop) for i in inside):
+                continue
+            q = self.judge([words[start : stop + 1]])[0]
+            if q[-1] < 0.5 and self.classes[int(q[:-1].argmax())] == family and q.max() >= SURE:
+                taken.append((start, stop))
+                found[line_of[start], start + 1] = (family, float(q[:-1].max()), float(alike), False)
+        lost = {i for a, b in taken for i in range(line_of[a], line_of[b] + 1) if found.pop((i, 0), None)}
+        covered = {i for a, b in taken for i in range(a, b + 1)}
+        spare = [i for i, line in enumerate(line_of) if line in lost and i not in covered]
+        for _, group in groupby(enumerate(spare), key=lambda x: (x[1] - x[0], line_of[x[1]])):
+            left = [i for _, i in group]
+            rest = [words[i] for i in left]
+            if not self.words.isdisjoint(rest) and (said := self.statement(rest, self.judge([rest])[0])):
+                found[line_of[left[0]], left[0] + 1] = said
+
     def scan(self, text: bytes) -> list[tuple[int, str, float, float]]:
-        """(line, family, probability, similarity) of the licence statements of a text."""
-        lines = text.translate(_TABLE).split(b"\n")
-        asked = [(i, w) for i, w in enumerate(x.split() for x in lines) if not self.words.isdisjoint(w)]
+        """(line, family, probability, similarity) of the licence statements of a text, in order."""
+        lines = [x.split() for x in text.translate(_TABLE).split(b"\n")]
+        asked = [(i, w) for i, w in enumerate(lines) if not self.words.isdisjoint(w)]
         if not asked:
             return []
-        owner, column, _ = self.encode([("", b" ".join(w)) for _, w in asked])
-        p = self.softmax(self.margins(owner, column, len(asked)) / self.temperature)
-        out = []
-        for (line, words), q in zip(asked, p, strict=True):
-            best = self.classes[int(q[:-1].argmax())]
-            if q[-1] >= 0.5:
+        found = {(i, 0): said for (i, w), q in zip(asked, self.judge([w for _, w in asked]), strict=True) if (said := self.statement(w, q))}
+        stop = -1
+        for line, _ in asked:
+            if line < stop:
                 continue
-            here = frozenset(words)
-            alike = max((len(t & here) / len(t) for t in self.templates.get(best, [])), default=0.0)
-            sure = best != "unknown" and q.max() >= SURE and alike >= ALIKE
-            out.append((line, best if sure else "unknown", float(q[:-1].max() if sure else 1 - q[-1]), float(alike)))
-        return out
+            first = stop = line
+            while first > 0 and lines[first - 1]:
+                first -= 1
+            while stop < len(lines) and lines[stop]:
+                stop += 1
+            if stop - first > 1:
+                self.over_lines(lines[first:stop], found, first)
+        return [(i, *found[i, at][:3]) for i, at in sorted(found)]
 
 
 @lru_cache(maxsize=1)

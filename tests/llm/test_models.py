@@ -126,6 +126,29 @@ def test_licences(spark):
     assert out[1].first_line == 1 and [r.line for r in L.paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 8").collect()] == [0, 1]
 
 
+WRAPPED = {
+    "MIT": "MIT License\n\nCopyright (c) 2020 Ann Example\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "BSD": "BSD 3-Clause License\n\n# Redistribution and use in source and binary forms, with or without\r\n# modification, are permitted provided that the following conditions\r\n# are met:\n#\n# 1. One.",
+    "GPL": "                    GNU GENERAL PUBLIC LICENSE\n\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+}
+
+
+def test_wrapped_licences():
+    scan = L.model().scan
+    for family, text in WRAPPED.items():
+        assert [x[1] for x in scan(text.encode()) if x[1] != "unknown" or family != "LGPL"] == [family] * (1 if family == "LGPL" else 2), family
+    assert [x[0] for x in scan(WRAPPED["MIT"].encode())] == [0, 4]
+    for family, headings in L.HEADINGS.items():
+        for heading in headings:
+            assert [x[:2] for x in scan(f"a house\n{heading.upper()}\n".encode())] == [(1, family)]
+    # two copies in one block, and another statement on the line where a wrapped one begins
+    half = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met\n"
+    assert [x[:2] for x in scan((half * 2).encode())] == [(0, "BSD"), (2, "BSD")]
+    assert [x[:2] for x in scan(b"Released under the MIT License. This work is licensed under a Creative\nCommons Attribution 4.0 International License")] == [(0, "MIT"), (0, "CC-BY")]
+    assert [x[:2] for x in scan(b"der den mit.\nEiner im dem.\nLicensed under the Apache License, Version 2.0.")] == [(2, "Apache-2.0")]
+
+
 URLS = {
     "http://a.net/x": ("a.net", "/x", "net/", "block"), "http://net": ("net", "", None, None), "HTTPS://WWW.Example.NET/en/1?q": ("www.example.net", "/en/1", "example.net/en/", "allow"),
     "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"), "http://example.com/DE/": ("example.com", "/DE/", None, None), "x.net/a": ("", "", None, None), "http://notexample.net/en/": ("notexample.net", "/en/", "net/", "block"),
