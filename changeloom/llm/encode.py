@@ -55,23 +55,31 @@ def splitter(config: dict):
 
 
 class Encoder:
-    """Encodes texts to packed little-endian ids, ``code`` 'H' (two bytes) if the vocabulary allows, else 'I'."""
+    """Encodes texts to packed little-endian ids, ``code`` 'H' (two bytes) if the vocabulary allows, else 'I'.
 
-    def __init__(self, path: str, keep: int = KEEP):
+    With ``literal`` the names of special tokens are text like any other (the library's ``encode_special_tokens``); without,
+    they are the tokens, which is the library's default and what ``encoder`` gives.
+    """
+
+    def __init__(self, path: str, keep: int = KEEP, literal: bool = True):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = literal
         self.code = "H" if self.tok.get_vocab_size() <= 1 << 16 else "I"
-        self.cut = splitter(json.loads(self.tok.to_str()))
+        config = json.loads(self.tok.to_str())
+        self.cut = splitter(config)
+        added = [x for x in config.get("added_tokens") or [] if not (literal and x["special"])]
+        #: Texts that hold one of these are encoded whole: added tokens are matched before anything else is done.
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in added).encode(), re.IGNORECASE) if added else None
         self.keep = keep
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed."""
         known = self.known
-        pieces = [self.cut(x) for x in texts]
+        pieces = [self.cut(x) if self.added is None or not self.added.search(x) else whole(x) for x in texts]
         new = list(set().union(*pieces).difference(known))
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
@@ -103,5 +111,5 @@ _LOADED: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """This process's encoder for the file; it lives as long as the worker, over tasks."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
+        _LOADED[path] = Encoder(path, literal=False)
     return _LOADED[path]

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from changeloom.llm import packing as K
 from changeloom.llm import token_records as R
-from changeloom.llm.encode import Encoder
+from changeloom.llm.encode import Encoder, encoder
 
 WORD, BYTE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ROWS = [(3, "Hello  world.\n\n\n It's 5 o'clock"), (1, None), (2, ""), (3, "again the same id"), (None, "no id"), (7, "x" * 3000 + " y"), (8, "One. Two! Three? " * 900), (1, None)]
@@ -42,6 +42,21 @@ def test_pieces_give_the_same_ids(path):
         assert len(enc.known) <= keep + 30_000
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_operators_encode_as_the_library_does(spark, tmp_path, path):
+    rng = random.Random(3)
+    signs = ["a", "B", "one", " ", " ", "\n", ".", "É", "\u3000", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>"]
+    texts = ["one <|endoftext|> two", "x<|startoftext|>", "<|EndOfText|>", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000))]
+    expected = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    enc = encoder(path)
+    for _ in range(2):
+        assert [np.frombuffer(x, dtype="<u2").tolist() for x in enc.encode([t.encode() for t in texts])] == expected
+    rows = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string")
+    R.write_records(rows, f"file://{tmp_path}/out", path)
+    assert {r.doc_id: r.n_tokens for r in R.index_records(spark, f"file://{tmp_path}/out").collect()} == {i: len(x) + 1 for i, x in enumerate(expected[:50])}
+    assert {r.doc_id: r.doc_tokens for r in K.pack(rows, path).collect()} == {i: len(x) + 1 for i, x in enumerate(expected[:50])}
+
+
 def test_records_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     R.write_records(table(spark), path, WORD)
