@@ -97,7 +97,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for where, content in zip(b["path"].to_pylist(), b["content"], strict=True):
-                rows, start, shard = [], 0, int(where.rsplit("/part-", 1)[1][:5].split("-")[0])
+                rows, start, shard = [], 0, int(where.rsplit("/part-", 1)[1].split("-")[0])
                 for at, size, doc_id, ids in frames(content.as_buffer()):
                     rows.append((shard, where, doc_id, at, size, len(ids), start, zlib.crc32(ids.tobytes())))
                     start += len(ids)

@@ -73,6 +73,13 @@ def test_records_round_trip(spark, tmp_path):
     assert sorted(shuffled, key=repr) == sorted(((d, ids_of(WORD, t)) for d, t in ROWS), key=repr)
 
 
+def test_shard_numbers_of_six_digits(spark, tmp_path):
+    for name, doc_id in (("part-10000-x.txt", 1), ("part-100000-x.txt", 2)):
+        (tmp_path / "out").mkdir(exist_ok=True)
+        (tmp_path / "out" / name).write_bytes(R.frame(doc_id, struct.pack("<3H", 1, 2, 3), "H") + R.END)
+    assert sorted((r.doc_id, r.shard, r.start) for r in R.index_records(spark, f"file://{tmp_path}/out").collect()) == [(1, 10000, 0), (2, 100000, 3)]
+
+
 def test_damage_is_found():
     good = R.frame(5, struct.pack("<3H", 1, 2, 3), "H") + R.END
     assert [(d, i.tolist()) for _, _, d, i in R.frames(good * 2)] == [(5, [1, 2, 3])] * 2
