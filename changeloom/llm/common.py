@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
@@ -12,13 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch at most, on either side of a Python worker.
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is used and kept for the session.
+    Where that is unset and everything runs in one process (local tests) a temporary folder is used and kept for the session;
+    on a cluster there is no folder that would do, so this raises.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("changeloom.shared.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="changeloom-")
         spark.conf.set("changeloom.shared.dir", found)
     return found.rstrip("/")
@@ -32,31 +39,31 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and outlives executors.
 
-    The table goes when the application ends.
+    The table goes with ``dropped``, or when the application ends.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = place
+    return out
 
-def partitions_for(df: DataFrame, target_bytes: int = 24 << 20) -> int:
-    """Partitions of about ``target_bytes`` stored bytes, at least ``spark.sql.shuffle.partitions``.
 
-    Sizes come from the plan's statistics, so nothing is read.
-    """
-    spark = df.sparkSession
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(200_000, math.ceil(known / target_bytes)))
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        df.written_at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df.written_at, True)
 
 
-def by_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text) in ascending order of id over range partitions; rows with equal ids in the order of a hash of their text."""
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``: rows may be long, and a batch is held in both processes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = df.sparkSession.conf.get(key).rstrip("b")
+    if not known.isdigit() or int(known) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:
@@ -76,8 +83,8 @@ FEW_IDS = 500_000
 
 
 def few(ids: DataFrame) -> DataFrame:
-    """``ids`` with a broadcast hint if it has at most ``FEW_IDS`` rows, which is counted; else as it is."""
-    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+    """``ids``, which are a written table, with a broadcast hint if they have at most ``FEW_IDS`` rows, which is counted."""
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:

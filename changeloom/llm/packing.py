@@ -1,19 +1,21 @@
 """Order-preserving packing of documents into token windows by dynamic programming (operator 8).
 
-Documents lie in ascending order of id over range partitions. A partition's documents, each followed by the end id, form
-one run of ids; windows of at most ``window`` ids are cut out of it, in order and without gaps, so every id lies in
-exactly one piece. Cuts may fall after a document (no penalty), after a sentence (``SENTENCE``) or, in stretches with
-neither, every ``STRIDE`` ids (``INSIDE``). With f[j] the least cost of all windows up to cut c_j,
+Documents lie in ascending order of id and are cut into runs of similar size by the data alone (``encode.run_starts``). A
+run's documents, each followed by the end id, form one string of ids; windows of at most ``window`` ids are cut out of it, in
+order and without gaps, so every id lies in exactly one piece. Cuts may fall after a document (no penalty), after a sentence
+(``SENTENCE``) or, in stretches with neither, every ``STRIDE`` ids (``INSIDE``). With f[j] the least cost of all windows up to
+cut c_j,
 
     f[j] = min over i with c_j - c_i <= window of f[i] + (window - (c_j - c_i)) + penalty[j]
 
 and as f[i] + c_i is all that depends on i, a monotone queue of the cuts within reach gives each minimum in constant
-time. Penalties are in padding ids. A buffer of ``BUFFER`` windows is solved at a time: up to the cheapest cut in its last
-window, from where the next buffer goes on. What remains at the end of a partition is cut into windows whose sizes are
-powers of two, which are not padded.
+time. Penalties are in padding ids. ``BUFFER`` windows are solved at a time: up to the cheapest cut in the last of them,
+from where the next buffer goes on; so a document of any length takes no more memory than its ids. What remains at the
+end of a run is cut into windows whose sizes are powers of two, which are not padded.
 
-Null text counts as empty (the end id alone); null ids sort first; repeated rows are packed each; other columns are
-ignored; an empty table gives no piece; a document longer than a window lies in as many pieces as it needs.
+Null text counts as empty (the end id alone); null ids sort first; rows with equal ids are in the order of a hash of their
+text, and repeated rows are packed each; other columns are ignored; an empty table gives no piece; a document longer than
+a window lies in as many pieces as it needs. The result is the same however the table and the cluster are partitioned.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import zlib
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_id, texts_of
-from .encode import Encoder, encoder
+from .common import in_arrow
+from .encode import RUN_BYTES, Encoder, encoded_runs, encoder
 
 WINDOW = 2048
 #: Penalties of cuts, in padding ids, and the ids between cuts where no sentence ends.
@@ -53,7 +55,7 @@ def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, stride:
     penalty[0] = 0
     penalty[np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1] = SENTENCE
     penalty[doc_ends] = 0
-    penalty[n] = 0
+    penalty[n] = min(penalty[n], INSIDE)
     at = np.flatnonzero(np.isfinite(penalty))
     more = (np.diff(at) - 1) // stride  # cuts to add in each gap
     first = np.repeat(np.cumsum(more) - more, more)
@@ -97,7 +99,7 @@ def powers(n: int, window: int = WINDOW) -> list[int]:
 
 def pack_run(docs: Iterator[tuple[int | None, np.ndarray]], ends: np.ndarray, base: int, window: int = WINDOW) -> Iterator[tuple]:
     """Rows of ``PIECES`` for documents in order; sequences count from ``base``."""
-    held: list[list] = []  # [doc_id, ids, first id not packed yet]
+    held: deque[list] = deque()  # [doc_id, ids, first id not packed yet]
     size, sequence = 0, base
 
     def emit(stops: list[int]) -> Iterator[tuple]:
@@ -111,48 +113,50 @@ def pack_run(docs: Iterator[tuple[int | None, np.ndarray]], ends: np.ndarray, ba
                 yield doc_id, first, n, zlib.crc32(ids[first : first + n].astype("<u4").tobytes()), len(ids), sequence, offset
                 at, offset, held[0][2] = at + n, offset + n, first + n
                 if held[0][2] == len(ids):
-                    held.pop(0)
+                    held.popleft()
             sequence += 1
         size -= at
 
     def solve() -> list[int]:
-        parts = [x[1][x[2] :] for x in held]
-        return windows(*cut_points(np.concatenate(parts), np.cumsum([len(x) for x in parts]), ends), window)
+        """Ends of windows over the first ids that are held, no more than a buffer of them."""
+        parts, stops, n = [], [], 0
+        for _, ids, first in held:
+            parts.append(ids[first : first + BUFFER * window - n])
+            n += len(parts[-1])
+            if first + len(parts[-1]) < len(ids):
+                break
+            stops.append(n)
+        return windows(*cut_points(np.concatenate(parts), np.array(stops, dtype=np.int64), ends), window)
 
     for doc_id, ids in docs:
         held.append([doc_id, ids, 0])
         size += len(ids)
-        if size >= BUFFER * window:
+        while size >= BUFFER * window:
             yield from emit(solve())
     if held:
         yield from emit(solve())
         yield from emit(powers(size, window))
 
 
-_ENDS: dict[str, np.ndarray] = {}
-
-
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, run_bytes: int = RUN_BYTES) -> DataFrame:
     """Pack all documents; see the module. Sequence ids are unique and ascend with the documents."""
+    enc = encoder(tokenizer)
+    ends, kind = sentence_ends(enc), f"<u{enc.width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        if tokenizer not in _ENDS:
-            _ENDS[tokenizer] = sentence_ends(enc)
-        end = end_id.to_bytes(2 if enc.code == "H" else 4, "little")
-        kind = "<u2" if enc.code == "H" else "<u4"
-        rows = (row for b in batches for row in zip(b["doc_id"].to_pylist(), texts_of(b["text"]), strict=True))
-        encoded = ((doc_id, np.frombuffer(ids + end, dtype=kind)) for doc_id, ids in enc.stream(rows))
         names, out = [x.split()[0] for x in PIECES.split(", ")], []
-        for piece in pack_run(encoded, _ENDS[tokenizer], TaskContext.get().partitionId() << 32, window):
-            out.append(piece)
-            if len(out) == 20_000:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
-                out = []
+        rows = (row for b in batches for row in zip(b["run"].to_pylist(), b["doc_id"].to_pylist(), b["ids"], strict=True))
+        for number, mine in groupby(rows, key=lambda r: r[0]):
+            encoded = ((doc_id, np.frombuffer(ids.as_py(), dtype=kind)) for _, doc_id, ids in mine)
+            for piece in pack_run(encoded, ends, number << 32, window):
+                out.append(piece)
+                if len(out) == 20_000:
+                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
+                    out = []
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 
-    return by_id(docs).mapInArrow(run, PIECES)
+    return in_arrow(encoded_runs(docs, tokenizer, end_id, run_bytes), run, PIECES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ index is a Parquet table (doc_id, shard, offset, n_bytes, n_tokens, start, ids_c
 themselves; a reader that shuffles takes offsets from it and reads single frames.
 
 Spark's own writer commits the shards, so they can lie in any file system that Spark knows, and a lost executor
-leaves no half shard. Shards hold about 24 MB of stored documents each.
+leaves no half shard. A shard holds a run of about 4 MB of text (``encode.run_starts``), more where the text would make more than
+200,000 shards.
 
 Null text counts as empty (its record is the end id alone); a null id is kept, flagged, and sorts first; repeated rows
 give one record each; other columns are ignored; an empty table gives no shard and an empty index.
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_id, new_path, texts_of
-from .encode import encoder
+from .common import in_arrow, new_path
+from .encode import encoded_runs, encoder
 
 HEAD, TAIL, META = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
 END = b"\n"
@@ -70,23 +71,15 @@ def frames(data: bytes, at: int = 0) -> Iterator[tuple[int, int, int | None, np.
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Encode every text, append ``end_id``, and write the shards to ``path`` in ascending order of id."""
+    """Encode every text, append ``end_id``, and write the shards, one for each run, to ``path`` in ascending order of id."""
+    code = encoder(tokenizer).code
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        end = end_id.to_bytes(2 if enc.code == "H" else 4, "little")
+    def to_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b["doc_id"].to_pylist(), texts_of(b["text"]), strict=True)
-            out, size = [], 0
-            for doc_id, ids in enc.stream(rows):
-                out.append(frame(doc_id, ids + end, enc.code))
-                size += len(out[-1])
-                if size > 8 << 20:
-                    yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
-                    out, size = [], 0
+            out = [frame(doc_id, ids.as_py(), code) for doc_id, ids in zip(b["doc_id"].to_pylist(), b["ids"], strict=True)]
             yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    framed = by_id(docs).mapInArrow(encode, "value binary")
+    framed = in_arrow(encoded_runs(docs, tokenizer, end_id).select("doc_id", "ids"), to_frames, "value binary")
     # The text writer puts a row's bytes down as they are and ends each with the frame's last byte.
     framed.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
 
@@ -107,7 +100,7 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in INDEX.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(scan, INDEX)
+    return in_arrow(files.select("path", "content"), scan, INDEX)
 
 
 def index_records(spark: SparkSession, path: str) -> DataFrame:
@@ -140,7 +133,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int, epoch: int = 0) ->
     index = spark.read.schema(INDEX).parquet(f"{path}-index")
     places = index.groupBy("path").agg(F.collect_list("offset").alias("offsets"))  # bounded by the size of a shard
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    rows = files.join(places, "path").mapInArrow(cut, "doc_id long, ids array<long>")
+    rows = in_arrow(files.join(places, "path"), cut, "doc_id long, ids array<long>")
     order = F.xxhash64(F.lit(seed), F.lit(epoch), "doc_id")
     return rows.repartition(F.pmod(order, F.lit(1 << 20))).sortWithinPartitions(order)
 

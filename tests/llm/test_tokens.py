@@ -7,9 +7,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from changeloom.llm import encode as E
 from changeloom.llm import packing as K
 from changeloom.llm import token_records as R
 from changeloom.llm.encode import Encoder, encoder
@@ -31,7 +33,7 @@ def ids_of(path, text):
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_pieces_give_the_same_ids(path):
     rng = random.Random(1)
-    signs = ["a", "B", "é", " ", " ", "\n", "\t", ".", "'s", "1", "日", "  ", "\x1c", "!", "É", "İ", "\0", "\u3000", "\u2019", "e\u0301", "<|endoftext|>", "\u00a0"]
+    signs = ["a", "B", "é", " ", " ", "\n", "\t", ".", "'s", "1", "日", "  ", "\x1c", "!", "É", "İ", "\0", "\u3000", "\u2019", "e\u0301", "T\u0308", "J\u030c", "W\u030a", "\x01", "<|endoftext|>", "\u00a0"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
@@ -45,7 +47,7 @@ def test_pieces_give_the_same_ids(path):
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_operators_encode_as_the_library_does(spark, tmp_path, path):
     rng = random.Random(3)
-    signs = ["a", "B", "one", " ", " ", "\n", ".", "É", "\u3000", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>"]
+    signs = ["a", "B", "one", " ", " ", "\n", ".", "É", "T\u0308", "H\u0331", "\x01", "\u3000", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>"]
     texts = ["one <|endoftext|> two", "x<|startoftext|>", "<|EndOfText|>", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000))]
     expected = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     enc = encoder(path)
@@ -57,6 +59,52 @@ def test_operators_encode_as_the_library_does(spark, tmp_path, path):
     assert {r.doc_id: r.doc_tokens for r in K.pack(rows, path).collect()} == {i: len(x) + 1 for i, x in enumerate(expected[:50])}
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(E, "GROUP", 64)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["one", "Two.", "3", "\n", "", "É", "<|endoftext|>", "x" * 90]) for _ in range(rng.choice([0, 5, 80]))) for _ in range(300)]
+    for path in (WORD, BYTE):
+        expected = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        found = list(Encoder(path, 200, literal=False).stream(enumerate(t.encode() for t in texts)))
+        assert [(k, np.frombuffer(x, dtype="<u2").tolist()) for k, x in found] == list(enumerate(expected))
+
+
+def test_runs_depend_on_the_rows_alone(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(400)]), " ".join(rng.choice(["one", "two.", "three"]) for _ in range(rng.choice([0, 3, 400])))) for _ in range(600)]
+    packs = []
+    for n in (1, 3, 17):
+        docs = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(n)
+        found = K.pack(docs, BYTE, run_bytes=20_000).collect()
+        packs.append(sorted(map(tuple, found), key=repr))
+    assert packs[0] == packs[1] == packs[2]
+    assert len({r[5] >> 32 for r in packs[0]}) > 5
+    starts = E.run_starts(spark.createDataFrame(rows, "doc_id long, text string"), 20_000)
+    ordered = sorted(zip(*(x.tolist() for x in starts), strict=True))
+    assert ordered == list(zip(*(x.tolist() for x in starts), strict=True)) and len(ordered) == len(set(ordered))
+    keys = [(d, h) for d, h in ordered[:3]] + [(ordered[0][0], ordered[0][1] - 1), (None, 5), (10**6, 0)]
+    got = E.runs_of(pa.array([d for d, _ in keys], pa.int64()), pa.array([h for _, h in keys], pa.int64()), starts).tolist()
+    assert got == [1, 2, 3, 0, 0, len(ordered)]
+
+
+def test_packing_of_more_than_a_buffer(monkeypatch):
+    monkeypatch.setattr(K, "BUFFER", 3)
+    rng = random.Random(8)
+    ends = np.zeros(100, dtype=bool)
+    ends[:8] = True
+    docs = [(i, np.array([rng.randint(0, 99) for _ in range(rng.choice([1, 30, 700, 5000]))], dtype="<u2")) for i in range(60)]
+    pieces = list(K.pack_run(iter(docs), ends, 7 << 32, 512))
+    at = {}
+    sums = defaultdict(int)
+    for doc_id, start, n, crc, total, sequence, offset in pieces:
+        assert start == at.get(doc_id, 0) and offset == sums[sequence]
+        assert crc == zlib.crc32(docs[doc_id][1][start : start + n].astype("<u4").tobytes()) and total == len(docs[doc_id][1])
+        at[doc_id], sums[sequence] = start + n, offset + n
+    assert at == {i: len(x) for i, x in docs}
+    assert [p[0] for p in pieces] == sorted(p[0] for p in pieces) and list(sums) == sorted(sums)
+    assert max(sums.values()) <= 512 and sum(512 - n for n in sums.values() if n & (n - 1)) < 0.1 * sum(sums.values())
+
+
 def test_records_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     R.write_records(table(spark), path, WORD)
