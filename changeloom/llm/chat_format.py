@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch, texts_of, written
+from .common import batch, in_arrow, texts_of, written
 
 #: Schemas of the tools that production conversations may call.
 TOOLS = {
@@ -184,7 +184,7 @@ def placed(made: DataFrame, waits: DataFrame) -> DataFrame:
         known = rest.join(reached.withColumn("known", F.lit(True)), ["conv_id", "after"], "left")
         known = known.groupBy("row").agg(F.min(F.coalesce("known", F.lit(False))).alias("ready"), F.collect_list(F.struct("place", "reach", F.coalesce("level", F.lit(0)).alias("level"))).alias("cross"))
         ready = left.join(known, "row", "left").where("coalesce(ready, true)").select("row", "conv_id", "turn", "calls", "inner", "cross")
-        now = written(ready.mapInArrow(_place_all, PLACED), "placed")
+        now = written(in_arrow(ready, _place_all, PLACED), "placed")
         if now.isEmpty():
             waiting = edges.select("row", "place", F.lit(True).alias("waits")).distinct()
             stuck = left.select("row", "conv_id", "turn", F.explode("calls").alias("c")).select("row", "conv_id", "turn", F.col("c.place").alias("place"), F.col("c.id").alias("id")).join(waiting, ["row", "place"], "left")
@@ -207,7 +207,7 @@ def chat_messages(turns: DataFrame, tools: dict | None = None) -> DataFrame:
             yield batch([(c, t, *read_turn("user" if role is None else role, text.decode(), tools)) for c, t, role, text in rows], TURN)
 
     read = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
-    rows = written(read.mapInArrow(run, TURN), "turns")
+    rows = written(in_arrow(read, run, TURN), "turns")
     own = F.xxhash64("conv_id", "turn", "message").alias("row")
     plain = rows.where("kind = 0").select("conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).alias("level"), "kind", F.lit("ok").alias("status"), "message")
 

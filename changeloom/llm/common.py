@@ -87,10 +87,29 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``ids`` (doc_id); those without an id stay."""
-    gone = few(ids.select(F.col("doc_id").alias("gone_id")))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+def row_key():
+    """128 bits that tell rows apart by id and text; a null text counts as an empty one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))))
+
+
+def staying(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents, with all of their columns, that ``rows`` say stay.
+
+    ``rows`` is a written table with ``row_key`` and ``stays`` of every document; of rows that repeat a key that stays, one does.
+    Keys are broadcast if they are few, which is counted; else both sides are shuffled by key.
+    """
+    gone = few(rows.where("not stays").select(F.col("row_key").alias("gone")).distinct())
+    twice = written(rows.where("stays").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row_key").alias("gone")), "twice")
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, row_key())
+    out = keyed.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    if not twice.isEmpty():
+        again = few(twice)
+        once = out.join(again, F.col(key) == F.col("gone"), "left_semi").dropDuplicates([key])
+        out = out.join(again, F.col(key) == F.col("gone"), "left_anti").unionByName(once)
+    return out.drop(key)
 
 
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}

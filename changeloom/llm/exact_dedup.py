@@ -13,15 +13,13 @@ of two texts. Texts that differ from their leader, which needs a collision of bo
 further round, until none is left.
 
 Of equal texts the row with the most code points in the original text stays, then the smallest id. Null text counts as
-empty, and all empty texts are equal. A null id sorts last. Rows that repeat both id and text share
-a decision; those that share an id alone are told apart. Other columns
-are ignored; an empty table gives an empty result.
+empty, and all empty texts are equal. A null id sorts last. Of rows that repeat both id and text one stays; those that share
+an id alone are told apart, by 128 bits of a hash of both. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, few, texts_of, written
+from .common import batch, few, in_arrow, row_key, staying, texts_of, written
 
 #: Two primes below 2^31 and a base for each.
 PRIMES, BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
@@ -77,15 +75,15 @@ def fingerprint(primes: tuple[int, int]) -> Fingerprint:
     return _MADE[primes]
 
 
-KEY = "doc_id long, row_key long"
+KEY = "doc_id long, row_key binary, row long"
 FACTS = f"{KEY}, fp0 long, fp1 long, n_bytes long, n_points long, text_sha256 string"
-SPANS = f"{FACTS}, whole long, span binary, after long"
-PARTS = "row_key long, keep_key long, salt int, no int, part binary"
+SPANS = f"{FACTS}, span binary, after long"
+PARTS = "row_key binary, keep_key binary, salt int, no int, part binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, text): the key tells rows apart that share an id, and stands for a missing one."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text")
 
 
 def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE) -> DataFrame:
@@ -95,17 +93,16 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int =
         make = fingerprint(primes)
         for b in batches:
             rows = []
-            for doc_id, key, text in zip(b["doc_id"].to_pylist(), b["row_key"].to_pylist(), texts_of(b["text"]), strict=True):
+            for doc_id, key, row, text in zip(b["doc_id"].to_pylist(), b["row_key"].to_pylist(), b["row"].to_pylist(), texts_of(b["text"]), strict=True):
                 left = text.translate(None, SPACE)
                 points = len(text) if text.isascii() else len(text.decode())
                 sha = hashlib.sha256(left).hexdigest()
                 if len(left) <= huge:
-                    rows.append((doc_id, key, *make.of(left), len(left), points, sha, None, None, 0))
+                    rows.append((doc_id, key, row, *make.of(left), len(left), points, sha, None, 0))
                     continue
-                row = int.from_bytes(os.urandom(7), "little")  # repeated rows stay apart
                 for at in range(0, len(left), CHUNK):
                     part = left[at : at + CHUNK]
-                    rows.append((doc_id, key, 0, 0, len(left), points, sha, row, part, len(left) - at - len(part)))
+                    rows.append((doc_id, key, row, 0, 0, len(left), points, sha, part, len(left) - at - len(part)))
             yield batch(rows, SPANS)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +111,15 @@ def fingerprints(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int =
             rows = []
             for row in zip(*(b[x].to_pylist() for x in names), strict=True):
                 found = make.of(row[8])
-                rows.append((*row[:2], *(make.shift(found[k], k, row[9]) for k in (0, 1)), *row[4:8], None, row[9]))
+                rows.append((*row[:3], *(make.shift(found[k], k, row[9]) for k in (0, 1)), *row[5:8], None, row[9]))
             yield batch(rows, SPANS)
 
-    raw = written(keyed(docs).mapInArrow(facts, SPANS), "fingerprints")
-    cut = raw.where("whole is not null").repartition(F.xxhash64("whole", "after")).mapInArrow(spans, SPANS)
-    cut = cut.groupBy("doc_id", "row_key", "whole", "n_bytes", "n_points", "text_sha256").agg(*[F.pmod(F.sum(f"fp{k}"), F.lit(primes[k])).alias(f"fp{k}") for k in (0, 1)])
+    # The number of a row tells repeated rows apart; it is written down with the facts, and so stays the same.
+    raw = written(in_arrow(keyed(docs).withColumn("row", F.monotonically_increasing_id()), facts, SPANS), "fingerprints")
+    cut = in_arrow(raw.where("span is not null").repartition(F.xxhash64("row", "after")), spans, SPANS)
+    cut = cut.groupBy("doc_id", "row_key", "row", "n_bytes", "n_points", "text_sha256").agg(*[F.pmod(F.sum(f"fp{k}"), F.lit(primes[k])).alias(f"fp{k}") for k in (0, 1)])
     names = [x.split()[0] for x in FACTS.split(", ")]
-    return raw.where("whole is null").select(names).unionByName(cut.select(names))
+    return raw.where("span is null").select(names).unionByName(cut.select(names))
 
 
 GROUP = ["fp0", "fp1", "n_bytes", "level"]
@@ -129,15 +127,15 @@ GROUP = ["fp0", "fp1", "n_bytes", "level"]
 
 def leaders(rows: DataFrame) -> DataFrame:
     """The row of each group that stays, and the group's size."""
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus"), "row_key")).alias("best")
+    best = F.min(F.struct((-F.col("n_points")).alias("fewest"), F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key", "row")).alias("best")
     found = rows.groupBy(*GROUP).agg(best, F.count(F.lit(1)).alias("group_size"))
-    return found.select(*GROUP, (-F.col("best.minus")).alias("keep_id"), F.col("best.row_key").alias("keep_key"), "group_size")
+    return found.select(*GROUP, F.col("best.doc_id").alias("keep_id"), F.col("best.row_key").alias("keep_key"), F.col("best.row").alias("keep_row"), "group_size")
 
 
 def parts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The chunks (``PARTS``) of the normalised texts of ``rows`` (row_key, keep_key, salt), read from ``docs`` again.
 
-    The rows are broadcast if they are few, which is counted; else both sides are shuffled.
+    ``rows`` hold a key once, so repeated rows of ``docs`` give their chunks once each. The rows are broadcast if they are few, which is counted; else both sides are shuffled.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,11 +151,11 @@ def parts(docs: DataFrame, rows: DataFrame) -> DataFrame:
                         out, size = [], 0
             yield batch(out, PARTS)
 
-    return keyed(docs).join(few(rows), "row_key").select("row_key", "keep_key", "salt", "text").mapInArrow(cut, PARTS)
+    return in_arrow(keyed(docs).join(few(rows), "row_key").select("row_key", "keep_key", "salt", "text"), cut, PARTS)
 
 
 def decisions(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE, salted: int = SALTED) -> DataFrame:
-    """doc_id, row_key, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
+    """doc_id, row_key, keep_id, keep_key, group_size, kept, text_sha256 for each row of ``docs``."""
     rest = fingerprints(docs, primes, huge).withColumn("level", F.lit(0))
     settled, level = [], 0
     while True:
@@ -165,10 +163,12 @@ def decisions(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUG
         lead = written(leaders(rest), "leaders")
         groups = lead.where("group_size > 1 and n_bytes > 0").withColumn("salts", F.ceil(F.col("group_size") / F.lit(salted)).cast("int"))
         members = rest.join(groups, GROUP).where("row_key != keep_key")
-        members = written(members.select("row_key", "keep_key", F.pmod(F.xxhash64("row_key"), "salts").cast("int").alias("salt")), "members")
+        members = written(members.select("row_key", "keep_key", F.pmod(F.xxhash64("row_key"), "salts").cast("int").alias("salt")).distinct(), "members")
         theirs = parts(docs, members)
-        ours = parts(docs, groups.select(F.col("keep_key").alias("row_key"), "keep_key", F.col("salts").alias("salt")))
-        ours = ours.select("keep_key", "no", F.explode(F.sequence(F.lit(0), F.col("salt") - 1)).alias("salt"), F.col("part").alias("other"))
+        ours = parts(docs, written(members.groupBy("keep_key").agg((F.max("salt") + 1).alias("salt")).select(F.col("keep_key").alias("row_key"), "keep_key", "salt"), "compared"))
+        # A leader may be repeated in the documents; its chunks are combined before they are dealt to the salts.
+        ours = ours.groupBy("keep_key", "no").agg(F.any_value("salt").alias("salt"), F.any_value("part").alias("other"))
+        ours = ours.select("keep_key", "no", F.explode(F.sequence(F.lit(0), F.col("salt") - 1)).alias("salt"), "other")
         both = theirs.join(ours, ["keep_key", "salt", "no"], "left")
         unequal = written(both.where(~F.col("part").eqNullSafe(F.col("other"))).select("row_key").distinct(), "unequal")
         if unequal.isEmpty():
@@ -181,23 +181,19 @@ def decisions(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUG
     out = None
     for rows, lead in settled:
         found = rows.join(lead, GROUP)
-        found = found.select("doc_id", "row_key", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "text_sha256")
+        found = found.select("doc_id", "row_key", "keep_id", "keep_key", "group_size", ((F.col("row_key") == F.col("keep_key")) & (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def exact_duplicates(docs: DataFrame, primes: tuple[int, int] = PRIMES, huge: int = HUGE, salted: int = SALTED) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
-    return decisions(docs, primes, huge, salted).drop("row_key")
+    return decisions(docs, primes, huge, salted).drop("row_key", "keep_key")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents, with all of their columns, that stay; of rows that repeat id and text one stays."""
-    found = written(decisions(docs).select("row_key", "kept"), "decisions")
-    gone = few(found.where("not kept").select(F.col("row_key").alias("gone_key")).distinct())
-    out = docs.join(gone, F.xxhash64(F.col("doc_id").cast("long"), "text") == F.col("gone_key"), "left_anti")
-    again = found.where("kept").groupBy("row_key").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    return staying(docs, written(decisions(docs).select("row_key", (F.col("row_key") == F.col("keep_key")).alias("stays")), "decisions"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,23 +2,29 @@
 
 Finds all pairs of documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-1. Documents with the same shingle set form a class; the least id represents it, and only representatives go on. A class
-   of any size costs one row, as the classes are combined before the shuffle.
-2. ``HASHES`` MinHash values of each representative are cut into bands of ``ROWS``. Representatives that agree in a band
-   are joined to the band's least id, a star with one edge for each, and the stars' connected components are the candidate
-   groups. A pair at similarity 0.8 agrees in no band with probability (1 - 0.8^4)^32 < 5e-8.
-3. Within a candidate group, MinHash values of pairs are compared ``STEP`` at a time. After m values with k equal ones the
+1. Documents with the same shingle set form a class; its row of least id represents it, and only representatives go on. A
+   class of any size costs one row, as the classes are combined before the shuffle.
+2. ``HASHES`` MinHash values of each representative are cut into bands of ``ROWS``; representatives that agree in a band
+   share a bucket. Two at similarity 0.8 share none with probability (1 - 0.8^4)^32 < 5e-8. Buckets that hold the same
+   representatives as another one are left out.
+3. Within a bucket, MinHash values of pairs are compared ``STEP`` at a time. After m values with k equal ones the
    similarity has the posterior Beta(k + 1, m - k + 1); a pair is dropped once the probability that it reaches the
-   threshold falls below ``TOLERANCE``. The pairs that are left are verified exactly on their shingle sets.
-4. A group with many members or long texts is dealt into blocks, and each pair of blocks is a unit of work of its own,
-   of bounded memory. Pairs are counted and united where they are found: a unit returns a row for each document,
-   with its links and the least document that it reached, and never the pairs.
-5. Components of what was reached are the classes of the result.
-
-Shingles are known by 64-bit hashes of their words (runs outside ``[\\x20\\x09-\\x0D]``, as they are). A text of one to four
-words is a single shingle. A text without words, null included, has none, and is in a class of its own without links.
-Rows that share an id share a class if their texts do; a row without an id joins its class but links nothing. Other
-columns are ignored; an empty table gives an empty result.
+   threshold falls below ``TOLERANCE``. The pairs that are left make groups: connected components, found in the bucket
+   first, of which only the least member that each one reaches goes on. So texts that are just weakly alike, as many that
+   share a bucket are, don't chain into groups.
+4. Within a group pairs are pruned in the same way and then verified exactly on their shingle sets; only members of groups
+   have their sets made again and moved.
+5. A bucket or group with many members or long texts is dealt into blocks, and each pair of blocks is a unit of work of its
+   own, of bounded memory. Pairs are counted and united where they are found: a unit returns a row for each member,
+   with its links and the least one that it reached, and never the pairs.
+6. Components of what was reached are the classes of the result.
+
+Shingles are known by 64-bit hashes of their words (runs outside ``[\\x20\\x09-\\x0D]``, as they are), sets by 128-bit hashes
+of their shingles, rows by 128 bits of their id and text. A text of one to four words is a single shingle. A text without
+words, null included, has none, and is in a class of its own without links. Rows that share an id have a class each, by
+their text; a row without an id joins its class and links like any other, and a class without any id has none. Repeated
+rows share a class. A very long text is held whole by the task that reads it, a small multiple of its size. Other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, few, texts_of, without, written
+from .common import batch, few, in_arrow, row_key, staying, texts_of, written
 from .components import components
 
 WORDS, THRESHOLD, HASHES, ROWS, STEP, TOLERANCE = 5, 0.8, 128, 4, 16, 1e-7
@@ -125,21 +131,24 @@ def common(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return total[place[: len(a)], place[len(a) :]].astype(np.int64)
 
 
-def unit(reps: list[int], blocks: np.ndarray, across: bool, sets: list[np.ndarray], sigs: np.ndarray, threshold: float, tolerance: float) -> list[tuple[int, int, int]]:
-    """(rep, least reached rep, links) of the documents with links among those of one block, or of two against each other."""
-    a, b = np.triu_indices(len(reps), 1)
+def unit(keys: list[bytes], blocks: np.ndarray, across: bool, sizes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray] | None, threshold: float, tolerance: float) -> list[tuple[bytes, bytes, int]]:
+    """(key, least key reached, links) of the members with links among those of one block, or of two against each other.
+
+    ``keys`` ascend. Without ``sets`` a pair that can't be ruled out is a link.
+    """
+    a, b = np.triu_indices(len(keys), 1)
     if across:
         other = blocks[a] != blocks[b]
         a, b = a[other], b[other]
-    sizes = np.array([len(s) for s in sets])
     a, b = survivors(a, b, sizes, sigs, threshold, tolerance)
     if not len(a):
         return []
-    both = common(a, b, sets)
-    linked = both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9
-    a, b = a[linked], b[linked]
-    links = np.bincount(a, minlength=len(reps)) + np.bincount(b, minlength=len(reps))
-    label = np.array(reps)
+    if sets is not None:
+        both = common(a, b, sets)
+        linked = both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9
+        a, b = a[linked], b[linked]
+    links = np.bincount(a, minlength=len(keys)) + np.bincount(b, minlength=len(keys))
+    label = np.arange(len(keys))
     while True:  # least labels run along the links
         new = label.copy()
         np.minimum.at(new, a, label[b])
@@ -147,11 +156,12 @@ def unit(reps: list[int], blocks: np.ndarray, across: bool, sets: list[np.ndarra
         if (new == label).all():
             break
         label = new
-    return [(reps[i], int(label[i]), int(links[i])) for i in np.flatnonzero(links).tolist()]
+    return [(keys[i], keys[label[i]], int(links[i])) for i in np.flatnonzero(links).tolist()]
 
 
-SETS = "doc_id long, key binary, n int, sig binary"
-MEMBER = "rep long, root long, block int, blocks int, sets binary, sig binary"
+SETS = "doc_id long, row_key binary, key binary, n int, sig binary"
+MEMBER = "key binary, n int, sig binary, place binary, blocks int, block int, sets binary"
+FOUND = "key binary, other binary, links long"
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -159,64 +169,99 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b["doc_id"].to_pylist(), texts_of(b["text"])
+            ids, rows, texts = b["doc_id"].to_pylist(), b["row_key"].to_pylist(), texts_of(b["text"])
             for at in range(0, len(ids), 256):
                 sets = [shingles(x) for x in texts[at : at + 256]]
                 sigs = iter(signatures([s for s in sets if len(s)]))
-                rows = [(i, xxhash.xxh3_128_digest(s.tobytes()), len(s), next(sigs).tobytes()) if len(s) else (i, None, 0, None) for i, s in zip(ids[at : at + 256], sets, strict=True)]
-                yield batch(rows, SETS)
+                made = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), next(sigs).tobytes()) if len(s) else (None, 0, None) for s in sets]
+                yield batch([(i, r, *m) for i, r, m in zip(ids[at : at + 256], rows[at : at + 256], made, strict=True)], SETS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), "text"), run, SETS)
 
 
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """(node, root): components of the stars of all bands with several representatives."""
-    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))).alias("band")
-    rows = reps.select("rep", "sig", band).select("rep", F.xxhash64("band", F.expr(f"substring(sig, band * {4 * ROWS} + 1, {4 * ROWS})")).alias("bucket"))
-    stars = rows.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    return components(rows.join(stars, "bucket").where("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
-
-
-def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
-    """(rep, other, links) of the representatives (rep, key, n, sig) that have links; a row for each unit of work."""
-    groups = written(candidate_groups(reps).join(reps.select(F.col("rep").alias("node"), "key", "n"), "node"), "groups")
-    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(most))).cast("int").alias("blocks"))
-    members = groups.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "key", "blocks")
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b[c].to_pylist() for c in ("doc_id", "root", "key", "blocks")]
-            texts = texts_of(b["text"])
-            for at in range(0, len(texts), 256):
-                rows = []
-                for doc_id, root, key, n, text in zip(*(c[at : at + 256] for c in columns), texts[at : at + 256], strict=True):
-                    found = shingles(text)
-                    if xxhash.xxh3_128_digest(found.tobytes()) == key:  # another text may share the id
-                        rows.append((doc_id, root, xxhash.xxh3_64_intdigest(str(doc_id)) % n, n, found.tobytes(), signatures([found])[0].tobytes()))
-                yield batch(rows, MEMBER)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(members), "doc_id")
-    dealt = texts.select("doc_id", "root", "key", "blocks", "text").mapInArrow(rebuild, MEMBER)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sets", "sig")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "rep")
+def compared(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """``FOUND``: what the units of ``members`` (``MEMBER``) find; ``place`` is the bucket or group, ``sets`` are null for buckets."""
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "n", "sig", "sets")
+    dealt = dealt.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j", "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("root", "i", "j", "rep", "block", "sets", "sig")
+        names = ("place", "i", "j", "key", "block", "n", "sig", "sets")
         rows = (row for b in batches for row in zip(*(b[c].to_pylist() for c in names), strict=True))
         out = []
         for (_, i, j), group in groupby(rows, key=lambda r: r[:3]):
             group = list({r[3]: r for r in group}.values())
             if len(group) > 1:
-                sets = [np.frombuffer(r[5], dtype=np.uint64) for r in group]
+                sets = None if group[0][7] is None else [np.frombuffer(r[7], dtype=np.uint64) for r in group]
                 sigs = np.frombuffer(b"".join(r[6] for r in group), dtype=np.uint32).reshape(-1, HASHES)
-                out += unit([r[3] for r in group], np.array([r[4] for r in group]), i != j, sets, sigs, threshold, tolerance)
+                out += unit([r[3] for r in group], np.array([r[4] for r in group]), i != j, np.array([r[5] for r in group]), sigs, sets, threshold, tolerance)
             if len(out) > 10_000:
-                yield batch(out, "rep long, other long, links long")
+                yield batch(out, FOUND)
                 out = []
-        yield batch(out, "rep long, other long, links long")
+        yield batch(out, FOUND)
+
+    return in_arrow(dealt, compare, FOUND)
+
+
+def block_of(key: str = "key"):
+    """The block of a member among ``blocks``."""
+    return F.pmod(F.xxhash64(key), "blocks").cast("int").alias("block")
 
-    return dealt.mapInArrow(compare, "rep long, other long, links long")
+
+def candidate_groups(reps: DataFrame, threshold: float, tolerance: float, block: int) -> DataFrame:
+    """(node, root): groups of representatives (key, n, sig) that may be linked."""
+    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1))).alias("band")
+    rows = reps.select("key", "sig", band).select("key", F.xxhash64("band", F.expr(f"substring(sig, band * {4 * ROWS} + 1, {4 * ROWS})")).alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")).where("size > 1")
+    buckets = written(sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks")), "buckets")
+    # Only now do signatures travel, for representatives that share a bucket with another one.
+    shared = written(rows.join(buckets, "bucket"), "shared")
+    members = shared.join(reps.select("key", "n", "sig"), "key").select("key", "n", "sig", F.col("bucket").cast("string").cast("binary").alias("place"), "blocks", block_of(), F.lit(None).cast("binary").alias("sets"))
+    return components(compared(members, threshold, tolerance).select(F.col("key").alias("a"), F.col("other").alias("b")))
+
+
+def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
+    """``FOUND`` for the representatives (key, rep_row, n, sig) that have links; a row for each unit of work."""
+    groups = written(candidate_groups(reps, threshold, tolerance, block).join(reps.select(F.col("key").alias("node"), "rep_row", "n"), "node"), "groups")
+    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(most))).cast("int").alias("blocks"))
+    members = written(groups.join(sizes, "root").select(F.col("rep_row").alias("row_key"), F.col("node").alias("key"), F.col("root").alias("place"), "blocks", block_of("node")), "members")
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, places, blocks, own = (b[c].to_pylist() for c in ("key", "place", "blocks", "block"))
+            out, size = [], 0
+            for text, *rest in zip(texts_of(b["text"]), keys, places, blocks, own, strict=True):
+                found = shingles(text)
+                out.append((rest[0], len(found), signatures([found])[0].tobytes(), *rest[1:], found.tobytes()))
+                size += len(out[-1][6])
+                if size > 4 << 20:
+                    yield batch(out, MEMBER)
+                    out, size = [], 0
+            yield batch(out, MEMBER)
+
+    texts = docs.select(row_key().alias("row_key"), "text").join(few(members), "row_key")
+    made = in_arrow(texts.select("key", "place", "blocks", "block", "text"), rebuild, MEMBER)
+    if not docs.select(row_key().alias("row_key")).join(few(members), "row_key").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        made = made.dropDuplicates(["key"])  # a row that represents its class may be repeated; combined before it is dealt
+    return compared(made, threshold, tolerance)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
+    """doc_id, row_key, rep_id, class_id, class_row (the row of the class that stays), n_links of every row of ``docs``."""
+    sets = written(shingle_sets(docs), "shingle-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key")).alias("first")
+    reps = sets.where("key is not null").groupBy("key").agg(first, F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
+    reps = written(reps.select("key", "first", F.col("first.row_key").alias("rep_row"), "n", "sig"), "representatives")
+    found = written(links(docs, reps, threshold, tolerance, block, most), "links")
+    roots = components(found.select(F.col("key").alias("a"), F.col("other").alias("b")))
+    linked = reps.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key")
+    heads = linked.groupBy("root").agg(F.min("first").alias("head"))
+    linked = linked.join(heads, "root").join(found.groupBy("key").agg(F.sum("links").alias("n_links")), "key")
+    by_key = reps.select("key", "first").join(linked.select("key", "head", "n_links"), "key", "left")
+    rows = sets.select("doc_id", "row_key", "key").join(by_key, "key", "left")
+    own = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key")
+    rows = rows.select("doc_id", "row_key", F.coalesce("first", own).alias("first"), F.coalesce("head", "first", own).alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", "row_key", F.col("first.doc_id").alias("rep_id"), F.col("head.doc_id").alias("class_id"), F.col("head.row_key").alias("class_row"), "n_links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, most: int = SHINGLES) -> DataFrame:
@@ -225,23 +270,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     ``rep_id``: the least id with the same shingles. ``class_id``: the least id of all that links lead to. ``n_links``: the
     number of other shingle sets, whatever the number of their copies, that are similar enough.
     """
-    sets = written(shingle_sets(docs), "shingle-sets")
-    reps = sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
-    # Two texts of one id can each be the least of their class; one is enough to carry a link.
-    reps = written(reps, "representatives")
-    found = written(links(docs, reps, threshold, tolerance, block, most), "links")
-    roots = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    counted = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = reps.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
-    rows = sets.select("doc_id", "key").join(classes, "key", "left")
-    rep = F.coalesce("rep", "doc_id")
-    return rows.select("doc_id", rep.alias("rep_id"), F.coalesce("root", rep).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return classes(docs, threshold, tolerance, block, most).drop("row_key", "class_row")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents, with all of their columns, that represent their class."""
-    found = near_duplicates(docs, **options)
-    return without(docs, written(found.where("doc_id != class_id").select("doc_id").distinct(), "dropped"))
+    """The documents, with all of their columns, that represent their class; of repeated rows one stays."""
+    found = classes(docs, **options).select("row_key", (F.col("row_key") == F.col("class_row")).alias("stays"))
+    return staying(docs, written(found, "decisions"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import texts_of
+from .common import in_arrow, texts_of
 from .textstats import counts as counts_of
 from .textstats import features, held_out, labelled_counts, with_counts
 
@@ -109,7 +109,7 @@ def accepted(docs: DataFrame, model: Discriminant | None, threshold: float = THR
                 b = b.filter(pa.array(model.scores(found) >= threshold))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import in_arrow, texts_of
 
 #: Counts, in order. repeat_words: words in 5-word windows found twice or more in the text.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_adjacent", "n_upper", "n_digits", "n_marks", "n_stops", "n_packed", "n_chars"]
@@ -97,7 +97,7 @@ def with_counts(docs: DataFrame, then, schema: str) -> DataFrame:
             found = np.array([counts(x) for x in texts_of(b["text"])], dtype=np.int64)
             yield pa.record_batch(then(b["doc_id"], found), names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 def held_out(column: str = "doc_id"):

@@ -1,10 +1,12 @@
 """Exact and near duplicates against brute force."""
 
+import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from changeloom.llm import exact_dedup as X
 from changeloom.llm import jaccard_join as J
@@ -18,29 +20,48 @@ def table(spark, rows):
 EXACT = [(1, "a b"), (2, "ab"), (3, " a\tb\n"), (4, None), (5, " "), (6, ""), (7, "b a"), (8, "é\u00a0x"), (9, "éx"), (10, "é\u00a0 x"), (2, "ab"), (11, "q" * 5000), (12, "q" * 4999), (13, "q " * 5000), (2, "other")]
 
 
+def normal(text):
+    return "".join(c for c in (text or "") if c not in " \t\n\x0b\x0c\r")
+
+
 def decide(rows):
+    """Of each group the longest text, then the least id (null last) stays; of rows that repeat both, one does."""
     groups = defaultdict(list)
     for d, t in rows:
-        groups["".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r")].append((-len(t or ""), d, t))
-    out = []
+        groups[normal(t)].append((-len(t or ""), d is None, d or 0, t or ""))
+    out, seen = [], set()
     for d, t in rows:
-        g = groups["".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r")]
-        _, keep, text = min(g, key=lambda x: x[:2])
-        out.append((d, keep, len(g), (d, t) == (keep, text) or d == keep and (t or "") == (text or "")))
-    return sorted(out)
+        best = min(groups[normal(t)])
+        mine = (-len(t or ""), d is None, d or 0, t or "")
+        first = mine == best and mine not in seen
+        seen.add(mine)
+        out.append((d, None if best[1] else best[2], len(groups[normal(t)]), first))
+    return sorted(out, key=repr)
+
+
+LEAST = -(1 << 63)
+HARD = [*EXACT, *[(50, "again and again")] * 1000, *[(51, "again  and again")] * 3, *[(LEAST, "a b c")] * 2, (LEAST, "abc"), (None, "abc"), (None, "only"), (None, "only"), (None, " o n l y"), (60, ""), (60, None)]
 
 
 @pytest.mark.parametrize("options", [{}, {"primes": (7, 5)}, {"huge": 3}, {"huge": 3, "primes": (7, 5), "salted": 1}])
-def test_exact(spark, options):
-    found = X.exact_duplicates(table(spark, EXACT), **options).collect()
-    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == decide(EXACT)
+@pytest.mark.parametrize("rows", [EXACT, HARD], ids=["plain", "hard"])
+def test_exact(spark, rows, options):
+    found = X.exact_duplicates(table(spark, rows), **options).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found), key=repr) == decide(rows)
+
+
+def test_repeated_rows_are_not_multiplied(spark):
+    docs = table(spark, HARD)
+    members = spark.createDataFrame([(50, "again and again", 51), (51, "again  and again", 51)], "doc_id long, text string, keep long")
+    keys = members.select(X.row_key().alias("row_key"), X.row_key().alias("keep_key"), F.lit(0).alias("salt"))
+    assert X.parts(docs, keys).count() == 1003
 
 
 def test_exact_stage_and_empty(spark):
     out = X.deduplicated(table(spark, EXACT))
     assert out.columns == ["doc_id", "text", "row_key"]
-    normal = lambda t: "".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r")
     assert sorted(normal(r.text) for r in out.collect()) == sorted({normal(t) for _, t in EXACT})
+    assert sorted(normal(r.text) for r in X.deduplicated(table(spark, HARD)).collect()) == sorted({normal(t) for _, t in HARD})
     assert X.exact_duplicates(table(spark, []).where("false")).count() == 0
 
 
@@ -75,45 +96,86 @@ def near_rows(seed=5):
 
 
 def brute(rows, threshold=0.8):
+    """(doc_id, rep_id, class_id, n_links) of every row, and the classes as lists of rows."""
+
     def shingles(t):
         w = (t or "").split()
         return frozenset(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else frozenset({tuple(w)} if w else [])
 
-    sets = defaultdict(set)
+    least = lambda ids: min((d for d in ids if d is not None), default=None)
+    sets = defaultdict(list)
     for d, t in rows:
         if shingles(t):
-            sets[shingles(t)].add(d)
-    reps = {s: min(d) for s, d in sets.items()}
-    links, parent = defaultdict(set), {r: r for r in reps.values()}
+            sets[shingles(t)].append(d)
+    links, parent = defaultdict(set), {s: s for s in sets}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, i in reps.items():
-        for b, j in reps.items():
-            if i < j and len(a & b) >= threshold * len(a | b) - 1e-9:
-                links[i].add(j)
-                links[j].add(i)
-                x, y = sorted((root(i), root(j)))
-                parent[y] = x
-    return sorted((d, reps[shingles(t)] if shingles(t) else d, root(reps[shingles(t)]) if shingles(t) else d, len(links[reps[shingles(t)]]) if shingles(t) else 0) for d, t in rows)
+    for a, b in itertools.combinations(sets, 2):
+        if len(a & b) >= threshold * len(a | b) - 1e-9:
+            links[a].add(b)
+            links[b].add(a)
+            parent[root(b)] = root(a)
+    ids = defaultdict(list)
+    for s, d in sets.items():
+        ids[root(s)] += d
+    out = []
+    for d, t in rows:
+        s = shingles(t)
+        out.append((d, least(sets[s]), least(ids[root(s)]), len(links[s])) if s else (d, d, d, 0))
+    kinds = defaultdict(list)
+    for i, (d, t) in enumerate(rows):
+        kinds[root(shingles(t)) if shingles(t) else i if d is None else (d, t or "")].append((d, t))
+    return sorted(out, key=repr), list(kinds.values())
+
+
+def shared_ids(seed=9):
+    """Texts that share an id, rows without one, repeated rows, and groups of near copies over several ids."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(8):
+        base = words(rng, 80)
+        for _ in range(rng.randint(2, 6)):
+            copy = list(base)
+            copy[rng.randrange(80)] = "x"
+            rows += [(rng.choice([None, 1, 2, 3, 4, LEAST, 1 << 62]), " ".join(copy))] * rng.choice([1, 1, 3])
+    return rows + [(1, "A b c d e"), (5, "A b c d e"), (5, "c d e f g"), (1, "A b c d e"), (None, "k l m"), (None, "k l m"), (7, ""), (7, None)]
 
 
 @pytest.mark.parametrize("options", [{}, {"block": 2, "most": 60}])
-def test_near(spark, options):
-    rows = near_rows()
+@pytest.mark.parametrize("make", [near_rows, shared_ids])
+def test_near(spark, make, options):
+    rows = make()
     found = J.near_duplicates(table(spark, rows), **options).collect()
-    assert sorted(tuple(r) for r in found) == brute(rows)
+    assert sorted((tuple(r) for r in found), key=repr) == brute(rows)[0]
 
 
-def test_near_stage_and_empty(spark):
-    rows = near_rows()
+@pytest.mark.parametrize("make", [near_rows, shared_ids])
+def test_near_stage_keeps_one_row_of_each_class(spark, make):
+    rows = make()
     out = J.one_of_each(table(spark, rows))
     assert out.columns == ["doc_id", "text", "row_key"]
-    assert {r.doc_id for r in out.collect()} == {c for _, _, c, _ in brute(rows)}
-    assert J.near_duplicates(table(spark, rows).where("false")).count() == 0
+    kept = Counter((r.doc_id, r.text or "") for r in out.collect())
+    kinds = brute(rows)[1]
+    assert sum(kept.values()) == len(kinds)
+    for kind in kinds:
+        assert sum(kept[x] for x in {(d, t or "") for d, t in kind}) == 1
+
+
+def test_links_between_texts_of_one_id(spark):
+    rng = random.Random(11)
+    a, b = words(rng, 60), words(rng, 60)
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b))]
+    assert sorted(tuple(r) for r in J.near_duplicates(table(spark, rows)).collect()) == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 1, 1)]
+
+
+def test_near_empty(spark):
+    assert J.near_duplicates(table(spark, near_rows()).where("false")).count() == 0
+    assert J.one_of_each(table(spark, near_rows()).where("false")).count() == 0
 
 
 def test_pruning_keeps_what_reaches_the_threshold():
