@@ -14,11 +14,13 @@ own message don't move the result: it is a refusal. No conversation is ever gath
 length; a message, which is one row, is.
 
 Each call's arguments are validated against the tool's schema (types, required, properties, enum, items of JSON Schema).
-Messages become canonical JSON: keys sorted by code point, no spaces, no escapes but the necessary ones, UTF-8.
+Messages become canonical JSON: keys sorted by code point, no spaces, no escapes but the necessary ones, UTF-8; further
+fields of messages, calls and results stay. A text that is no JSON (``NaN`` and numbers beyond a double included), or that is
+nested more than ``DEPTH`` deep, is a plain message, whatever its length.
 
-``status``: ``ok``; ``unknown_tool``, ``invalid_arguments``, ``no_result``, ``duplicate_id``, ``cycle`` for the first call with such a
-fault, in that order of precedence; ``no_call`` for a result without a call. Of calls that share an identifier the first
-in order of turn and place links; of several results for a call all link. Waits in a circle
+``status``: ``ok``; ``unknown_tool``, ``invalid_arguments``, ``unknown_result`` (it waits for the result of no call), ``no_result``,
+``duplicate_id``, ``cycle`` for the first call with such a fault, in that order of precedence; ``no_call`` for a result without a call.
+Of calls that share an identifier the first in order of turn and place links; of several results for a call all link. Waits in a circle
 of messages are a ``cycle`` too, as no order of these messages holds. A null text counts as empty, a null role as
 ``user``; null ids link nothing. Repeated rows are formatted each; other columns are ignored; an empty table gives an
 empty result.
@@ -33,7 +35,6 @@ from graphlib import CycleError, TopologicalSorter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import batch, in_arrow, texts_of, written
 
@@ -44,7 +45,10 @@ TOOLS = {
     "weather": {"type": "object", "required": ["city"], "properties": {"city": {"type": "string"}, "unit": {"type": "string", "enum": ["c", "f"]}}},
 }
 TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
-TURN = "conv_id long, turn long, kind int, message string, ids array<string>, faults array<string>, waits array<string>"
+#: Deepest nesting of a call or result that is read.
+DEPTH = 200
+TURN = "conv_id long, turn long, kind int, message string, ids array<string>, faults array<string>, waiters array<int>, waits array<string>"
+FAULTS = ("unknown_tool", "invalid_arguments", "unknown_result", "no_result", "duplicate_id", "cycle", "ok")
 
 
 def canonical(value: object) -> str:
@@ -74,26 +78,46 @@ def named(value: object) -> list[str]:
     return [x for v in value for x in named(v)] if isinstance(value, list) else []
 
 
+def _number(text: str) -> float:
+    """A finite number."""
+    found = float(text)
+    if found in (float("inf"), float("-inf")):
+        raise ValueError(text)
+    return found
+
+
+def _no_number(text: str) -> float:
+    """``NaN`` and ``Infinity`` aren't JSON."""
+    raise ValueError(text)
+
+
+def deep(value: object) -> bool:
+    """Whether a value is nested more than ``DEPTH`` deep."""
+    level = [value]
+    for _ in range(DEPTH + 1):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return False
+    return True
+
+
 def parsed(text: str) -> dict:
     """The JSON object that a text is, or an empty one."""
     if not text.lstrip().startswith("{"):
         return {}
     try:
-        found = json.loads(text)
+        found = json.loads(text, parse_float=_number, parse_constant=_no_number)
     except (ValueError, RecursionError):
         return {}
-    return found if isinstance(found, dict) else {}
+    return found if isinstance(found, dict) and not deep(found) else {}
 
 
-def read_turn(role: str, text: str, tools: dict) -> tuple[int, str, list[str], list[str], list[str]]:
-    """(kind, message, identifiers, fault of each, identifiers waited for): kind 0 plain, 1 calls, 2 result.
-
-    Each entry of the waits is the caller's place and the identifier waited for, joined by a newline.
-    """
+def read_turn(role: str, text: str, tools: dict) -> tuple[int, str, list[str], list[str], list[int], list[str]]:
+    """(kind, message, identifiers, fault of each, places of calls that wait, identifiers waited for): kind 0 plain, 1 calls, 2 result."""
     found = parsed(text)
     calls = found.get("tool_calls")
     if isinstance(calls, list) and calls and all(isinstance(c, dict) for c in calls):
-        ids, faults, waits, out = [], [], [], []
+        ids, faults, waiters, waits, out = [], [], [], [], []
         for c in calls:
             args = c.get("arguments")
             if isinstance(args, str):
@@ -102,15 +126,14 @@ def read_turn(role: str, text: str, tools: dict) -> tuple[int, str, list[str], l
             schema = tools.get(name) if isinstance(name, str) else None
             ids.append(own if isinstance(own, str) else None)
             faults.append("unknown_tool" if schema is None else "" if valid(args, schema) else "invalid_arguments")
-            waits += [f"{len(ids) - 1}\n{w}" for w in named(args)]
-            out.append({"arguments": args, "id": own, "name": name})
-        message = {"role": role, "tool_calls": out}
-        if isinstance(found.get("content"), str):
-            message["content"] = found["content"]
-        return 1, canonical(message), ids, faults, waits
+            after = named(args)
+            waiters += [len(ids) - 1] * len(after)
+            waits += after
+            out.append({**c, "arguments": args, "id": own, "name": name})
+        return 1, canonical({**found, "role": role, "tool_calls": out}), ids, faults, waiters, waits
     if role == "tool" and isinstance(found.get("tool_call_id"), str):
-        return 2, canonical({"role": role, "tool_call_id": found["tool_call_id"], "content": found.get("content")}), [found["tool_call_id"]], [], []
-    return 0, canonical({"role": role, "content": text}), [], [], []
+        return 2, canonical({"content": None, **found, "role": role}), [found["tool_call_id"]], [], [], []
+    return 0, canonical({"role": role, "content": text}), [], [], [], []
 
 
 def place(turn: int | None, calls: list[dict], cross: list[dict], inner: list[dict]) -> tuple[int | None, int, dict[int, tuple]]:
@@ -213,20 +236,22 @@ def chat_messages(turns: DataFrame, tools: dict | None = None) -> DataFrame:
 
     made = rows.where("kind = 1").select(own, "conv_id", "turn", F.posexplode(F.arrays_zip("ids", "faults")).alias("place", "call"))
     made = made.select("row", "conv_id", "turn", "place", F.col("call.ids").alias("id"), F.col("call.faults").alias("fault"))
-    first = Window.partitionBy("conv_id", "id").orderBy("turn", "row", "place")
-    made = made.withColumn("nth", F.when(F.col("id").isNotNull(), F.row_number().over(first)))
+    firsts = made.where("id is not null").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "row", "place")).alias("one"))
+    made = made.join(firsts, ["conv_id", "id"], "left").withColumn("nth", F.when(F.col("one").isNotNull(), F.when(F.struct("turn", "row", "place").eqNullSafe(F.col("one")), 1).otherwise(2))).drop("one")
     results = rows.where("kind = 2").select(own, "conv_id", "turn", F.col("ids")[0].alias("id"), "message")
     answered = results.groupBy("conv_id", "id").agg(F.lit(True).alias("answered"), F.min("turn").alias("first"), F.max("turn").alias("last"))
     made = made.join(answered, ["conv_id", "id"], "left")
-    calls = made.where("nth = 1").select("conv_id", "id", F.col("turn").alias("call_turn"), F.col("row").alias("owner"), F.col("place").alias("target"))
-    waits = rows.where("kind = 1").select(own, "conv_id", F.explode("waits").alias("w")).select("row", "conv_id", F.split("w", "\n", 2).alias("w"))
-    waits = waits.select("row", "conv_id", F.col("w")[0].cast("int").alias("place"), F.col("w")[1].alias("after")).distinct()
-    waits = waits.join(calls.select("conv_id", F.col("id").alias("after"), "owner", "target"), ["conv_id", "after"])
+    calls = made.where("nth = 1").select("conv_id", "id", F.col("turn").alias("call_turn"), F.col("row").alias("owner"), F.col("place").alias("target")).distinct()
+    named_ = rows.where("kind = 1").select(own, "conv_id", F.explode(F.arrays_zip("waiters", "waits")).alias("w"))
+    named_ = named_.select("row", "conv_id", F.col("w.waiters").alias("place"), F.col("w.waits").alias("after")).distinct()
+    named_ = written(named_.join(calls.select("conv_id", F.col("id").alias("after"), "owner", "target"), ["conv_id", "after"], "left"), "named")
+    waits, lost = named_.where("owner is not null"), named_.where("owner is null").select("row", "place", F.lit(True).alias("lost")).distinct()
     ranks = rows.sparkSession.createDataFrame([], PLACED) if waits.isEmpty() else placed(made, waits)
 
     judged = made.join(ranks.select("row", "place", "order_turn", "message_level", "cycle"), ["row", "place"], "left")
-    fault = F.when(F.col("fault") != "", F.col("fault")).when(F.col("answered").isNull(), "no_result").when(F.col("nth") > 1, "duplicate_id").when(F.col("cycle"), "cycle").otherwise("ok")
-    rank = F.array_position(F.array(*map(F.lit, ("unknown_tool", "invalid_arguments", "no_result", "duplicate_id", "cycle", "ok"))), fault)
+    judged = judged.join(lost, ["row", "place"], "left")
+    fault = F.when(F.col("fault") != "", F.col("fault")).when(F.col("lost"), "unknown_result").when(F.col("answered").isNull(), "no_result").when(F.col("nth") > 1, "duplicate_id").when(F.col("cycle"), "cycle").otherwise("ok")
+    rank = F.array_position(F.array(*map(F.lit, FAULTS)), fault)
     judged = judged.groupBy("row").agg(F.max("order_turn").alias("order_turn"), F.max(F.coalesce("message_level", F.lit(0))).alias("level"), F.min_by(fault, rank).alias("status"))
     callers = rows.where("kind = 1").withColumn("row", own).join(judged, "row").select("conv_id", "turn", F.coalesce("order_turn", "turn").alias("order_turn"), "level", "kind", "status", "message")
 

@@ -98,21 +98,22 @@ def staying(docs: DataFrame, rows: DataFrame) -> DataFrame:
     ``rows`` is a written table with ``row_key`` and ``stays`` of every document; of rows that repeat a key that stays, one does.
     Keys are broadcast if they are few, which is counted; else both sides are shuffled by key.
     """
-    gone = few(rows.where("not stays").select(F.col("row_key").alias("gone")).distinct())
-    twice = written(rows.where("stays").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row_key").alias("gone")), "twice")
     key = "row_key"
     while key in docs.columns:
         key += "_"
-    keyed = docs.withColumn(key, row_key())
-    out = keyed.join(gone, F.col(key) == F.col("gone"), "left_anti")
+    gone = few(rows.where("not stays").select(F.col("row_key").alias(key)).distinct())
+    twice = rows.where("stays").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = written(twice.select(F.col("row_key").alias(key)), "twice")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.withColumn(key, row_key()).join(gone, key, "left_anti")
     if not twice.isEmpty():
         again = few(twice)
-        once = out.join(again, F.col(key) == F.col("gone"), "left_semi").dropDuplicates([key])
-        out = out.join(again, F.col(key) == F.col("gone"), "left_anti").unionByName(once)
-    return out.drop(key)
+        once = out.join(again, key, "left_semi").dropDuplicates([key])
+        out = out.join(again, key, "left_anti").unionByName(once)
+    return out.select(columns)
 
 
-KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
 
 
 def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:

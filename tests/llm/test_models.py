@@ -228,6 +228,91 @@ def test_chat_waits_against_turn_order(spark):
     assert {r.turn: r.status for r in rows if r.conv_id == 4 and r.kind == 1} == {1: "cycle", 2: "cycle"}
 
 
+def test_chat_texts_that_are_hard_to_read(spark):
+    said = lambda *calls, **more: json.dumps({"tool_calls": list(calls), **more})
+    nest = '{"tool_calls":[{"id":"d","name":"search","arguments":{"query":' + "[" * 100_000 + "]" * 100_000 + "}}]}"
+    some = '{"tool_calls":[{"id":"d","name":"search","arguments":{"query":' + "[" * 1500 + "]" * 1500 + "}}]}"
+    turns = [
+        (1, 0, "assistant", nest), (1, 1, "assistant", some),
+        (1, 2, "assistant", '{"tool_calls":[{"id":"n","name":"search","arguments":{"query":NaN}}]}'), (1, 3, "assistant", '{"tool_calls":[{"id":"n","name":"search","arguments":{"query":1e999}}]}'),
+        (2, 0, "assistant", said(call("a\n1", "search", query="x"))), (2, 1, "assistant", said(call("b", "search", query="x", after={"$result": "a\n1"}))), (2, 2, "tool", json.dumps({"tool_call_id": "a\n1"})), (2, 3, "tool", json.dumps({"tool_call_id": "b", "content": [1, {"z": 2.5, "a": None}], "extra": 1})),
+        (3, 0, "assistant", said(call("c", "search", query="x", after={"$result": "nowhere"}), content=["p", 1], note="kept")), (3, 1, "tool", json.dumps({"tool_call_id": "c"})),
+        (None, None, None, None), (4, None, "assistant", said({"name": "search"}, {"id": None, "name": "search", "arguments": "{}"})),
+    ]
+    rows = H.chat_messages(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), {"search": {}}).collect()
+    out = {(r.conv_id, r.turn): r for r in rows}
+    assert len(rows) == len(turns)
+    for turn in range(4):
+        assert out[1, turn].kind == 0 and json.loads(out[1, turn].message) == {"role": "assistant", "content": turns[turn][3]}
+    assert out[2, 1].level == 1 and out[2, 1].order_turn == 2 and {out[2, t].status for t in range(4)} == {"ok"}
+    assert out[2, 3].message == '{"content":[1,{"a":null,"z":2.5}],"extra":1,"role":"tool","tool_call_id":"b"}'
+    assert out[3, 0].status == "unknown_result" and json.loads(out[3, 0].message)["content"] == ["p", 1] and json.loads(out[3, 0].message)["note"] == "kept"
+    assert out[None, None].message == '{"content":"","role":"user"}' and out[4, None].status == "no_result"
+
+
+def test_chat_against_brute_force(spark):
+    rng = random.Random(12)
+    ranks = list(H.FAULTS)
+    turns, expected, linked = [], {}, {}
+    for conv in range(60):
+        messages, results, turn = {}, [], 0
+        for _ in range(rng.randint(1, 7)):
+            turn += 1
+            if rng.random() < 0.55:
+                messages[turn] = [(rng.choice([None, *"abcdef"]), rng.choice(["search"] * 9 + ["none"]), rng.sample("abcdefg", rng.choice([0, 0, 1, 1, 2]))) for _ in range(rng.randint(1, 3))]
+                turns.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": {"on": [{"$result": w} for w in ws]}} for i, n, ws in messages[turn]]})))
+            else:
+                results.append((turn, rng.choice("abcdef")))
+                turns.append((conv, turn, "tool", json.dumps({"tool_call_id": results[-1][1], "content": turn})))
+        first = {}
+        for t, calls in messages.items():
+            for p, (i, _, _) in enumerate(calls):
+                first.setdefault(i, (t, p))
+        answered = {i for _, i in results}
+        outer = {t: {first[w][0] for _, _, ws in calls for w in ws if w in first} - {t} for t, calls in messages.items()}
+        placed = set()
+        while more := {t for t in messages if t not in placed and outer[t] <= placed}:
+            placed |= more
+        for t, calls in messages.items():
+            inner = {p: {first[w][1] for w in ws if w in first and first[w][0] == t} for p, (_, _, ws) in enumerate(calls)}
+            done = set()
+            while more := {p for p in inner if p not in done and inner[p] <= done}:
+                done |= more
+            faults = []
+            for p, (i, n, ws) in enumerate(calls):
+                waits = any(w in first for w in ws)
+                if n != "search":
+                    faults.append("unknown_tool")
+                elif any(w not in first for w in ws):
+                    faults.append("unknown_result")
+                elif i not in answered:
+                    faults.append("no_result")
+                elif first[i] != (t, p):
+                    faults.append("duplicate_id")
+                else:
+                    faults.append("cycle" if (t in placed and p not in done) or (t not in placed and waits) else "ok")
+            expected[conv, t] = min(faults, key=ranks.index)
+        if len(placed) == len(messages):
+            linked[conv] = (messages, results, first)
+        for t, i in results:
+            expected[conv, t] = "ok" if i in first else "no_call"
+    rng.shuffle(turns)
+    rows = {(r.conv_id, r.turn): r for r in H.chat_messages(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), {"search": {}}).collect()}
+    assert {k: r.status for k, r in rows.items()} == expected
+    assert len(set(expected.values())) >= 6 and len(linked) > 30
+    at = lambda c, t: (rows[c, t].order_turn, rows[c, t].level, rows[c, t].kind, t)
+    for conv, (messages, results, first) in linked.items():
+        for t, i in results:
+            if i in first:
+                assert at(conv, t) > at(conv, first[i][0])
+        for t, calls in messages.items():
+            for _, _, ws in calls:
+                for w in ws:
+                    if w in first and first[w][0] != t:
+                        assert at(conv, t) > at(conv, first[w][0])
+                        assert all(at(conv, t) > at(conv, r) for r, i in results if i == w)
+
+
 def test_schemas():
     schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"enum": [1, 2]}}}}
     assert H.valid({"a": 1, "b": [1, 2], "c": None}, schema)
