@@ -12,7 +12,8 @@ hash: two numbers for each source say which documents it holds. So no task ever
 can be made without a shuffle. All of this is DataFrame functions.
 
 A null source is a source of its own. Documents without words count no tokens; a source with none at all is used once.
-Rows that repeat an id and a length share their decision; other columns are kept by ``mixed`` and ignored by ``schedule``;
+No window spans a source: sums run over spans of blocks, over the blocks of one span, and over the hashes of one block.
+Very long texts are counted where they are read. Rows that repeat an id and a length share their decision; other columns are kept by ``mixed`` and ignored by ``schedule``;
 an empty table gives an empty result.
 """
 
@@ -29,6 +30,8 @@ from .common import written
 
 #: Documents of a block on average, sources whose totals are held on the driver or broadcast at most, and bisections.
 BLOCK, FEW, STEPS = 256, 10_000, 50
+#: Blocks that are summed together where the last pass's end is looked for.
+SPAN = 1024
 
 
 @dataclass
@@ -57,14 +60,14 @@ def exponent(sources: DataFrame, target: Target) -> tuple[float, float, float]:
     if not n:
         return 1.0, 1.0, 0.0
     share = F.col("total") / F.lit(float(total))
-    held = [r[0] / total for r in sources.select("total").collect()] if n <= FEW else None
+    held = sorted(r[0] / total for r in sources.select("total").collect()) if n <= FEW else None
 
     def measure(a: float) -> tuple[float, float, float]:
         """Entropy, most passes, and fewest passes, at a budget of all tokens; sums over the table if it is long."""
         if held is not None:
-            z = sum(s**a for s in held)
+            z = math.fsum(s**a for s in held)
             passes = [s ** (a - 1) / z for s in held]
-            return math.log(z) - sum(s**a / z * a * math.log(s) for s in held), max(passes), min(passes)
+            return math.log(z) - math.fsum(s**a / z * a * math.log(s) for s in held), max(passes), min(passes)
         power = F.pow(share, F.lit(a))
         z, dot, most, least = sources.agg(F.sum(power), F.sum(power * F.log(share)), F.max(F.pow(share, F.lit(a - 1))), F.min(F.pow(share, F.lit(a - 1)))).first()
         return math.log(z) - a * dot / z, most / z, least / z
@@ -81,7 +84,7 @@ def exponent(sources: DataFrame, target: Target) -> tuple[float, float, float]:
         middle = (low + high) / 2
         low, high = (low, middle) if meets(middle) else (middle, high)
     _, _, least = measure(high)
-    z = sum(s**high for s in held) if held is not None else sources.agg(F.sum(F.pow(share, F.lit(high)))).first()[0]
+    z = math.fsum(s**high for s in held) if held is not None else sources.agg(F.sum(F.pow(share, F.lit(high)))).first()[0]
     return high, z, target.budget if target.budget is not None else total / least
 
 
@@ -100,20 +103,30 @@ def plan(facts: DataFrame, target: Target) -> DataFrame:
     sums = sums.withColumn("full", F.floor(F.col("passes") + 1e-9).cast("int")).withColumn("left", F.greatest(F.floor((F.col("passes") - F.col("full")) * F.col("total")), F.lit(0)))
     sums = sums.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / F.lit(BLOCK)), F.lit(1)).cast("long"))
     last = joined(facts, sums.where("left > 0")).withColumn("hash", order(F.col("full"), target)).withColumn("block", F.pmod("hash", "blocks"))
-    sizes = last.groupBy("source_key", "block").agg(F.sum("tokens").alias("size"), F.any_value("left").alias("left"))
-    before = F.sum("size").over(Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    ends = sizes.withColumn("before", F.coalesce(before, F.lit(0))).where("before < left and before + size >= left")
-    ends = ends.select("source_key", F.col("block").alias("end_block"), (F.col("left") - F.col("before")).alias("rest"))
-    inside = last.join(F.broadcast(ends) if sums.limit(FEW + 1).count() <= FEW else ends, "source_key").where("block = end_block")
-    so_far = F.sum("tokens").over(Window.partitionBy("source_key").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = written(last.groupBy("source_key", "block").agg(F.sum("tokens").alias("size")), "sizes")
+    # The end is looked for in spans of blocks, then in the blocks of one span, then in one block.
+    spans = sizes.groupBy("source_key", F.floor(F.col("block") / SPAN).alias("span")).agg(F.sum("size").alias("size"))
+    span = ending(joined(spans, sums.where("left > 0").select("source_key", "left")), "span").withColumnRenamed("rest", "left")
+    span = written(span, "spans")
+    blocks = sizes.withColumn("span", F.floor(F.col("block") / SPAN)).join(F.broadcast(span) if span.count() <= FEW else span, ["source_key", "span"])
+    block = written(ending(blocks.select("source_key", "block", "size", "left"), "block"), "ends").withColumnRenamed("block", "end_block")
+    inside = last.join(F.broadcast(block) if block.count() <= FEW else block, "source_key").where("block = end_block")
+    inside = inside.groupBy("source_key", "end_block", "hash", "rest").agg(F.sum("tokens").alias("tokens"))  # repeated rows share a hash
+    so_far = F.sum("tokens").over(Window.partitionBy("source_key").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1))
     stop = inside.withColumn("so_far", F.coalesce(so_far, F.lit(0))).where("so_far < rest").groupBy("source_key").agg(F.max("end_block").alias("end_block"), F.max("hash").alias("end_hash"))
     return written(sums.join(stop, "source_key", "left").select("source_key", "passes", "full", "blocks", F.coalesce("end_block", F.lit(-1)).alias("end_block"), F.coalesce("end_hash", F.lit(0)).alias("end_hash")), "mixture")
 
 
+def ending(rows: DataFrame, part: str) -> DataFrame:
+    """(source_key, ``part``, rest): the part of each source, in order, in which the first ``left`` tokens end; rest of them in it."""
+    before = F.sum("size").over(Window.partitionBy("source_key").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    ends = rows.withColumn("before", F.coalesce(before, F.lit(0))).where("before < left and before + size >= left")
+    return ends.select("source_key", part, (F.col("left") - F.col("before")).alias("rest"))
+
+
 def joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows with their source's columns: broadcast if the sources are few, which is counted, else shuffled."""
-    few = sources.limit(FEW + 1).count() <= FEW
-    return rows.join(F.broadcast(sources) if few else sources, "source_key")
+    """Rows with their source's columns: broadcast if the sources, a written table, are few, which is counted, else shuffled."""
+    return rows.join(F.broadcast(sources) if sources.count() <= FEW else sources, "source_key")
 
 
 def passes_of(rows: DataFrame, sources: DataFrame, target: Target) -> DataFrame:
