@@ -257,7 +257,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     linked = reps.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key")
     heads = linked.groupBy("root").agg(F.min("first").alias("head"))
     linked = linked.join(heads, "root").join(found.groupBy("key").agg(F.sum("links").alias("n_links")), "key")
-    by_key = reps.select("key", "first").join(linked.select("key", "head", "n_links"), "key", "left")
+    # Written before it is joined to all rows, so that the join can be split where very many rows share a set.
+    by_key = written(reps.select("key", "first").join(linked.select("key", "head", "n_links"), "key", "left"), "by-key")
     rows = sets.select("doc_id", "row_key", "key").join(by_key, "key", "left")
     own = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row_key")
     rows = rows.select("doc_id", "row_key", F.coalesce("first", own).alias("first"), F.coalesce("head", "first", own).alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

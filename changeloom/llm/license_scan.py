@@ -13,7 +13,8 @@ becomes ``unknown``. A line is also confirmed if its words and those of one of t
 both together; a line that is just a heading has its family, whatever the model says.
 
 Texts without any word of the features are ``none`` without further work, which is what the model gives them. Null and empty
-texts hold no paragraph and no licence. Repeated rows are scanned each; other columns are ignored; an empty table gives an
+texts hold no paragraph and no licence; very long ones are read whole. Of statements that are equally sure and alike the first
+one counts. Repeated rows are scanned each; other columns are ignored; an empty table gives an
 empty result.
 """
 

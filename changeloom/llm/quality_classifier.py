@@ -10,7 +10,8 @@ The model is fitted on at most ``SAMPLE`` labelled rows, those of least hash amo
 is not 0. Only the text is an input of a score. All documents are scored.
 
 Null text counts as empty and is scored by the same statistics (all zero). Without labels of both classes every score
-is 0.5. Repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
+is 0.5. Very long texts are read whole, a small multiple of their size in memory. Labels that repeat a document all count, and
+ties of the sample's order go by id. Repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

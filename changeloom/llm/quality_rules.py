@@ -6,7 +6,8 @@ taken, and the bounds of its two sides are handed down. The trained trees are fl
 (feature, threshold, left, right, value) and scored for a whole batch at once, level by level.
 
 Null text has no words, and so fails the base rules, as do empty texts. Without labels of both classes the base rules
-decide alone. Repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
+decide alone. Very long texts are read whole; of equal gains the first feature and the least threshold split, and a probability
+just at the limit keeps. Repeated rows are judged each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ Everything over the table is one projection of SQL functions, without a shuffle:
 ``BUCKETS`` buckets, and the weights of the buckets, a literal array, are added up. The weights are trained on the driver
 by batch gradient descent from ``LABELLED``, a table of a few dozen URLs, so the model is the same wherever it is made.
 
-Host and path are empty where the URL is null or has no ``://``; then no rule fits and the model's bias decides. Repeated
+Host and path are empty where the URL is null or has no ``://``; then no rule fits and the model's bias decides. URLs of any length are judged whole; of rules of equal length that fit, the first one wins. Repeated
 rows are judged each; other columns are ignored; an empty table gives an empty result.
 """
 
