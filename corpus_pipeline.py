@@ -3,6 +3,10 @@
 Quality classifier, exact dedup, n-gram Jaccard join, mixing sources to target weights, packing. Each stage reads what its
 predecessor wrote. All but the last return the columns of ``documents``; the last returns the pieces of the packing, where
 a document that the mixture repeats is packed each time.
+
+Null texts count as empty, null ids and null sources are kept like any other; of rows that repeat id and text, and of all empty
+texts, one stays; texts of any length are read whole; further columns, whatever their names, go along to the last stage; empty
+tables give an empty result. Without labels of both classes every document is accepted.
 """
 
 from __future__ import annotations
