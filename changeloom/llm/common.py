@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of an Arrow batch at most, on either side of a Python worker.
 BATCH_BYTES = 8 << 20
 
@@ -57,13 +59,34 @@ def dropped(*tables: DataFrame) -> None:
         df.written_at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df.written_at, True)
 
 
+def tidy() -> None:
+    """Give memory back that Arrow's pool and the C library hold for later: workers live as long as the executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def in_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``: rows may be long, and a batch is held in both processes."""
+    """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``: rows may be long, and a batch is held in both processes.
+
+    After every batch, and at the end, memory that is not used any more goes back to the system.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     known = df.sparkSession.conf.get(key).rstrip("b")
     if not known.isdigit() or int(known) > BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one_by_one() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                tidy()
+
+        yield from f(one_by_one())
+        tidy()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, texts_of
+from .common import batch, in_arrow, texts_of
 
 SEED, PER_TEMPLATE, PASSES, STEP, RIDGE, SURE, ALIKE = 7, 40, 300, 4.0, 1e-4, 0.6, 0.7
 #: Key sentences of well-known licences and the ways in which works name them.
@@ -281,7 +281,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             rows = [(doc_id, *x) for doc_id, text in zip(b["doc_id"].to_pylist(), texts_of(b["text"]), strict=True) for x in scan(text)]
             yield batch(rows, FOUND)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, FOUND)
 
 
 VERDICT = "doc_id long, families string, n_statements int, first_line int, probability double, similarity double"
@@ -300,7 +300,7 @@ def documents(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, ",".join(sorted({x[1] for x in found})), len(found), found[0][0] if found else None, *(top[2:] if top else (None, None))))
             yield batch(rows, VERDICT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, VERDICT)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, VERDICT)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
