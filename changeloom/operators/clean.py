@@ -30,9 +30,9 @@ def has_definition(tree: Column) -> Column:
 
 
 def first_wins(df: DataFrame, *key: str, order: str = "row_no") -> DataFrame:
-    """The first row of each key. Ids are near unique, so the windows are small; combine first where they aren't."""
-    w = Window.partitionBy(*key).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each key; rows are combined before the shuffle, so a key may have any number of them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*key).agg(F.min_by(row, order).alias("_row")).select("_row.*")
 
 
 def keyword_union(frames: list[DataFrame], key: str = "full_name") -> DataFrame:
@@ -78,10 +78,12 @@ def longest_prefix(rows: DataFrame, dirs: DataFrame, path: str = "path", dir_: s
     """
     on = ["_dir"] if key is None else ["_dir", key]
     table = dirs.select(F.col(dir_).alias("_dir"), *([key] if key else [])).distinct()
-    numbered = rows.withColumn("_row", F.struct(*rows.columns))
-    long = numbered.select("_row", *([key] if key else []), F.explode(P.ancestors(F.col(path))).alias("_dir"))
-    best = long.join(table, on).groupBy("_row").agg(F.max_by("_dir", F.length("_dir")).alias("owner"))
-    return numbered.join(best, "_row", "left").select("_row.*", "owner")
+    slim = rows.select(F.col(path).alias("_path"), *([key] if key else [])).distinct()
+    long = slim.select("_path", *([key] if key else []), F.explode(P.ancestors(F.col("_path"))).alias("_dir"))
+    best = long.join(table, on).groupBy("_path", *([key] if key else [])).agg(F.max_by("_dir", F.length("_dir")).alias("owner"))
+    best = best.select(F.col("_path"), "owner", *([F.col(key).alias("_key")] if key else []))
+    same = F.col(path) == F.col("_path")
+    return rows.join(best, same & (F.col(key) == F.col("_key")) if key else same, "left").select(*[rows[c] for c in rows.columns], "owner")
 
 
 def files_in_dirs(files: Column, dirs: Column) -> Column:
@@ -98,16 +100,26 @@ def assets(files: Column, roots: Column) -> Column:
     return F.filter(files, lambda f: P.is_asset(f["filename"], every))
 
 
-def in_scope(diffs: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows that don't only follow their upstream, with the files in scope; ``index`` has (repo, path) of definition files.
+def with_dirs(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows with ``dirs``: the known directories of their upstream that are above any of their files, or a file's own parent.
 
-    The directories of an upstream are one array, joined by upstream; they are as many as an upstream has packages.
+    ``index`` has (repo, path) of definition files. Files are exploded into their ancestors, which are joined by equality; so
+    an upstream may have any number of packages, and a row meets only those that its own files lie in.
     """
-    dirs = index.select(F.col("repo").alias("upstream"), P.parent(F.col("path")).alias("d")).groupBy("upstream").agg(F.collect_set("d").alias("dirs"))
-    own = diffs.where(~X.is_sync(F.col("fork_branch"), F.col("commits"))).join(F.broadcast(dirs), "upstream", "left")
-    dirs_ = F.coalesce("dirs", F.array().cast("array<string>"))
-    own = own.withColumn("files", files_in_dirs(F.col("files"), dirs_))
-    return own.withColumn("files", assets(F.col("files"), dirs_)).drop("dirs").where(F.size("files") > 0)
+    known = index.select(F.col("repo").alias("upstream"), P.parent(F.col("path")).alias("_d")).distinct()
+    numbered = rows if "row_no" in rows.columns else rows.withColumn("row_no", F.monotonically_increasing_id())
+    names = numbered.select("row_no", "upstream", F.explode("files.filename").alias("_f")).distinct()
+    above = F.concat(P.ancestors(F.col("_f")), P.ancestors(P.parent(F.col("_f"))), F.array(F.lit(".")))
+    met = names.select("row_no", "upstream", F.explode(above).alias("_d")).distinct().join(known, ["upstream", "_d"])
+    out = numbered.join(met.groupBy("row_no").agg(F.collect_set("_d").alias("dirs")), "row_no", "left")
+    return out.select(*rows.columns, F.coalesce("dirs", F.array().cast("array<string>")).alias("dirs"))
+
+
+def in_scope(diffs: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows that don't only follow their upstream, with the files in scope; ``index`` has (repo, path) of definition files."""
+    own = with_dirs(diffs.where(~X.is_sync(F.col("fork_branch"), F.col("commits"))), index)
+    own = own.withColumn("files", files_in_dirs(F.col("files"), F.col("dirs")))
+    return own.withColumn("files", assets(F.col("files"), F.col("dirs"))).drop("dirs").where(F.size("files") > 0)
 
 
 def clean_commits(commits: Column) -> Column:
@@ -159,8 +171,7 @@ def funnel(steps: list[tuple[str, str, DataFrame]]) -> DataFrame:
 
 def new_packages(diffs: DataFrame, index: DataFrame) -> DataFrame:
     """Counts over all rows and their shares: rows that modify a known package, add one, do both, or only add."""
-    known = index.select(F.col("repo").alias("upstream"), P.parent(F.col("path")).alias("d")).groupBy("upstream").agg(F.collect_set("d").alias("dirs"))
-    rows = diffs.join(F.broadcast(known), "upstream", "left").withColumn("dirs", F.coalesce("dirs", F.array().cast("array<string>")))
+    rows = with_dirs(diffs, index)
     dirs, of = F.col("dirs"), lambda f: P.parent(f["filename"])
     added = F.exists("files", lambda f: (P.name(f["filename"]) == "SKILL.md") & (f["status"] == "added") & ~F.array_contains(dirs, of(f)))
     modified = F.exists("files", lambda f: owner_dir(f["filename"], dirs).isNotNull() | owner_dir(of(f), dirs).isNotNull())

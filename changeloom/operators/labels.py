@@ -35,8 +35,13 @@ def with_inputs(outputs: DataFrame, inputs: DataFrame, key: str) -> tuple[DataFr
 
 
 def message_instances(verdicts: DataFrame, inputs: DataFrame, instances: DataFrame, key: str = "modification_id") -> DataFrame:
-    """Verdict, input and instance of each record that has all three."""
-    return verdicts.join(inputs, key).join(instances, key)
+    """Verdict, input and instance of each record; a record that lacks either raises when the result is read."""
+    out = verdicts
+    for name, table in (("input", inputs), ("instance", instances)):
+        out = out.join(table.withColumn("_there", F.lit(True)), key, "left")
+        lacking = F.raise_error(F.concat(F.lit(f"no {name} for "), F.coalesce(F.col(key).cast("string"), F.lit("a record without id")))).cast("boolean")
+        out = out.where(F.when(F.col("_there"), True).otherwise(lacking)).drop("_there")
+    return out
 
 
 def predictions(pred: DataFrame, truth: DataFrame, verdicts: DataFrame, key: str = "modification_id") -> DataFrame:
@@ -51,7 +56,7 @@ def predictions(pred: DataFrame, truth: DataFrame, verdicts: DataFrame, key: str
 
 def families(instances: DataFrame, mapping: DataFrame) -> DataFrame:
     """Instances with the distinct families of their labels; labels without a family vanish. ``mapping`` is (pattern, family)."""
-    long = instances.select("id", F.explode(F.array_distinct("labels")).alias("pattern")).join(F.broadcast(mapping), "pattern")
+    long = instances.select("id", F.explode(F.array_distinct("labels")).alias("pattern")).join(mapping, "pattern")
     by_id = long.groupBy("id").agg(F.array_sort(F.collect_set("family")).alias("families"))
     return instances.join(by_id, "id", "left").withColumn("families", F.coalesce("families", F.array().cast("array<string>")))
 

@@ -21,10 +21,11 @@ def ratio(a: Column, b: Column) -> Column:
 def weighted(instances: DataFrame) -> DataFrame:
     """Instances with ``w``, one over the root of the number of instances of their upstream.
 
-    Sizes are counted with partial aggregation and joined back, so a large upstream isn't gathered in a window.
+    Sizes are counted with partial aggregation and joined back, so a large upstream isn't gathered in a window; null is an upstream too.
     """
     sizes = instances.groupBy("upstream").agg(F.count(F.lit(1)).alias("size"))
-    return instances.join(sizes, "upstream").withColumn("w", 1 / F.sqrt("size")).drop("size")
+    sizes = sizes.withColumnRenamed("upstream", "_u")
+    return instances.join(sizes, F.col("upstream").eqNullSafe(F.col("_u"))).withColumn("w", 1 / F.sqrt("size")).drop("size", "_u")
 
 
 def prevalence(instances: DataFrame) -> DataFrame:

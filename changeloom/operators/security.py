@@ -91,13 +91,16 @@ def scan(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return hit.join(F.broadcast(rule_table(lines.sparkSession, rules)), "rule_no")
 
 
-def diff_lines(instances: DataFrame) -> DataFrame:
-    """(instance columns, file_no, path, file_status, line, block, role, content) of every line of every file of ``patch``."""
+def diff_lines(instances: DataFrame, hunks: bool = False) -> DataFrame:
+    """(instance columns, file_no, path, file_status, line, block, role, content) of every line of every file of ``patch``.
+
+    With ``hunks`` a block is a hunk, and lines before the first ``@@`` are one of their own; else they share the first one's.
+    """
     from ..functions import diffs as D
 
     files = instances.select(*[c for c in instances.columns if c != "patch"], F.posexplode(D.files(F.col("patch"))).alias("file_no", "f"))
     own = [c for c in files.columns if c != "f"]
-    lines = files.select(*own, F.col("f.path").alias("path"), F.col("f.status").alias("file_status"), F.explode(D.block_lines(F.col("f.diff"))).alias("l"))
+    lines = files.select(*own, F.col("f.path").alias("path"), F.col("f.status").alias("file_status"), F.explode((D.hunk_lines if hunks else D.block_lines)(F.col("f.diff"))).alias("l"))
     return lines.select(*own, "path", "file_status", "l.*")
 
 
@@ -166,6 +169,12 @@ def origin(matches: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.agg(n("a = 1").alias("added"), n("c = 1").alias("context"), n("a = 1 and c = 1").alias("both"), n("a = 1 and c = 0").alias("added_only"), n("a = 0 and c = 1").alias("context_only"))
 
 
+def deleted_only(matches: DataFrame) -> DataFrame:
+    """Instances whose matches are all on removed lines."""
+    flags = matches.groupBy("id").agg(F.max((F.col("role") != "removed").cast("int")).alias("other"), F.count(F.lit(1)).alias("matches"))
+    return flags.where("other = 0").select("id", "matches")
+
+
 def line_edits(matches: DataFrame) -> DataFrame:
     """Instances by edit, files that were removed aside: ``added`` if any added line matches, else ``deleted`` if a removed one does."""
     kept = matches.where("file_status != 'removed' and role in ('added', 'removed')")

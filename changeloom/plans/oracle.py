@@ -124,7 +124,14 @@ def uuid5(value: str) -> str:
     return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
 
 
-_K = "(n11 / n + n00 / n)"
+QUOTAS = """t as (select lang, count(*) as size, min(doc_id) as seen from documents group by 1),
+b as (select *, case when sum(least(size, 1)) over () <= 300 then least(size, 1) else 0 end as base from t),
+r as (select *, size - base as room, 300 - sum(base) over () as spare, sum(size - base) over () as rooms from b),
+w as (select *, case when spare > 0 and rooms > 0 then (spare * room)::double / rooms::double else 0 end as part from r),
+o as (select *, least(floor(part), room) as whole from w),
+f as (select *, row_number() over (order by whole < room desc, part - floor(part) desc, seen) as turn, spare - sum(whole) over () as more from o),
+q as (select lang, (base + whole + (whole < room and part > 0 and turn <= more)::int)::bigint as quota from f)"""
+CHANGES = "c as (select page_id, page_id % 5 as up, page_id % 7 as k1, (page_id + 1) % 7 as k2, page_id % 3 as s from pages)"
 SQL = {
     "prevalence_patterns": prevalence("pattern"),
     "prevalence_families": prevalence("family"),
@@ -204,4 +211,21 @@ select 'family' as kind, family as name, count(distinct no) as n from t group by
     "verdict_states": "select quality is not null as audited, case when quality is null then null when quality = 0 then 'wrong' else 'correct' end as verdict, count(*) as n from documents left join labels using (doc_id) group by 1, 2",
     "cochran_draw": "with n as (select count(*) as n, 1.96 * 1.96 * 0.5 * 0.5 / (0.05 * 0.05) as n0 from documents), r as (select doc_id, row_number() over (order by md5('1104:' || doc_id), doc_id) as k from documents) select doc_id from r, n where k <= least(ceil(n0 * n / (n0 + n - 1)), n)",
     "label_jaccard": f"with {SETS} select id, round(case when len(list_distinct(a || b)) = 0 then 1 else len(list_intersect(a, b)) / len(list_distinct(a || b)) end, 6) as jaccard, list_has_all(a, b) as holds from two",
+    "stratified_quotas": f"with {QUOTAS} select lang, quota from q",
+    "stratified_sample": f"with {QUOTAS}, d as (select doc_id, lang, row_number() over (partition by lang order by md5('1104:' || doc_id), doc_id) as k from documents) select doc_id, d.lang, 'repo:' || d.lang as sample_stratum from d join q on q.lang is not distinct from d.lang where k <= quota",
+    "diff_origin_total": f"with {DIFF}, {matched('dl')}, f as (select id, {FLAGS} from m group by 1) select coalesce(sum(a), 0)::bigint as added, coalesce(sum(c), 0)::bigint as context, coalesce(sum(a * c), 0)::bigint as \"both\", coalesce(sum(a * (1 - c)), 0)::bigint as added_only, coalesce(sum((1 - a) * c), 0)::bigint as context_only from f",
+    "diff_origin_by_rule": f"with {DIFF}, {matched('dl')}, f as (select rule, id, {FLAGS} from m group by 1, 2) select rule, sum(a)::bigint as added, sum(c)::bigint as context, sum(a * c)::bigint as \"both\", sum(a * (1 - c))::bigint as added_only, sum((1 - a) * c)::bigint as context_only from f group by 1",
+    "diff_added_by_rule": f"with {DIFF}, {matched('dl')}, a as (select * from m where role = 'added') select rule, count(distinct id) as instances, round(count(distinct id) / (select count(*) from documents), 6) as prevalence, count(*) as matches, round(count(*) / (select count(*) from a), 6) as match_share from a group by 1",
+    "diff_deleted_only": f"with {DIFF}, {matched('dl')} select id, count(*) as matches from m group by 1 having count(*) = count(*) filter (role = 'removed')",
+    "popular_repos": "select c_custkey from customer where c_custkey * 3701 % 40000 >= 20000 and c_custkey * 1301 % 4000 >= 2000 and c_nationkey > 2 and c_nationkey % 3 > 0",
+    "keyword_union": "select c_custkey, case when c_nationkey < 10 then 'nation' else 'segment' end as search from customer where c_nationkey < 10 or c_mktsegment = 'BUILDING'",
+    "forks_of_upstream": "select o_orderkey as row_no, o_orderpriority as upstream from orders where o_orderpriority = '1-URGENT' order by o_orderkey limit 50",
+    "files_in_scope": f"with {CHANGES}, f as (select page_id, concat_ws(',', case when up < 4 and k1 < 4 and s = 0 then 'skills/' || k1 || '/SKILL.md' end, case when up < 4 and k2 < 4 then 'skills/' || k2 || '/deep/a.py' end) as files from c where page_id % 11 <> 0) select page_id as row_no, files from f where files <> ''",
+    "new_packages": f"""with {CHANGES}, f as (select up = 4 and s = 1 or k1 >= 4 and s = 1 as a, up < 4 and (k1 < 4 or k2 < 4) as m from c), t as (select count(*) as total, sum(m::int) as m, sum(a::int) as a, sum((a and m)::int) as am, sum((a and not m)::int) as only_a from f),
+l as (select total, unnest(['modifies_existing', 'adds_new', 'modifies_existing_and_adds_new', 'adds_new_only']) as category, unnest([m, a, am, only_a])::bigint as count from t) select category, count, round(count / total, 6) as share_of_total, total as denominator from l""",
+    "predictions_with_truth": "select doc_id, case when toxic = 1 then case when quality = 1 then 'good,toxic' else 'bad,toxic,good' end else case when quality = 1 then 'good,x' else 'bad,x' end end as pred, lang as truth from labels join documents using (doc_id)",
+    "audit_tasks": "select doc_id, case when toxic = 1 then 'low-confidence' else 'sample' end as \"set\", row_number() over (order by case when toxic = 1 then 0 else 1 end, doc_id) as task from labels join documents using (doc_id)",
+    "low_confidence": "select doc_id, doc_id % 4 > 0 and (quality <> 1 or toxic <> 0) as low from labels",
+    "instance_identity": "select c_custkey, c_mktsegment as upstream, case when c_custkey % 3 > 0 then c_name else '' end as owner, case when c_custkey % 3 > 1 then 'main' else '' end as branch from customer",
+    "patch_text": "select doc_id, md5('diff --git ' || case when doc_id % 2 = 0 then 'a.md' else 'b.md' end || ' b.md  [renamed +' || doc_id || '/-0]' || chr(10) || case when text = '' then '' else text || chr(10) end || 'diff --git c.md c.md  [ +1/-2]') as h from documents",
 }

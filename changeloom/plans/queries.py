@@ -16,6 +16,7 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..operators import audit as U
 from ..operators import clean as C
+from ..operators import features as T
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import sampling as S
@@ -189,9 +190,7 @@ def cochran_size(spark, sf):
 @query
 def stratified_quotas(spark, sf):
     """Quotas of 300 documents by language."""
-    docs = table(spark, sf, "documents")
-    made = S.quotas(S.stratum_sizes(docs, "lang", "doc_id"), 300)
-    return spark.createDataFrame(list(made.items()), "lang string, quota long")
+    return S.quotas(table(spark, sf, "documents"), "lang", "doc_id", 300).select("lang", "quota")
 
 
 @query
@@ -237,8 +236,7 @@ def shared_keys_drop(spark, sf):
 @query
 def first_wins_dedup(spark, sf):
     """The first document of each text."""
-    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"))
-    return docs.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    return C.first_wins(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h")), "h", order="doc_id")
 
 
 @query
@@ -384,10 +382,14 @@ def security_by_category(spark, sf):
     return rounded(Z.by(Z.scan(document_lines(spark, sf)), ["category"], table(spark, sf, "documents").count()))
 
 
-def document_diffs(spark, sf) -> DataFrame:
-    """(id, patch): lines of a document as a diff of one file, six to a hunk, added, removed and kept in turn."""
+def document_diffs(spark, sf, loose: bool = False) -> DataFrame:
+    """(id, patch): lines of a document as a diff of one file, six to a hunk, added, removed and kept in turn.
+
+    If ``loose``, the first six lines of odd documents stand before any hunk.
+    """
+    bare = (F.col("id") % 2 == 1) & F.lit(loose)
     rows = document_lines(spark, sf).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("l"))
-    mark = lambda r: F.concat(F.when(r["line"] % 6 == 0, "@@ -1 +1 @@\n").otherwise(""), F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), r["line"] % 3 + 1), r["content"])
+    mark = lambda r: F.concat(F.when((r["line"] % 6 == 0) & ~(bare & (r["line"] == 0)), "@@ -1 +1 @@\n").otherwise(""), F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), r["line"] % 3 + 1), r["content"])
     status = F.element_at(F.array(F.lit("modified"), F.lit("added"), F.lit("removed")), (F.col("id") % 3 + 1).cast("int"))
     return rows.select("id", F.concat(F.lit("diff --git a.md a.md  ["), status, F.lit(" +1/-1]\n"), F.array_join(F.transform("l", mark), "\n")).alias("patch"))
 
@@ -413,8 +415,8 @@ def diff_line_edits(spark, sf):
 
 @query
 def diff_hunks(spark, sf):
-    """Hunks with matches by status."""
-    lines = Z.diff_lines(document_diffs(spark, sf))
+    """Hunks with matches by status; some documents have lines before their first hunk."""
+    lines = Z.diff_lines(document_diffs(spark, sf, loose=True), hunks=True)
     return Z.hunks(Z.scan(lines), Z.hunk_roles(lines)).groupBy("hunk_status", "deleted_only").agg(F.count(F.lit(1)).alias("hunks"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.sum("context").alias("context"))
 
 
@@ -424,6 +426,31 @@ def diff_removed_alone(spark, sf):
     return Z.removed_alone(Z.scan(Z.diff_lines(document_diffs(spark, sf)))).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def diff_origin_total(spark, sf):
+    """Documents with matches on added lines, on others, on both."""
+    return Z.origin(Z.scan(Z.diff_lines(document_diffs(spark, sf))))
+
+
+@query
+def diff_origin_by_rule(spark, sf):
+    """Documents with matches on added lines, on others, on both, by rule."""
+    return Z.origin(Z.scan(Z.diff_lines(document_diffs(spark, sf))), ["rule"])
+
+
+@query
+def diff_added_by_rule(spark, sf):
+    """Documents and matches on added lines by rule."""
+    found = Z.scan(Z.diff_lines(document_diffs(spark, sf))).where("role = 'added'")
+    return rounded(Z.by(found, ["rule"], table(spark, sf, "documents").count()))
+
+
+@query
+def diff_deleted_only(spark, sf):
+    """Documents whose matches are all on removed lines."""
+    return Z.deleted_only(Z.scan(Z.diff_lines(document_diffs(spark, sf))))
+
+
 @query
 def diff_file_statuses(spark, sf):
     """Documents with matches by status of the file."""
@@ -505,3 +532,96 @@ def label_jaccard(spark, sf):
     """Similarity of both sets of families of each order, and whether the first holds the second."""
     rows = two_sets(spark, sf)
     return rounded(rows.select("id", M.jaccard(F.col("a"), F.col("b")).alias("jaccard"), (F.size(F.array_except("b", "a")) == 0).alias("holds")))
+
+
+@query
+def popular_repos(spark, sf):
+    """Repositories, made from customers, with enough stars and forks and a definition file."""
+    c = table(spark, sf, "customer")
+    repos = c.select("c_custkey", (F.col("c_custkey") * 3_701 % 40_000).alias("stargazers_count"), (F.col("c_custkey") * 1_301 % 4_000).alias("forks_count"), F.when(F.col("c_nationkey") > 2, F.col("c_nationkey") % 3 > 0).alias("has_skill_md"))
+    return C.popular(repos).select("c_custkey")
+
+
+@query
+def keyword_union(spark, sf):
+    """Customers that two searches find, each with the first search that found it."""
+    c = table(spark, sf, "customer")
+    found = [c.where("c_nationkey < 10").select("c_custkey", F.lit("nation").alias("search")), c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("segment").alias("search"))]
+    return C.keyword_union(found, "c_custkey")
+
+
+@query
+def forks_of_upstream(spark, sf):
+    """The first 50 orders, by key, of one priority."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_no"), F.col("o_orderpriority").alias("upstream"))
+    return C.of_upstream(rows, "1-URGENT", most=50)
+
+
+def page_changes(spark, sf) -> DataFrame:
+    """A change for each page: a definition file that it edits, adds or removes, a script of another package, a file at the top."""
+    status = F.element_at(F.array(F.lit("modified"), F.lit("added"), F.lit("removed")), (F.col("page_id") % 3 + 1).cast("int"))
+    file = lambda name, of: F.struct(name.alias("filename"), of.alias("status"))
+    files = F.array(file(F.concat(F.lit("skills/"), F.col("page_id") % 7, F.lit("/SKILL.md")), status), file(F.concat(F.lit("skills/"), (F.col("page_id") + 1) % 7, F.lit("/deep/a.py")), F.lit("modified")), file(F.lit("README.md"), F.lit("modified")))
+    branch = F.when(F.col("page_id") % 11 == 0, "sync/upstream").otherwise("main")
+    commits = F.array(F.struct(F.lit("1").alias("sha"), F.lit("edit").alias("message")))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("row_no"), (F.col("page_id") % 5).cast("string").alias("upstream"), branch.alias("fork_branch"), commits.alias("commits"), files.alias("files"))
+
+
+def page_index(spark, sf) -> DataFrame:
+    """(repo, path) of four known packages of each upstream but the last."""
+    return table(spark, sf, "nation").where("n_nationkey < 16").select((F.col("n_nationkey") % 4).cast("string").alias("repo"), F.concat(F.lit("skills/"), F.floor(F.col("n_nationkey") / 4), F.lit("/SKILL.md")).alias("path"))
+
+
+@query
+def files_in_scope(spark, sf):
+    """Files of the pages' changes that lie in known packages."""
+    return C.in_scope(page_changes(spark, sf), page_index(spark, sf)).select("row_no", F.array_join("files.filename", ",").alias("files"))
+
+
+@query
+def new_packages(spark, sf):
+    """Shares of the pages' changes that edit known packages, add some, or both."""
+    return rounded(C.new_packages(page_changes(spark, sf), page_index(spark, sf)))
+
+
+@query
+def predictions_with_truth(spark, sf):
+    """Predicted labels of labelled documents, corrected where a verdict is there, and their true ones."""
+    labels = table(spark, sf, "labels")
+    pred = labels.select("doc_id", F.array(F.when(F.col("quality") == 1, "good").otherwise("bad"), F.lit("x")).alias("pred_labels"))
+    verdicts = labels.where("toxic = 1").select("doc_id", F.array(F.lit("x")).alias("remove_labels"), F.array(F.lit("toxic"), F.lit("good")).alias("add_labels"))
+    truth = table(spark, sf, "documents").select("doc_id", F.array("lang").alias("gt_labels"))
+    out = L.predictions(pred, truth, verdicts, "doc_id")
+    return out.select("doc_id", F.array_join("pred_labels", ",").alias("pred"), F.array_join("gt_labels", ",").alias("truth"))
+
+
+@query
+def audit_tasks(spark, sf):
+    """Tasks of an audit of the labelled documents, toxic ones first."""
+    labels = table(spark, sf, "labels")
+    records = labels.select("doc_id", F.when(F.col("toxic") == 1, "low-confidence").otherwise("sample").alias("set"))
+    return L.tasks(records, labels.select("doc_id", "quality"), table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "set", F.col("task").cast("long").alias("task"))
+
+
+@query
+def low_confidence(spark, sf):
+    """Labelled documents with a label of low confidence; those without assignments have none."""
+    mark = lambda c, high: F.struct(F.lit(c).alias("name"), F.when(high, "high").otherwise("low").alias("confidence"))
+    rows = table(spark, sf, "labels").select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.array(mark("quality", F.col("quality") == 1), mark("toxic", F.col("toxic") == 0))).alias("a"))
+    return rows.select("doc_id", L.low_confidence(F.col("a")).alias("low"))
+
+
+@query
+def instance_identity(spark, sf):
+    """Upstream, owner and branch of ids, some of which lack parts."""
+    id_ = F.concat_ws("::", "c_mktsegment", F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")), F.when(F.col("c_custkey") % 3 > 1, "main"))
+    upstream, owner, branch = T.identity(id_)
+    return table(spark, sf, "customer").select("c_custkey", upstream.alias("upstream"), owner.alias("owner"), branch.alias("branch"))
+
+
+@query
+def patch_text(spark, sf):
+    """Patches of two files each, made from documents."""
+    file = F.struct(F.lit("b.md").alias("filename"), F.when(F.col("doc_id") % 2 == 0, "a.md").otherwise("").alias("previous_filename"), F.lit("renamed").alias("status"), F.col("doc_id").alias("additions"), F.lit(None).cast("long").alias("deletions"), F.col("text").alias("patch"))
+    other = F.struct(F.lit("c.md").alias("filename"), F.lit(None).cast("string").alias("previous_filename"), F.lit(None).cast("string").alias("status"), F.lit(1).cast("long").alias("additions"), F.lit(2).cast("long").alias("deletions"), F.lit("").alias("patch"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(D.patch(F.array(file, other))).alias("h"))

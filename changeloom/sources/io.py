@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import fixed4
 
@@ -18,15 +19,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, bad: bool = False) -> DataFrame:
     """Lines of JSON with a fixed schema; blank lines are skipped, and a missing path is an empty table.
 
-    ``row_no`` follows the order of the files' names and of lines in a file where a file is read as one split.
+    ``row_no`` follows the files' names and the lines in a file, however files are split and spread. A line that is no JSON
+    of the schema raises if ``strict``; else it is left out, and with ``bad`` such lines alone (``line``) are what is read.
     """
     if not exists(spark, path):
-        return spark.createDataFrame([], schema).withColumn("row_no", F.lit(0).cast("long"))
-    df = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
-    return df.withColumn("row_no", F.monotonically_increasing_id())
+        empty = spark.createDataFrame([], "line string" if bad else schema)
+        return empty.withColumn("row_no", F.lit(0).cast("long"))
+    options = {"mode": "FAILFAST" if strict else "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    if bad:
+        rows = _numbered(spark.read.text(path)).where(F.trim("value") != "")
+        read = F.from_json("value", f"{schema}, _bad STRING", options)
+        return rows.withColumn("_read", read).where("_read._bad is not null").select(F.col("value").alias("line"), "row_no")
+    df = _numbered(spark.read.schema(schema if strict else f"{schema}, _bad STRING").options(**options).json(path))
+    return df if strict else df.where("_bad is null").drop("_bad")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Lines read from files with ``row_no``, in the order of the files' names and of the lines in a file."""
+    columns = df.columns
+    df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_id", F.monotonically_increasing_id())
+    # Splits are few; within one, ids ascend with the lines.
+    splits = df.groupBy("_file", "_at").agg(F.min("_id").alias("_first")).withColumn("_no", F.row_number().over(Window.orderBy("_file", "_at")))
+    number = F.col("_no").cast("long") * F.lit(1 << 33) + F.col("_id") - F.col("_first")
+    return df.join(splits, ["_file", "_at"]).select(*columns, number.alias("row_no"))
 
 
 def read_json_folder(spark: SparkSession, path: str, schema: str, skip: tuple[str, ...] = ("manifest.json",)) -> DataFrame:
@@ -87,13 +105,23 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def rewrite(df: DataFrame, path: str) -> None:
-    """Replace a folder at once: write beside it, then swap the names."""
+    """Replace a folder: write beside it, set the old one aside, and only then put the new one in its place.
+
+    At any moment the old or the new rows are there, whole: after a crash in between under ``path.old`` or ``path.tmp``, from
+    where the next call takes the old ones back.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").json(path + ".tmp")
-    p, t = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, path + ".tmp"))
+    p, new, old = (spark._jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".tmp", ".old"))
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(p, True)
-    fs.rename(t, p)
+    if fs.exists(old):
+        if fs.exists(p):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, p)
+    df.write.mode("overwrite").json(path + ".tmp")
+    if fs.exists(p) and not fs.rename(p, old) or not fs.rename(new, p):
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(old, True)
 
 
 def write_per_row(df: DataFrame, path: str, stem: str = "stem") -> None:

@@ -1,6 +1,7 @@
 """Cleaning, sampling, labels, metrics, rules and checks on small cases."""
 
 import json
+import math
 import random
 
 import pytest
@@ -102,24 +103,86 @@ def test_active(spark):
     assert df.where(C.is_active(F.col("c"), F.col("p")) != F.col("e")).count() == 0
 
 
-def test_quotas():
-    assert S.quotas([("a", 100), ("b", 10), ("c", 1)], 30) == {"a": 26, "b": 3, "c": 1}
-    assert S.quotas([("a", 5), ("b", 5), ("c", 5)], 2) in ({"a": 1, "b": 1, "c": 0},)
+def dealt(sizes, n):
+    """Quotas by the rules, for strata in the order in which they are first seen."""
+    floors = [min(1, k) for k in sizes]
+    floors = floors if sum(floors) <= n else [0] * len(sizes)
+    rooms, left = [k - f for k, f in zip(sizes, floors, strict=True)], n - sum(floors)
+    if left <= 0 or not sum(rooms):
+        return floors
+    whole = [min(left * r // sum(rooms), r) for r in rooms]
+    out = [f + w for f, w in zip(floors, whole, strict=True)]
+    by_fraction = sorted(range(len(sizes)), key=lambda i: (-math.modf(left * rooms[i] / sum(rooms))[0], i))
+    for i in [i for i in by_fraction if whole[i] < rooms[i]][: max(left - sum(whole), 0)]:
+        out[i] += 1
+    return out
+
+
+def test_quotas(spark):
     rng = random.Random(5)
-    for _ in range(300):
-        sizes = [(str(i), rng.randint(0, 40)) for i in range(rng.randint(1, 6))]
-        n = rng.randint(0, 60)
-        out = S.quotas(sizes, n)
-        assert all(0 <= out[s] <= k for s, k in sizes) and sum(out.values()) <= n
-        if sum(min(1, k) for _, k in sizes) <= n <= sum(k for _, k in sizes):
-            assert all(out[s] >= min(1, k) for s, k in sizes)
+    cases = [([100, 10, 1], 30), ([5, 5, 5], 2), ([3, 3], 100), ([7], 0), *(([rng.randint(1, 40) for _ in range(rng.randint(1, 6))], rng.randint(0, 90)) for _ in range(20))]
+    for sizes, n in cases:
+        names = [None, *"abcdef"][: len(sizes)]
+        df = spark.createDataFrame([(i * 1000 + k, names[i]) for i, size in enumerate(sizes) for k in range(size)], "id long, s string").coalesce(1)
+        assert {r["s"]: r["quota"] for r in S.quotas(df, "s", "id", n).collect()} == dict(zip(names, dealt(sizes, n), strict=True)), (sizes, n)
+    assert dealt([100, 10, 1], 30) == [26, 3, 1]
+
+
+def test_a_null_stratum_is_drawn(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "id int, s string")
+    drawn = S.stratified(df, "s", "id", 10).collect()
+    assert len(drawn) == 10 and {r.sample_stratum for r in drawn} == {"repo:", "repo:a"} and S.everything(df).where("sample_stratum = 'full'").count() == 20
+
+
+def test_messages_that_lack_an_input_raise(spark):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "modification_id string")
+    assert L.message_instances(rows("a", "b"), rows("a", "b", "c"), rows("b", "a")).count() == 2
+    with pytest.raises(Exception, match="no instance for b"):
+        L.message_instances(rows("a", "b"), rows("a", "b"), rows("a")).collect()
+
+
+def test_null_upstreams_count(spark):
+    df = spark.createDataFrame([(1, None, ["x"], ["s"]), (2, "u", ["x"], [])], "id int, upstream string, categories array<string>, skills array<string>")
+    assert M.prevalence(df).first().analyzed == 2
+
+
+def test_lines_before_the_first_hunk(spark):
+    inst = spark.createDataFrame([(1, "diff --git a a  [modified +1/-1]\n+sudo x\n@@\n-sudo q\n@@\n+wget y\n")], "id int, patch string")
+    lines = Z.diff_lines(inst, hunks=True)
+    found = {r.block: (r.hunk_status, r.deleted_only) for r in Z.hunks(Z.scan(lines), Z.hunk_roles(lines)).collect()}
+    assert found == {0: ("added", False), 1: ("removed", True), 2: ("added", False)}
+    assert [(r.id, r.matches) for r in Z.deleted_only(Z.scan(lines.where("role = 'removed'"))).collect()] == [(1, 1)]
+
+
+def test_lines_of_json_keep_their_order(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "b.json").write_text("".join(json.dumps({"a": 100 + i, "pad": "x" * 200}) + "\n" for i in range(300)))
+    (tmp_path / "d" / "a.json").write_text('{"a": 1}\n\nbroken\n{"a": 2}\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = io.read_jsonl(spark, str(tmp_path / "d"), "a int").orderBy("row_no").collect()
+        assert [r.a for r in rows] == [1, 2, *range(100, 400)] and len({r.row_no for r in rows}) == 302
+        assert [r.line for r in io.read_jsonl(spark, str(tmp_path / "d"), "a int", bad=True).collect()] == ["broken"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rewrite_takes_the_old_rows_back(spark, tmp_path):
+    path = tmp_path / "r"
+    io.rewrite(spark.range(3), str(path))
+    path.rename(tmp_path / "r.old")  # as a crash between the renames leaves it
+    with pytest.raises(Exception):
+        io.rewrite(spark.range(1).selectExpr("raise_error('no')"), str(path))
+    assert spark.read.json(str(path)).count() == 3
+    io.rewrite(spark.range(2), str(path))
+    assert spark.read.json(str(path)).count() == 2 and not (tmp_path / "r.old").exists()
 
 
 def test_draws(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2] if i < 90 else "c") for i in range(100)], "id int, s string")
     drawn = S.stratified(df, "s", "id", 20)
     counts = {r["s"]: r["count"] for r in drawn.groupBy("s").count().collect()}
-    assert counts == S.quotas(S.stratum_sizes(df, "s", "id"), 20) and {r.sample_stratum for r in drawn.collect()} == {"repo:a", "repo:b", "repo:c"}
+    assert counts == {r["s"]: r["quota"] for r in S.quotas(df, "s", "id", 20).collect()} and {r.sample_stratum for r in drawn.collect()} == {"repo:a", "repo:b", "repo:c"}
     assert {r.id for r in drawn.collect()} == {r.id for r in S.stratified(df.repartition(7), "s", "id", 20).collect()}
     assert S.simple(df, "id", 1000).count() == 100
     with pytest.raises(ValueError):
