@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,6 +105,32 @@ def frontmatter(text: Column) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
 
 
+def yaml_object(block: str | None) -> str:
+    """A YAML block as a JSON object; what is missing, malformed or no mapping becomes ``{}``."""
+    import json
+
+    import yaml
+
+    try:
+        read = yaml.safe_load(block) if block else None
+        return json.dumps(read if isinstance(read, dict) else {}, ensure_ascii=False, default=str)
+    except (yaml.YAMLError, ValueError, TypeError, RecursionError):
+        return "{}"
+
+
+def frontmatter_fields(text: Column) -> Column:
+    """Fields of the frontmatter as a JSON object, ``{}`` where there is none that can be read.
+
+    YAML needs a parser in Python, which must be installed; only the block goes there, in Arrow batches.
+    """
+
+    @F.pandas_udf("string")
+    def read(blocks: pd.Series) -> pd.Series:
+        return pd.Series([yaml_object(b) for b in blocks], dtype=object)
+
+    return read(frontmatter(text))
+
+
 def headings(text: Column) -> Column:
     """ATX headings (level, text, line) outside fences; either fence mark opens or closes."""
     start = F.struct(F.lit(0).alias("line"), F.lit(False).alias("fence"), F.array().cast("array<struct<level:int,text:string,line:int>>").alias("out"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Names, directories and suffixes that decide what belongs to a package of instructions.
 DEFINITION = "skill.md"
 ASSET_DIRS = ["assets", "artifacts", "config", "configs", "examples", "references", "schemas", "scripts", "templates"]
@@ -116,23 +118,27 @@ def skill_dirs(paths: Column) -> Column:
 
 def file_roots(paths: Column) -> Column:
     """For each path the longest definition directory above it, else its own directory."""
-    dirs = skill_dirs(paths)
 
-    def root(p: Column) -> Column:
+    def root(p: Column, dirs: Column) -> Column:
         fits = F.filter(dirs, lambda d: (d == "") | p.startswith(F.concat(d, F.lit("/"))))
         best = F.aggregate(fits, F.lit(None).cast("string"), lambda a, d: F.when(a.isNull() | (F.length(d) > F.length(a)), d).otherwise(a))
         return F.coalesce(best, F.regexp_replace(p, r"(?s)/?[^/]*$", ""))
 
-    return F.transform(paths, root)
+    return bound(paths, lambda every: bound(skill_dirs(every), lambda dirs: F.transform(every, lambda p: root(p, dirs))))
 
 
 def skill_roots(paths: Column) -> Column:
     """Distinct roots that a change touches; files at the top count as ``(root)`` if it holds no definition file."""
-    none = F.size(skill_dirs(paths)) == 0
-    roots = F.transform(file_roots(paths), lambda r: F.when(none & (r == ""), "(root)").otherwise(r))
-    return F.array_distinct(F.filter(roots, lambda r: r != ""))
+
+    def roots(every: Column) -> Column:
+        none = F.size(skill_dirs(every)) == 0
+        named = F.transform(file_roots(every), lambda r: F.when(none & (r == ""), "(root)").otherwise(r))
+        return F.array_distinct(F.filter(named, lambda r: r != ""))
+
+    return bound(paths, roots)
 
 
 def file_relatives(paths: Column) -> Column:
     """Each path relative to its root."""
-    return F.zip_with(paths, file_roots(paths), lambda p, r: F.when((r != "") & p.startswith(F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, F.length(p))).otherwise(p))
+    below = lambda p, r: F.when((r != "") & p.startswith(F.concat(r, F.lit("/"))), F.substring(p, F.length(r) + 2, F.length(p))).otherwise(p)
+    return bound(paths, lambda every: F.zip_with(every, file_roots(every), below))

@@ -29,6 +29,37 @@ def has_definition(tree: Column) -> Column:
     return F.exists(tree, lambda e: (e["type"] == "blob") & (F.element_at(F.split(e["path"], "/"), -1) == "SKILL.md"))
 
 
+def holds_definition(tree: Column, truncated: Column, searched: Column) -> Column:
+    """Whether a repository holds a definition file: by its tree or, where the listing was cut short, by a search; unknown is no."""
+    cut = F.coalesce(truncated, F.lit(False)) & F.coalesce(searched, F.lit(False))
+    return F.coalesce(has_definition(tree), F.lit(False)) | cut
+
+
+def default_branch(branch: Column) -> Column:
+    """Default branch, ``main`` where it isn't known."""
+    return F.coalesce(branch, F.lit("main"))
+
+
+def utc_now() -> Column:
+    """The present time in UTC, to the second, as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.date_trunc("second", F.current_timestamp()), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def repo_metadata(repos: DataFrame, captured_at: Column | None = None) -> DataFrame:
+    """Rows of ``schemas.REPO_METADATA`` from repositories as the API gives them, stamped with the present time by default."""
+    return repos.select(F.col("full_name").alias("repo_name"), F.col("stargazers_count").alias("stars"), F.col("forks_count").alias("forks"), "default_branch", (utc_now() if captured_at is None else captured_at).alias("captured_at"))
+
+
+def branch_rows(forks: DataFrame, branches: DataFrame) -> DataFrame:
+    """A row for each branch of each fork; ``branches`` is (full_name, fork_branch). A fork without a listing has none."""
+    return forks.join(branches.select("full_name", "fork_branch"), "full_name")
+
+
+def first_rows(df: DataFrame, n: int, order: str = "row_no", zero: str = "all") -> DataFrame:
+    """The first ``n`` rows in the order of the input, for a trial; 0 means all rows or none, as ``zero`` says."""
+    return df if n == 0 and zero == "all" else df.orderBy(order).limit(n)
+
+
 def first_wins(df: DataFrame, *key: str, order: str = "row_no") -> DataFrame:
     """The first row of each key; rows are combined before the shuffle, so a key may have any number of them."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])

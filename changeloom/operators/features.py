@@ -106,6 +106,29 @@ def render_diff(commits: Column, files: Column) -> Column:
     return F.array_join(F.concat(first, F.array(F.lit("\n## Files\n")), parts), "\n\n")
 
 
+def render_messages(messages: Column) -> Column:
+    """Messages as Markdown."""
+    fenced = F.transform(messages, lambda m: F.concat(F.lit("```\n"), X.strip(F.coalesce(m, F.lit(""))), F.lit("\n```")))
+    shown = F.when(F.size(F.coalesce(messages, F.array().cast("array<string>"))) > 0, fenced).otherwise(F.array(F.lit("_(no commit messages captured)_")))
+    return F.array_join(F.concat(F.array(F.lit("## Commit messages\n")), shown), "\n\n")
+
+
+def render_prediction(labels: Column, families: Column, what: Column, why: Column, intentions: Column, evidence: Column) -> Column:
+    """A model's coding of messages as Markdown. The true labels are no input: whoever audits mustn't see them.
+
+    Headings, names of the fields and what stands for none are fixed values.
+    """
+    none = F.lit("_(none)_")
+    ticked = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.array_join(F.transform(c, lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")).otherwise(none)
+    line = lambda name, shown: F.concat(F.lit(f"**{name}:** "), shown)
+    axis = [F.lit("## What axis\n"), line("pred_labels", ticked(labels)), line("families", ticked(families)), line("what_expression", ticked(what)), F.lit("\n## Why axis\n"), line("why_expression", ticked(why))]
+    listed = F.concat(F.array(F.lit("**why_intentions:**")), F.transform(intentions, lambda x: F.concat(F.lit("- "), x)))
+    wanted = F.when(F.size(F.coalesce(intentions, F.array().cast("array<string>"))) > 0, listed).otherwise(F.array(line("why_intentions", none)))
+    said = X.strip(F.coalesce(evidence, F.lit("")))
+    shown = F.when(said != "", F.array(F.concat(F.lit("\n## Evidence\n\n"), said))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(*axis), wanted, shown), "\n\n")
+
+
 def matrix(rows: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """A table of values with one column for each of the (few, fixed) column names, as a heat map needs it."""
     return rows.groupBy(row).pivot(column).agg(F.first(value)).orderBy(row)

@@ -75,6 +75,14 @@ def tasks(records: DataFrame, outputs: DataFrame, inputs: DataFrame, key: str) -
     return both.withColumn("task", F.row_number().over(Window.orderBy(*order)))  # an audit is as long as people can read
 
 
+def message_tasks(predictions: DataFrame, inputs: DataFrame, key: str = "modification_id") -> DataFrame:
+    """Audit tasks of message codings: predictions that have an input, numbered in the predictions' order (``row_no``)."""
+    from pyspark.sql.window import Window
+
+    both = predictions.join(inputs, key)
+    return both.withColumn("task", F.row_number().over(Window.orderBy("row_no")))  # an audit is as long as people can read
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of both; where both have a key, the new row's columns win and columns only the old one has stay."""
     there = new.withColumn("_there", F.lit(True)).alias("n")

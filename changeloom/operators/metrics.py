@@ -122,6 +122,11 @@ def expression_share(rows: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(n)).select("expression", "k", ratio(F.col("k"), F.col("n")).alias("share"))
 
 
+def sorted_pairs(found: DataFrame, order: list[str]) -> DataFrame:
+    """Pairs by falling prevalence; equal ones in the categories' fixed order."""
+    return found.orderBy(F.desc("prevalence"), canonical_rank(F.col("a"), order), canonical_rank(F.col("b"), order), "a", "b")
+
+
 def conditional_lift(rows: DataFrame, why: str, what: str, support: int = 5) -> DataFrame:
     """P(what | why) / P(what) for each why with enough rows and each what, combinations that never occur included."""
     n = rows.agg(F.count(F.lit(1)).alias("n"))

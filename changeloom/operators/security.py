@@ -160,6 +160,11 @@ def removed_alone(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_a", F.max((F.col("role") == "added").cast("int")).over(w)).where("role = 'removed' and _a = 0").drop("_a")
 
 
+def by_role(matches: DataFrame) -> dict[str, DataFrame]:
+    """The matches as three tables: on added lines, on context and removed ones (``role`` tells them apart), on removed ones."""
+    return {"added": matches.where("role = 'added'"), "context": matches.where("role in ('context', 'removed')"), "removed": matches.where("role = 'removed'")}
+
+
 def origin(matches: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Instances with matches on added lines (a), on context or removed lines (c), on both, and on one only; by keys or in all."""
     keys = keys or []

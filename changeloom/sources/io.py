@@ -94,6 +94,21 @@ def taxonomy_map(taxonomy: DataFrame) -> DataFrame:
     return families.select(F.col("f.name").alias("family"), "family_no", F.explode("f.patterns").alias("p")).select("family", "family_no", F.col("p.name").alias("pattern"))
 
 
+def vocabularies(taxonomy: DataFrame, messages: DataFrame) -> DataFrame:
+    """(vocabulary, name) of the closed vocabularies: patterns of a taxonomy, and what and why a message may express.
+
+    ``messages`` has ``what_expression_categories`` and ``why_expression_categories``, each with ``allowed`` (array of label);
+    what ``validate.MISSING`` lists says that a message expresses none, and belongs to its vocabulary in any case.
+    """
+    from ..operators.validate import MISSING
+
+    parts = [taxonomy_map(taxonomy).select(F.lit("patterns").alias("vocabulary"), F.col("pattern").alias("name"))]
+    for name, missing in zip(("what", "why"), MISSING):
+        labels = F.transform(F.col(f"{name}_expression_categories.allowed"), lambda c: c["label"])
+        parts.append(messages.select(F.lit(name).alias("vocabulary"), F.explode(F.array_union(labels, F.array(F.lit(missing)))).alias("name")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
 def search_query(keyword: str, stars: int, forks: int) -> str:
     """Query text of a repository search."""
     return f"{keyword} stars:>={stars} forks:>={forks}"
@@ -125,9 +140,47 @@ def rewrite(df: DataFrame, path: str) -> None:
 
 
 def write_per_row(df: DataFrame, path: str, stem: str = "stem") -> None:
-    """One pretty JSON file for each row, in a folder named for its stem."""
-    body = F.to_json(F.struct(*[c for c in df.columns if c != stem]), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")
-    df.select(stem, body).write.mode("overwrite").partitionBy(stem).text(path)
+    """One pretty JSON file ``<stem>.json`` for each row; of rows with equal stems the last text by order stays.
+
+    Rows are written in parallel; then each file is renamed to its stem, which moves no data.
+    """
+    spark = df.sparkSession
+    body = F.to_json(F.struct(*[c for c in df.columns if c != stem]), {"pretty": "true", "ignoreNullFields": "false"})
+    rows = df.select(F.col(stem).alias("stem"), body.alias("value")).groupBy("stem").agg(F.max("value").alias("value"))
+    rows.write.mode("overwrite").partitionBy("stem").text(path + ".tmp")
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    whole, made = to_path(path), to_path(path + ".tmp")
+    fs = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(whole)
+    for folder in fs.listStatus(made):
+        if folder.isDirectory():
+            name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().removeprefix("stem="))
+            target = to_path(whole, f"{name}.json")
+            fs.delete(target, False)
+            if not fs.rename(fs.globStatus(to_path(folder.getPath(), "part-*"))[0].getPath(), target):
+                raise OSError(f"{name}.json could not be put in its place")
+    fs.delete(made, True)
+
+
+def write_sample(records: DataFrame, drawn: DataFrame, path: str, about: dict, stem: str = "stem") -> int:
+    """Copy the drawn records, one file each, with ``manifest.json`` beside them; returns their number.
+
+    ``about`` is what ``manifest`` wants besides size and files. A drawn sample is as long as people can read.
+    """
+    copied = records.join(drawn.select(stem), stem, "left_semi")
+    names = sorted(r[stem] for r in copied.select(stem).distinct().collect())
+    write_per_row(copied, path, stem)
+    spark = records.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path, "manifest.json")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(manifest(size=len(names), files=[f"{n}.json" for n in names], **about).encode()))
+    out.close()
+    return len(names)
+
+
+def listing(df: DataFrame, n: int = 100) -> None:
+    """Print the first rows in full, for a look at what a step found."""
+    df.show(n, truncate=False)
 
 
 def write_csv(df: DataFrame, path: str, decimals: list[str] | None = None, order: list[Column] | None = None) -> None:

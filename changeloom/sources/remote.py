@@ -7,6 +7,8 @@ function ``(url, headers) -> (status, headers, text)``, so tests and other clien
 from __future__ import annotations
 
 import json
+import os
+import subprocess
 import time
 import urllib.error
 import urllib.request
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Items of a page, most items of a search, tries, longest wait between them in seconds.
-PAGE, CAP, TRIES, LONGEST = 100, 1000, 5, 60
+#: Items of a page, most items of a search, tries, longest wait between them in seconds, requests to keep back.
+PAGE, CAP, TRIES, LONGEST, SPARE = 100, 1000, 5, 60, 50
 Transport = Callable[[str, dict], tuple[int, dict, str]]
 
 
@@ -30,11 +32,36 @@ def http(url: str, headers: dict) -> tuple[int, dict, str]:
         return e.code, {k.lower(): v for k, v in e.headers.items()}, ""
 
 
+def token(env: dict | None = None, ask: Callable[[], str] | None = None) -> str | None:
+    """Token for the API: from the environment, else what the command line client is logged in with, else none."""
+    found = (os.environ if env is None else env).get("GITHUB_TOKEN", "").strip()
+    if found:
+        return found
+    try:
+        answer = ask() if ask else subprocess.run(["gh", "auth", "token"], capture_output=True, text=True, check=True).stdout
+    except (OSError, subprocess.CalledProcessError):
+        return None
+    return answer.strip() or None
+
+
+def with_token(of: str | None) -> dict[str, str]:
+    """Request headers, with a token where there is one."""
+    return {"Accept": "application/vnd.github+json"} | ({"Authorization": f"Bearer {of}"} if of else {})
+
+
+def wait_for_quota(found: dict, sleep: Callable[[float], None]) -> None:
+    """Sleep until the quota is renewed if few requests are left."""
+    left, reset = found.get("x-ratelimit-remaining"), found.get("x-ratelimit-reset")
+    if left and reset and int(left) < SPARE:
+        sleep(max(int(reset) - int(time.time()), 0) + 5)
+
+
 def fetch(url: str, headers: dict, transport: Transport = http, sleep: Callable[[float], None] = time.sleep) -> tuple[dict, str] | None:
     """Headers and text of a page; None if it isn't there (404, 422); raises after the last try."""
     for k in range(TRIES):
         status, found, text = transport(url, headers)
         if status == 200:
+            wait_for_quota(found, sleep)
             return found, text
         if status in (404, 422):
             return None
@@ -70,17 +97,25 @@ class PagedReader(DataSourceReader):
         self.url, self.keys = options["url"], json.loads(options.get("keys", '[""]'))
         self.most = int(options["most"]) if "most" in options else None
         self.headers = json.loads(options.get("headers", "{}"))
+        self.lenient = options.get("lenient", "false") == "true"
 
     def partitions(self):
         return [InputPartition(k) for k in self.keys]
 
     def read(self, partition):
-        for item in pages(self.url.replace("{key}", str(partition.value)), self.headers, self.most):
-            yield (partition.value, *[None if item.get(c) is None else str(item[c]) for c in self.columns[1:]])
+        try:
+            for item in pages(self.url.replace("{key}", str(partition.value)), self.headers, self.most):
+                yield (partition.value, *[None if item.get(c) is None else str(item[c]) for c in self.columns[1:]])
+        except RuntimeError:
+            if not self.lenient:
+                raise
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged").schema("key string, full_name string, ...")`` with options url, keys, most, headers."""
+    """``spark.read.format("paged").schema("key string, full_name string, ...")`` with options url, keys, most, headers, lenient.
+
+    A key that still fails after the last try raises, or, if lenient, yields the pages read so far.
+    """
 
     @classmethod
     def name(cls):

@@ -382,3 +382,56 @@ def test_audit(spark):
     out = spark.createDataFrame([([("p", "low", [("patch", " s ", "f.md")])], "why", "sufficient", False)], "a array<struct<name string, confidence string, evidence array<struct<type string, summary string, file string>>>>, r string, s string, u boolean")
     text = out.select(T.render_labels(*map(F.col, "arsu")).alias("t")).first().t
     assert text == "## Model prediction\n\n\n### `p` — confidence: **low** ⚠️ LOW\n\n- s\n  ↳ `f.md`\n\n\n## Rationale\n\nwhy\n\n\n---\n_patch_sufficiency: sufficient · uninformative_commit_messages: False_"
+
+
+def test_one_file_for_each_record(spark, tmp_path):
+    rows = spark.createDataFrame([("a-b", 1), ("a b%", None), ("a-b", 0)], "stem string, x int")
+    io.write_per_row(rows, str(tmp_path / "rows"))
+    assert sorted(p.name for p in (tmp_path / "rows").glob("*.json")) == ["a b%.json", "a-b.json"] and not (tmp_path / "rows.tmp").exists()
+    assert json.loads((tmp_path / "rows" / "a-b.json").read_text()) == {"x": 1} and json.loads((tmp_path / "rows" / "a b%.json").read_text()) == {"x": None}
+    assert {r.stem: r.x for r in io.read_json_folder(spark, str(tmp_path / "rows"), "x int").collect()}["a-b"] == 1
+    about = {"population": 3, "confidence": 0.95, "margin": 0.05, "p": 0.5, "z": 1.96, "seed": 1, "folder": "in"}
+    assert io.write_sample(rows, rows.where("x = 1"), str(tmp_path / "sample"), about) == 1
+    written = json.loads((tmp_path / "sample" / "manifest.json").read_text())
+    assert (written["files"], written["sample_size"], written["population"]) == (["a-b.json"], 1, 3)
+    assert [r.stem for r in io.read_json_folder(spark, str(tmp_path / "sample"), "x int").collect()] == ["a-b"]
+
+
+def test_first_rows_and_stamp(spark):
+    df = spark.createDataFrame([(3,), (1,), (2,)], "row_no long")
+    assert [[r.row_no for r in C.first_rows(df, n, zero=z).orderBy("row_no").collect()] for n, z in ((2, "all"), (0, "all"), (0, "none"), (9, "all"))] == [[1, 2], [1, 2, 3], [], [1, 2, 3]]
+    from datetime import datetime, timezone
+
+    said = datetime.fromisoformat(spark.range(1).select(C.utc_now().alias("t")).first().t)
+    assert abs((datetime.now(timezone.utc) - said).total_seconds()) < 60 and said.microsecond == 0
+
+
+def test_tokens_and_quota():
+    from changeloom.sources import remote as W
+
+    def fails():
+        raise OSError("no client")
+
+    assert [W.token({"GITHUB_TOKEN": " a "}, fails), W.token({}, lambda: "b\n"), W.token({}, lambda: "\n"), W.token({}, fails)] == ["a", "b", None, None]
+    assert W.with_token("a")["Authorization"] == "Bearer a" and "Authorization" not in W.with_token(None)
+    waits = []
+    answer = lambda left: lambda u, h: (200, {"x-ratelimit-remaining": left, "x-ratelimit-reset": "0"}, "[]")
+    assert [W.fetch("http://x", {}, answer(n), waits.append)[1] for n in ("50", "49")] == ["[]", "[]"] and waits == [5]
+
+
+def test_a_lenient_listing_keeps_what_it_has(monkeypatch):
+    from pyspark.sql.datasource import InputPartition
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from changeloom.sources import remote as W
+
+    def broken(*_):
+        yield {"name": "main"}
+        raise RuntimeError("no answer")
+
+    monkeypatch.setattr(W, "pages", broken)
+    schema = StructType([StructField("key", StringType()), StructField("name", StringType())])
+    read = lambda **more: list(W.PagedReader(schema, {"url": "http://x/{key}", **more}).read(InputPartition("f")))
+    assert read(lenient="true") == [("f", "main")]
+    with pytest.raises(RuntimeError):
+        read()

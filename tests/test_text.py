@@ -169,3 +169,8 @@ def test_views(spark, tmp_path):
     row = A.fork_view(forks).first()
     assert row.full_name == f"{row.owner}/ann-repo" and row.clone_url == f"https://x/{row.owner}/ann-repo.git" and row.size == 3
     assert A.release(forks, "forks", str(tmp_path / "out")) == 1 and spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_frontmatter_fields(spark):
+    texts = ["---\na: 1\nb: [x, é]\n---\nrest", "---\na: [\n---\n", "---\n- a\n---\n", "no block", None, "---\nwhen: 2024-01-02\n---\n", "---\n\n---\n", "---\n? {a: 1}\n: 2\n---\n"]
+    assert values(spark, texts, D.frontmatter_fields) == ['{"a": 1, "b": ["x", "é"]}', "{}", "{}", "{}", "{}", '{"when": "2024-01-02"}', "{}", "{}"]
