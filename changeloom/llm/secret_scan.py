@@ -4,11 +4,11 @@ Everything over the table is one projection of SQL functions, without a shuffle.
 the same regular expression over the whole text, one that gives the matches and one that gives what lies between them; their
 lengths, added up (``arrays.prefix_sums``), are the places. Passes run only where a cheap test says that a match may be there.
 
-A candidate of the model is a run of at least ``LEAST`` characters of ``ALPHABET``. Two first-order Markov models, of random
+A candidate of the model is a run of at least ``LEAST`` characters of ``ALPHABET``, ``VARIETY`` different ones among them. Two first-order Markov models, of random
 strings and of ordinary identifiers, words and numbers, give every first character and every pair of characters a log-likelihood
 ratio, in thousandths, as whole numbers, so sums don't depend on their order. A candidate whose ratios add up to ``BOUND`` is
-a span of kind ``random``. The models are trained on the driver from ``labelled()``, samples made by rules from a list of words
-and from digests, so they are the same wherever they are made. The model adds spans; those of the patterns stay, even where
+a span of kind ``random``. The models are trained on the driver from ``labelled()``, samples made by rules from a list of words,
+from repeated characters and from digests, so they are the same wherever they are made. The model adds spans; those of the patterns stay, even where
 both meet.
 
 Null text counts as empty; an empty text has no span; texts of any length are scanned whole, at a cost in proportion to their
@@ -32,9 +32,9 @@ from ..functions.text import bound
 # Fixed values of the contract: patterns, and the least length of a match, or of its second group.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
-#: Characters of the model's candidates, and the least number of them.
+#: Characters of the model's candidates, and the least numbers of them and of different ones.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LEAST = 20
+LEAST, VARIETY = 20, 8
 CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Kinds of spans in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "random")
@@ -54,7 +54,7 @@ def _digest(*key: object) -> bytes:
     return hashlib.sha256(":".join(map(str, key)).encode()).digest()
 
 
-def labelled(split: str = "train", n: int = 400) -> list[tuple[str, int]]:
+def labelled(split: str = "train", n: int = 10 * len(ALPHABET)) -> list[tuple[str, int]]:
     """Labelled samples, n of each label: random strings (1) as keys are written, ordinary ones (0) of words and numbers."""
     out = []
     for i in range(n):
@@ -68,7 +68,9 @@ def labelled(split: str = "train", n: int = 400) -> list[tuple[str, int]]:
         plain = lambda k: "".join(c for c in WORDS[d[k] * 7 % len(WORDS)] if c in ALPHABET)  # noqa: B023, E731
         words = [plain(k) for k in range(3 + d[30] % 3)]
         number = str(int.from_bytes(d[8:20], "big"))
-        made = ("_".join(words), "".join(w.capitalize() for w in words), words[0] + "".join(w.capitalize() for w in words[1:]), "-".join(words), "_".join(words).upper(), "/".join(words), "".join(words), number[:26], f"{words[0]}/{words[1]}/{words[2]}-v{d[20] % 10}", "=-_+"[d[21] % 4] * (20 + d[22] % 40))[i % 10]
+        if i % 20 == 7:  # a date or a range of numbers
+            number = "-/"[i // 20 % 2].join((number[:4], number[4:6], number[6:8], number[8:12], number[12:14], number[14:20]))
+        made = ("_".join(words), "".join(w.capitalize() for w in words), words[0] + "".join(w.capitalize() for w in words[1:]), "-".join(words), "_".join(words).upper(), "/".join(words), "".join(words), number[:26], f"{words[0]}/{words[1]}/{words[2]}-v{d[20] % 10}", ALPHABET[i // 10 % len(ALPHABET)] * (20 + d[22] % 40))[i % 10]
         out.append((made + "".join(words) * (len(made) < LEAST), 0))
     return out
 
@@ -116,7 +118,7 @@ def _random(candidate: Column) -> Column:
         step = lambda a, i: a + w[k[i - 1] * n + k[i] - 1].cast("long")
         return F.aggregate(F.sequence(F.lit(1), F.size(k) - 1), w[k[0] - 1].cast("long"), step)
 
-    return bound(F.transform(F.split(candidate, ""), place), total) >= BOUND
+    return bound(F.transform(F.split(candidate, ""), place), lambda k: F.when(F.size(F.array_distinct(k)) >= VARIETY, total(k) >= BOUND).otherwise(False))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -169,7 +171,7 @@ x as (select row_no, kind, unnest(m) as t, generate_subscripts(m, 1) as i, b fro
 y as (select row_no, kind, i, t, len(t) as n, len(b[i]) as before from x),
 p as (select *, sum(before + n) over (partition by row_no, kind order by i) - n as s from y),
 w as (select unnest(range(1, {n * (n + 1) + 1})) as k, unnest([{w}]) as v),
-c as (select row_no, i, t, unnest(range(1, n + 1)) as j from p where kind = 3),
+c as (select row_no, i, t, unnest(range(1, n + 1)) as j from p where kind = 3 and len(list_distinct(string_split(t, ''))) >= {VARIETY}),
 r as (select row_no, i from (select row_no, i, case when j = 1 then strpos('{ALPHABET}', t[1]) else strpos('{ALPHABET}', t[j - 1]) * {n} + strpos('{ALPHABET}', t[j]) end as k from c) join w using (k) group by all having sum(v) >= {BOUND}),
 k as (select row_no, kind, s::bigint as s, (s + n)::bigint as e from p left join r using (row_no, i) where case kind when 0 then len(regexp_extract(t, '{quoted[0]}', 2)) >= 12 when 3 then r.row_no is not null else true end),
 l as (select *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e as said from k),
