@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import exact_dedup, secret_scan, url_filter
 from .chat_format import op4_chat_format
+from .conversation_repair import op11_conversation_repair
 from .exact_dedup import op2_exact_dedup
 from .jaccard_join import op3_jaccard_join
 from .license_scan import op6_license_scan
@@ -17,7 +18,8 @@ from .url_filter import op7_url_filter
 
 _ALL = (
     op1_quality_classifier, op2_exact_dedup, op3_jaccard_join, op4_chat_format, op5_token_records,
-    op6_license_scan, op7_url_filter, op8_packing, op9_quality_rules, op10_mixing, op12_secret_scan,
+    op6_license_scan, op7_url_filter, op8_packing, op9_quality_rules, op10_mixing,
+    op11_conversation_repair, op12_secret_scan,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_url_filter": url_filter.oracle(), "op12_secret_scan": secret_scan.oracle()}
