@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import running
+
 
 def final_ordered(pred: Column, removed: Column, added: Column) -> Column:
     """Predicted without removed, order and repeats kept, then added ones that aren't among them."""
@@ -67,20 +69,15 @@ def low_confidence(assignments: Column) -> Column:
 
 
 def tasks(records: DataFrame, outputs: DataFrame, inputs: DataFrame, key: str) -> DataFrame:
-    """Audit tasks: records with output and input, those of low confidence first, numbered by batch of the sorted order."""
-    from pyspark.sql.window import Window
-
+    """Audit tasks: records with output and input, those of low confidence first, numbered in that order."""
     both = records.join(outputs, key).join(inputs, key)
     order = [F.when(F.col("set") == "low-confidence", 0).otherwise(1), F.col(key)]
-    return both.withColumn("task", F.row_number().over(Window.orderBy(*order)))  # an audit is as long as people can read
+    return running(both, order, place="task")
 
 
 def message_tasks(predictions: DataFrame, inputs: DataFrame, key: str = "modification_id") -> DataFrame:
     """Audit tasks of message codings: predictions that have an input, numbered in the predictions' order (``row_no``)."""
-    from pyspark.sql.window import Window
-
-    both = predictions.join(inputs, key)
-    return both.withColumn("task", F.row_number().over(Window.orderBy("row_no")))  # an audit is as long as people can read
+    return running(predictions.join(inputs, key), [F.col("row_no")], place="task")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
