@@ -1,64 +1,22 @@
-"""What several operators share: the shared folder, written tables, sizing, and access to texts in Arrow batches."""
+"""What several operators share: written tables, keys of rows, and access to texts in Arrow batches."""
 
 from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import dropped, new_path, remove_at_end, shared_dir, written  # noqa: F401  (used by the operators)
+
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of an Arrow batch at most, on either side of a Python worker.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where that is unset and everything runs in one process (local tests) a temporary folder is used and kept for the session;
-    on a cluster there is no folder that would do, so this raises.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("changeloom.shared.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="changeloom-")
-        spark.conf.set("changeloom.shared.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and outlives executors.
-
-    The table goes with ``dropped``, or when the application ends.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_at = place
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Remove tables that ``written`` made and that nothing reads any more."""
-    for df in tables:
-        df.written_at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df.written_at, True)
-
-
 def tidy() -> None:
     """Give memory back that Arrow's pool and the C library hold for later: workers live as long as the executor."""
     pa.default_memory_pool().release_unused()
