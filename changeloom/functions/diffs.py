@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lines, strip
+from .arrays import cut_at
+from .text import bound, lines, strip
 
 
 def patch(files: Column) -> Column:
@@ -25,39 +26,42 @@ def paths(text: Column) -> Column:
     return F.transform(F.filter(lines(text), lambda x: x.rlike(_HEADER)), lambda x: strip(F.regexp_extract(x, _HEADER, 2)))
 
 
+def _numbered(text: Column) -> Column:
+    """Lines of a text with their numbers, from 1."""
+    return F.transform(lines(text), lambda x, i: F.struct((i + 1).cast("int").alias("line"), x.alias("text")))
+
+
+def _sections(text: Column, begins) -> Column:
+    """Numbered lines, cut before each line that ``begins`` holds for; first comes what is before any, be it empty."""
+    starts = lambda rows: F.transform(F.filter(rows, lambda r: begins(r["text"])), lambda r: r["line"] - 1)
+    return bound(_numbered(text), lambda rows: cut_at(rows, starts(rows)))
+
+
 def files(text: Column) -> Column:
     """Files of a patch: array of (path, status, diff); text before the first header is dropped."""
-    start = F.struct(F.array().cast("array<struct<path:string,status:string,diff:string>>").alias("done"), F.lit(None).cast("struct<path:string,status:string,diff:string>").alias("open"))
-
-    def step(a: Column, x: Column) -> Column:
-        head = x.rlike(_HEADER)
-        opened = F.struct(strip(F.regexp_extract(x, _HEADER, 2)).alias("path"), F.regexp_extract(x, r"(?U)\[(\w+)", 1).alias("status"), F.lit("").alias("diff"))
-        longer = F.struct(a["open"]["path"].alias("path"), a["open"]["status"].alias("status"), F.concat(a["open"]["diff"], x, F.lit("\n")).alias("diff"))
-        closed = F.when(head & a["open"].isNotNull(), F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-        return F.struct(closed.alias("done"), F.when(head, opened).when(a["open"].isNotNull(), longer).alias("open"))
 
-    return F.aggregate(lines(text), start, step, lambda a: F.when(a["open"].isNotNull(), F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))
+    def one(rows: Column) -> Column:
+        head, body = rows[0]["text"], F.slice(rows, F.lit(2), F.size(rows) - 1)
+        diff = F.array_join(F.transform(body, lambda r: F.concat(r["text"], F.lit("\n"))), "")
+        return F.struct(strip(F.regexp_extract(head, _HEADER, 2)).alias("path"), F.regexp_extract(head, r"(?U)\[(\w+)", 1).alias("status"), diff.alias("diff"))
 
+    return bound(_sections(text, lambda x: x.rlike(_HEADER)), lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 1), one))
 
-LINE = "array<struct<line:int,block:int,role:string,content:string>>"
 
+def _in_blocks(diff: Column, apart: bool) -> Column:
+    """Lines with roles. What stands before the first header shares its block or, if ``apart`` and with any role, is one of its own."""
 
-def _fold(diff: Column, first: int) -> Column:
-    """Lines with roles; blocks count from ``first`` at the first header, lines before it are in block 0."""
-    start = F.struct(F.lit(0).alias("line"), F.lit(-1).alias("block"), F.lit(False).alias("head"), F.array().cast(LINE).alias("out"))
+    def row(r: Column, block: Column) -> Column:
+        x = r["text"]
+        role = F.when(x.startswith("@@") | x.startswith("+++") | x.startswith("---"), None).when(x.startswith("+"), "added").when(x.startswith("-"), "removed").when(x.startswith(" "), "context")
+        return F.struct(r["line"].alias("line"), block.cast("int").alias("block"), role.alias("role"), F.substring(x, F.lit(2), F.length(x)).alias("content"))
 
-    def step(a: Column, x: Column) -> Column:
-        n, head = a["line"] + 1, x.startswith("@@")
-        role = F.when(head | x.startswith("+++") | x.startswith("---"), None).when(x.startswith("+"), "added").when(x.startswith("-"), "removed").when(x.startswith(" "), "context")
-        loose = role.isNotNull() & (a["block"] < 0)
-        if first:  # lines before any header are a block of their own
-            block = F.when(head | loose, a["block"] + 1).otherwise(a["block"])
-        else:  # they share the first header's block
-            block = F.when(head & a["head"], a["block"] + 1).when(head | loose, F.greatest(a["block"], F.lit(0))).otherwise(a["block"])
-        row = F.struct(n.alias("line"), block.cast("int").alias("block"), role.alias("role"), F.substring(x, F.lit(2), F.length(x)).alias("content"))
-        return F.struct(n.cast("int").alias("line"), block.cast("int").alias("block"), (a["head"] | head).alias("head"), F.when(role.isNotNull(), F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
+    def rows(sections: Column) -> Column:
+        with_role = lambda s, block: F.filter(F.transform(s, lambda r: row(r, block)), lambda r: r["role"].isNotNull())
+        joined = lambda lead: F.concat(lead, F.flatten(F.transform(F.slice(sections, F.lit(2), F.size(sections) - 1), lambda s, j: with_role(s, j + F.when(F.lit(apart) & (F.size(lead) > 0), 1).otherwise(0)))))
+        return bound(with_role(sections[0], F.lit(0)), joined)
 
-    return F.aggregate(lines(diff), start, step, lambda a: a["out"])
+    return bound(_sections(diff, lambda x: x.startswith("@@")), rows)
 
 
 def block_lines(diff: Column) -> Column:
@@ -66,12 +70,12 @@ def block_lines(diff: Column) -> Column:
     Every line counts in ``line``. Lines that start with ``+++`` or ``---`` are taken for file headers. Lines before the
     first ``@@`` share block 0 with the first hunk.
     """
-    return _fold(diff, 0)
+    return _in_blocks(diff, False)
 
 
 def hunk_lines(diff: Column) -> Column:
     """As ``block_lines``, but lines before the first ``@@`` are block 0 and the first hunk then is block 1."""
-    return _fold(diff, 1)
+    return _in_blocks(diff, True)
 
 
 def hunk_status(roles: Column) -> Column:
@@ -133,12 +137,13 @@ def frontmatter_fields(text: Column) -> Column:
 
 def headings(text: Column) -> Column:
     """ATX headings (level, text, line) outside fences; either fence mark opens or closes."""
-    start = F.struct(F.lit(0).alias("line"), F.lit(False).alias("fence"), F.array().cast("array<struct<level:int,text:string,line:int>>").alias("out"))
     pattern = r"(?U)^(#{1,6})\s+(.+?)\s*\z"
 
-    def step(a: Column, x: Column) -> Column:
-        n, mark = (a["line"] + 1).cast("int"), x.rlike(r"(?U)^\s*(```|~~~)")
-        row = F.struct(F.length(F.regexp_extract(x, pattern, 1)).alias("level"), F.regexp_extract(x, pattern, 2).alias("text"), n.alias("line"))
-        return F.struct(n.alias("line"), (a["fence"] != mark).alias("fence"), F.when(~mark & ~a["fence"] & x.rlike(pattern), F.concat(a["out"], F.array(row))).otherwise(a["out"]).alias("out"))
+    def row(r: Column) -> Column:
+        return F.struct(F.length(F.regexp_extract(r["text"], pattern, 1)).alias("level"), F.regexp_extract(r["text"], pattern, 2).alias("text"), r["line"].alias("line"))
+
+    def outside(sections: Column) -> Column:  # every second section begins with a mark that closes
+        found = F.transform(F.filter(sections, lambda s, j: j % 2 == 0), lambda s: F.filter(s, lambda r: r["text"].rlike(pattern)))
+        return F.transform(F.flatten(found), row)
 
-    return F.aggregate(lines(text), start, step, lambda a: a["out"])
+    return bound(_sections(text, lambda x: x.rlike(r"(?U)^\s*(```|~~~)")), outside)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,3 +175,67 @@ def test_views(spark, tmp_path):
 def test_frontmatter_fields(spark):
     texts = ["---\na: 1\nb: [x, é]\n---\nrest", "---\na: [\n---\n", "---\n- a\n---\n", "no block", None, "---\nwhen: 2024-01-02\n---\n", "---\n\n---\n", "---\n? {a: 1}\n: 2\n---\n"]
     assert values(spark, texts, D.frontmatter_fields) == ['{"a": 1, "b": ["x", "é"]}', "{}", "{}", "{}", "{}", '{"when": "2024-01-02"}', "{}", "{}"]
+
+
+def plain_lines(diff, apart):
+    """Lines of a diff with blocks and roles, one after the other."""
+    out, block, head = [], -1, False
+    for n, x in enumerate(diff.splitlines(), 1):
+        is_head = x.startswith("@@")
+        role = None if is_head or x.startswith(("+++", "---")) else {"+": "added", "-": "removed", " ": "context"}.get(x[:1])
+        if is_head and (head or apart):
+            block += 1
+        elif is_head or (role and block < 0):
+            block = max(block, 0)
+        head |= is_head
+        if role:
+            out.append((n, block, role, x[1:]))
+    return out
+
+
+def plain_headings(text):
+    """ATX headings outside fences."""
+    out, fence = [], False
+    for n, x in enumerate(text.splitlines(), 1):
+        if re.match(r"\s*(```|~~~)", x):
+            fence = not fence
+        elif not fence and (m := re.fullmatch(r"(#{1,6})\s+(.+?)\s*", x)):
+            out.append((len(m[1]), m[2], n))
+    return out
+
+
+def plain_files(text):
+    """Files of a patch."""
+    out = []
+    for x in text.splitlines():
+        if m := re.match(r"diff --git (.+?) (.+?)(?:  \[|$)", x):
+            out.append([m[2].strip(), (re.search(r"\[(\w+)", x) or ["", ""])[1], ""])
+        elif out:
+            out[-1][2] += x + "\n"
+    return [tuple(x) for x in out]
+
+
+def test_lines_of_random_texts(spark):
+    rng = random.Random(4)
+    kinds = ["@@ -1 +1 @@", "+a", "-b", " c", "+++ x", "--- y", "", "# one", "## two ", "```", "~~~ x", "#no", "plain", "diff --git a.md b c.md  [modified +1/-2]", "diff --git a b", "+é"]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randrange(40))) + rng.choice(["", "\n"]) for _ in range(150)] + ["", "\n", "@@", "+x", "```\n# in\n```\n# out"]
+    flat = lambda found: [[tuple(r) for r in x] for x in found]
+    assert flat(values(spark, texts, D.block_lines)) == [plain_lines(t, False) for t in texts]
+    assert flat(values(spark, texts, D.hunk_lines)) == [plain_lines(t, True) for t in texts]
+    assert flat(values(spark, texts, D.headings)) == [plain_headings(t) for t in texts]
+    assert flat(values(spark, texts, D.files)) == [plain_files(t) for t in texts]
+
+
+def test_a_patch_of_a_million_lines(spark):
+    lines = ["@@ -1 +1 @@", "+a", "-b", " c"]
+    patch = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("id") + 1).cast("int")), lambda i: F.element_at(F.array(*map(F.lit, lines)), (i % 4 + 1).cast("int"))), "\n")
+
+    def seconds(n):
+        began = time.perf_counter()
+        out = spark.range(n - 1, n).select(F.array_join(F.array("id"), ""), patch.alias("p")).select(D.block_lines(F.col("p")).alias("l")).select(F.size("l").alias("n"), F.element_at("l", -1)["line"].alias("last")).first()
+        assert out.n == n * 3 // 4 and out["last"] in (n, n - 1)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    half, whole = seconds(500_000), seconds(1_000_000)
+    assert whole < 4 * half + 2
