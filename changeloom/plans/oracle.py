@@ -173,6 +173,11 @@ select source, k, n, round((p + zz / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + zz
     "first_wins_dedup": "select md5(text) as h, min(doc_id) as doc_id from documents group by 1",
     "subset_dedup": f"""with {FACT}, s as (select id, upstream, list_sort(list_distinct(list(skill))) as s, any_value(o_orderstatus) = 'O' as d from fact join orders on o_orderkey = id group by 1, 2)
 select id, upstream from s a where not exists (select 1 from s b where b.upstream = a.upstream and b.id <> a.id and list_has_all(b.s, a.s) and (len(b.s) > len(a.s) or (b.d and not a.d) or (b.d = a.d and b.id < a.id)))""",
+    "subset_dedup_hot": """with s as (select l_orderkey as id, c_nationkey as nation, list_distinct(list('p' || l_partkey % 400)) as s, any_value(o_orderstatus) = 'O' as d from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey group by 1, 2),
+i as (select id, nation, unnest(s) as x from s), n as (select id, nation, d, len(s) as n from s),
+h as (select a.id, b.id as other, count(*) as k from i a join i b on a.nation = b.nation and a.x = b.x and a.id <> b.id group by 1, 2),
+g as (select h.id from h join n a on a.id = h.id join n b on b.id = h.other where k = a.n and (b.n > a.n or (b.d and not a.d) or (b.d = a.d and b.id < a.id)))
+select id, nation from n where id not in (select id from g)""",
     "resume_anti_join": "select source, count(*) as n from documents where doc_id not in (select doc_id from labels) group by 1",
     "consensus_override": f"with {SETS}, o as (select id, case when id % 3 = 0 then b else a end as l from two) select id, array_to_string(l, ',') as labels from o where len(l) > 0",
     "joined_inputs": "select quality::bigint as quality, count(*) as n, sum(n_chars)::bigint as chars, (select count(*) from documents where doc_id not in (select doc_id from labels)) as without from labels join documents using (doc_id) group by 1",

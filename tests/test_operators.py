@@ -78,6 +78,21 @@ def test_dedup_branches_random(spark):
     assert branches(spark, rows) == maximal(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_maximal_sets_with_items_that_all_share(spark, hot):
+    rng = random.Random(hot)
+    rows = [(i, rng.choice([None, "g"]), rng.choice([True, False, False]), sorted({"all", *(f"x{rng.randrange(40)}" for _ in range(rng.randrange(7)))} if rng.random() < 0.97 else set())) for i in range(600)]
+    df = spark.createDataFrame(rows, "row_no long, u string, d boolean, s array<string>").repartition(5)
+    found = sorted(r.row_no for r in C.maximal_sets(df, ["u"], "s", F.col("d"), hot=hot).collect())
+    beats = lambda a, b: a[0] != b[0] and a[1] == b[1] and (set(b[3]) < set(a[3]) or (set(a[3]) == set(b[3]) and (not a[2], a[0]) < (not b[2], b[0])))
+    assert found == [b[0] for b in rows if not any(beats(a, b) for a in rows)]
+
+
+def test_maximal_sets_of_no_rows(spark):
+    df = spark.createDataFrame([], "row_no long, u string, d boolean, s array<string>")
+    assert C.maximal_sets(df, ["u"], "s", F.col("d")).collect() == []
+
+
 def test_shared_history_and_scope(spark):
     rows = [(0, "u", "a", "x", "ok", ["1", "2"]), (1, "u", "b", "x", "ok", ["2", "3"]), (2, "v", "a", "x", "ok", ["2"]), (3, "u", "a", "y", "no_diff", ["9"]), (4, "u", "c", "x", "ok", ["2"])]
     data = [(i, u, o, b, s, [(c, "m") for c in shas]) for i, u, o, b, s, shas in rows]
