@@ -13,14 +13,15 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import batch, in_arrow, single_threaded, texts_of
+from .common import batch, dropped, in_arrow, single_threaded, texts_of, written
 
 #: White space as the tokenizers' regular expressions know it (the Unicode property).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -37,6 +38,10 @@ GROUP = 4 << 20
 JOINED = 500
 #: Bytes of text of a run on average, the number of runs at most, and marks that are drawn for each run.
 RUN_BYTES, MOST_RUNS, MARKS = 4 << 20, 200_000, 8
+#: Bytes of text of which one task gets the ids.
+PART_BYTES = 256 << 20
+#: Stands for a missing id in the order of rows.
+NO_ID = -(1 << 63)
 
 
 def _words(texts: list[bytes]) -> pa.ListArray:
@@ -260,43 +265,59 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def run_starts(docs: DataFrame, target: int = RUN_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and hashes of the rows that begin the runs, in order; rows are ordered by both.
+class Runs(NamedTuple):
+    """Ids and hashes of the rows that begin runs, in order; bytes of all texts, and splits of the table that hold rows."""
+
+    ids: np.ndarray
+    hashes: np.ndarray
+    size: int
+    splits: int
+
+
+def run_starts(docs: DataFrame, target: int = RUN_BYTES) -> Runs:
+    """The rows that begin the runs; rows are ordered by id and hash.
 
     Runs depend on the rows alone, not on how they are spread. A row is marked with a probability of its text's share of
     ``target / MARKS`` bytes, by a hash, and every ``MARKS``-th mark begins a run; so runs are of similar size, whatever the
-    ids. Only the marks, at most about ``MARKS * MOST_RUNS``, go through the driver: with more text, runs are longer.
+    ids. One pass over the texts writes the marks; only ``MARKS * MOST_RUNS`` of them, about, go through the driver: with more
+    text the least draws stay, and runs are longer.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    each = max(target, total / MOST_RUNS) / MARKS
-    draw = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 31)) / F.lit(1 << 31)
-    marks = rows.where(F.col("doc_id").isNotNull() & (draw < F.col("size") / F.lit(each))).select("doc_id", "hash").distinct().toArrow()
-    ids, hashes = (marks[c].to_numpy() for c in ("doc_id", "hash"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("split"))
+    seen = Observation()
+    rows = rows.observe(seen, F.sum("size").alias("size"), F.approx_count_distinct("split").alias("splits"))
+    draw = F.pmod(F.xxhash64("doc_id", "hash"), F.lit(1 << 31)) / F.lit(1 << 31) / F.nullif("size", F.lit(0))
+    marks = written(rows.select("doc_id", "hash", draw.alias("draw")).where(F.col("draw") < MARKS / target), "marks")
+    size, splits = seen.get["size"] or 0, seen.get["splits"]
+    found = marks.where(F.col("draw") < MARKS / max(target, size / MOST_RUNS)).select("doc_id", "hash").distinct().toArrow()
+    dropped(marks)
+    ids, hashes = (found[c].to_numpy() for c in ("doc_id", "hash"))
     order = np.lexsort([hashes, ids])[MARKS - 1 :: MARKS]
-    return ids[order], hashes[order]
+    return Runs(ids[order], hashes[order], size, splits)
 
 
-def runs_of(ids: pa.Array, hashes: pa.Array, starts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The number of the run of each row; rows without an id are in the first one."""
-    here, h = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), hashes.to_numpy()
-    out, right = np.searchsorted(starts[0], here, "left"), np.searchsorted(starts[0], here, "right")
+def runs_of(ids: pa.Array, hashes: pa.Array, starts: Runs) -> np.ndarray:
+    """The number of the run of each row; rows without an id come first."""
+    here, h = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), hashes.to_numpy()
+    out, right = np.searchsorted(starts.ids, here, "left"), np.searchsorted(starts.ids, here, "right")
     for i in np.flatnonzero(out < right).tolist():
-        out[i] += np.searchsorted(starts[1][out[i] : right[i]], h[i], "right")
-    out[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+        out[i] += np.searchsorted(starts.hashes[out[i] : right[i]], h[i], "right")
     return out.astype(np.int32)
 
 
-ENCODED = "run int, doc_id long, hash long, ids binary"
+ENCODED = "part int, run int, doc_id long, hash long, ids binary"
 
 
 def encoded_runs(docs: DataFrame, tokenizer: str, end_id: int, target: int = RUN_BYTES) -> DataFrame:
-    """``ENCODED``: the packed ids of every text with ``end_id`` after them. A partition is a run, and in order of id.
+    """``ENCODED``: the packed ids of every text with ``end_id`` after them. A partition is a range of runs, and in order of id.
 
-    Texts are encoded where they are read; only ids, two bytes each for most vocabularies, are shuffled. Rows with equal ids
-    are in the order of a hash of their text.
+    Texts are encoded where they are read; only ids, two bytes each for most vocabularies, are shuffled. If fewer splits hold rows
+    than there are cores, rows are spread first: then a table is small, or badly cut. Partitions are as many as their size asks
+    for (``PART_BYTES`` of text), or the cores, but no more than there are runs; what a run holds doesn't depend on that. Rows
+    with equal ids are in the order of a hash of their text, rows without one come first.
     """
     starts = run_starts(docs, target)
+    cores, runs = docs.sparkSession.sparkContext.defaultParallelism, len(starts.ids) + 1
+    parts = min(runs, max(-(-starts.size // PART_BYTES), 2 * cores))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -304,7 +325,8 @@ def encoded_runs(docs: DataFrame, tokenizer: str, end_id: int, target: int = RUN
 
         def rows() -> Iterator[tuple[object, bytes]]:
             for b in batches:
-                keys = zip(runs_of(b["doc_id"], b["hash"], starts).tolist(), b["doc_id"].to_pylist(), b["hash"].to_pylist(), strict=True)
+                run = runs_of(b["doc_id"], b["hash"], starts)
+                keys = zip((run.astype(np.int64) * parts // runs).tolist(), run.tolist(), b["doc_id"].to_pylist(), b["hash"].to_pylist(), strict=True)
                 yield from zip(keys, texts_of(b["text"]), strict=True)
 
         out, size = [], 0
@@ -317,4 +339,6 @@ def encoded_runs(docs: DataFrame, tokenizer: str, end_id: int, target: int = RUN
         yield batch(out, ENCODED)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    return in_arrow(slim, encode, ENCODED).repartitionById(len(starts[0]) + 1, "run").sortWithinPartitions("doc_id", "hash")
+    if starts.splits < cores:
+        slim = slim.repartition(min(runs, 4 * cores), "hash", "doc_id")
+    return in_arrow(slim, encode, ENCODED).repartitionById(parts, "part").sortWithinPartitions("run", F.coalesce("doc_id", F.lit(NO_ID)), "hash")

@@ -11,11 +11,12 @@ index is a Parquet table (doc_id, shard, offset, n_bytes, n_tokens, start, ids_c
 themselves; a reader that shuffles takes offsets from it and reads single frames.
 
 Spark's own writer commits the shards, so they can lie in any file system that Spark knows, and a lost executor
-leaves no half shard. A shard holds a run of about 4 MB of text (``encode.run_starts``), more where the text would make more than
-200,000 shards.
+leaves no half shard. A shard holds a range of runs (``encode.encoded_runs``), the ids of some 256 MB of text, more where the text
+would make more than 200,000 shards; a small table is cut for the cores at hand. A reader holds one shard at a time.
 
-Null text counts as empty (its record is the end id alone); a null id is kept, flagged, and sorts first; repeated rows
-give one record each; other columns are ignored; an empty table gives no shard and an empty index.
+Null text counts as empty (its record is the end id alone); a null id is kept, flagged, and sorts first; of equal ids the one whose
+text has the lesser hash comes first; repeated rows give one record each; a text of any length is one record, of 2 GB at
+most; other columns are ignored, whatever their names; an empty table gives no shard and an empty index.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_arrow, new_path
+from .common import in_arrow, new_path, remove_at_end
 from .encode import encoded_runs, encoder
 
 HEAD, TAIL, META = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
@@ -71,7 +72,7 @@ def frames(data: bytes, at: int = 0) -> Iterator[tuple[int, int, int | None, np.
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Encode every text, append ``end_id``, and write the shards, one for each run, to ``path`` in ascending order of id."""
+    """Encode every text, append ``end_id``, and write the shards, one for each range of runs, to ``path`` in ascending order of id."""
     code = encoder(tokenizer).code
 
     def to_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +125,16 @@ def read_shuffled(spark: SparkSession, path: str, seed: int, epoch: int = 0) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shards = {}
-            for where, content, offsets in zip(b["path"].to_pylist(), b["content"], b["offsets"].to_pylist(), strict=True):
-                shards[where] = content.as_buffer()
-                picked = [next(frames(shards[where], at)) for at in offsets]
-                yield pa.record_batch([pa.array([x[2] for x in picked], pa.int64()), pa.array([x[3].tolist() for x in picked], pa.list_(pa.int64()))], ["doc_id", "ids"])
+            for content, offsets in zip(b["content"], b["offsets"].to_pylist(), strict=True):
+                shard, picked, size = content.as_buffer(), [], 0
+                for last, at in enumerate(offsets, 1 - len(offsets)):
+                    picked.append(next(frames(shard, at))[2:])
+                    size += len(picked[-1][1])
+                    if size > 1 << 20 or not last:
+                        ends = np.cumsum([0, *(len(ids) for _, ids in picked)], dtype=np.int32)
+                        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x in picked]).astype(np.int64)))
+                        yield pa.record_batch([pa.array([d for d, _ in picked], pa.int64()), ids], ["doc_id", "ids"])
+                        picked, size = [], 0
 
     index = spark.read.schema(INDEX).parquet(f"{path}-index")
     places = index.groupBy("path").agg(F.collect_list("offset").alias("offsets"))  # bounded by the size of a shard
@@ -144,5 +150,7 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = new_path(spark, "token-records")
+    for made in (path, f"{path}-index"):
+        remove_at_end(spark, made)
     write_records(docs, path, public_tokenizers.path("word_bpe_49k.json"))
     return index_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "n_bytes")

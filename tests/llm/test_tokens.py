@@ -80,8 +80,8 @@ def test_runs_depend_on_the_rows_alone(spark):
     assert packs[0] == packs[1] == packs[2]
     assert len({r[5] >> 32 for r in packs[0]}) > 5
     starts = E.run_starts(spark.createDataFrame(rows, "doc_id long, text string"), 20_000)
-    ordered = sorted(zip(*(x.tolist() for x in starts), strict=True))
-    assert ordered == list(zip(*(x.tolist() for x in starts), strict=True)) and len(ordered) == len(set(ordered))
+    ordered = sorted(zip(*(x.tolist() for x in starts[:2]), strict=True))
+    assert ordered == list(zip(*(x.tolist() for x in starts[:2]), strict=True)) and len(ordered) == len(set(ordered))
     keys = [(d, h) for d, h in ordered[:3]] + [(ordered[0][0], ordered[0][1] - 1), (None, 5), (10**6, 0)]
     got = E.runs_of(pa.array([d for d, _ in keys], pa.int64()), pa.array([h for _, h in keys], pa.int64()), starts).tolist()
     assert got == [1, 2, 3, 0, 0, len(ordered)]
