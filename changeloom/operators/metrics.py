@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import bound
+from ..sources.tables import written
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, or 0 where b is 0 or missing."""
@@ -28,26 +31,83 @@ def weighted(instances: DataFrame) -> DataFrame:
     return instances.join(sizes, F.col("upstream").eqNullSafe(F.col("_u"))).withColumn("w", 1 / F.sqrt("size")).drop("size", "_u")
 
 
+#: Names of a vocabulary that may go into an expression.
+MOST_NAMES = 10_000
+
+
+def vocabulary(values: DataFrame) -> list:
+    """The distinct values of the only column, in order; raises if they are too many for a vocabulary. Null isn't one of them."""
+    c = F.col(values.columns[0])
+    found = [r[0] for r in values.select(c.alias("v")).where("v is not null").distinct().limit(MOST_NAMES + 1).collect()]
+    if len(found) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} distinct categories")
+    return sorted(found)
+
+
+def _few(counts: DataFrame, what: str) -> DataFrame:
+    """Counts of a vocabulary, written, with a broadcast hint; raises if they are too many for one."""
+    out = written(counts, "vocabulary")
+    if out.count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} distinct {what}")
+    return F.broadcast(out)
+
+
+def _coded(instances: DataFrame) -> tuple[DataFrame, list]:
+    """(upstream, skills, ids): instances with categories as ascending places in the vocabulary, from 1; written. And the vocabulary."""
+    rows = written(instances.select("upstream", F.array_distinct("skills").alias("skills"), "categories"), "instances")
+    names = vocabulary(rows.select(F.explode("categories")))
+    places = F.create_map(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.lit(i).cast("long"))]) if names else F.lit(None).cast("map<string,bigint>")
+    ids = F.transform(F.filter(F.array_distinct("categories"), lambda x: x.isNotNull()), lambda x: F.try_element_at(places, x))
+    return rows.select("upstream", "skills", F.array_sort(ids).alias("ids")), names
+
+
+def _by_upstream(rows: DataFrame, ids: Column) -> DataFrame:
+    """(id, hits, w, upstreams) of each id of ``ids`` and, under 0, of all rows; a row weighs one over the root of its upstream's rows.
+
+    Rows are counted by (upstream, id) with partial aggregation, so a large upstream isn't gathered anywhere.
+    """
+    counts = rows.select("upstream", F.explode(F.concat(F.array(F.lit(0).cast("long")), ids)).alias("id")).groupBy("upstream", "id").agg(F.count(F.lit(1)).alias("hits"))
+    together = counts.groupBy("upstream").agg(F.collect_list(F.struct("id", "hits")).alias("all"), F.max(F.when(F.col("id") == 0, F.col("hits"))).alias("size"))
+    each = together.select("size", F.inline("all"))
+    return each.groupBy("id").agg(F.sum("hits").alias("hits"), F.sum(F.col("hits") / F.sqrt("size")).alias("w"), F.count(F.lit(1)).alias("upstreams"))
+
+
+def _reach(rows: DataFrame, ids: Column) -> DataFrame:
+    """(id, skills): distinct skills, each of its upstream, of the rows with each id of ``ids`` and, under 0, of all rows.
+
+    Ids are bits of words of 64. Each skill's words are united over its rows, with partial aggregation, and then each bit is added up
+    over the skills: exact, and without a row for each id and skill.
+    """
+    every = F.concat(F.array(F.lit(0).cast("long")), ids)
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    word = lambda x: F.floor(x / 64).cast("long")
+    mask = lambda a, w: F.aggregate(F.filter(a, lambda x: word(x) == w), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x)))
+    words = bound(every, lambda a: F.transform(F.array_distinct(F.transform(a, word)), lambda w: F.struct(w.alias("word"), mask(a, w).alias("mask"))))
+    long = rows.select("upstream", "skills", words.alias("words")).select("upstream", F.explode("skills").alias("skill"), "words").select("upstream", "skill", F.inline("words"))
+    united = long.groupBy("upstream", "skill", "word").agg(F.bit_or("mask").alias("mask"))
+    added = united.groupBy("word").agg(F.array(*[F.sum(F.call_function("shiftrightunsigned", F.col("mask"), F.lit(b)).bitwiseAND(1)) for b in range(64)]).alias("n"))
+    return added.select("word", F.posexplode("n").alias("b", "skills")).where("skills > 0").select((F.col("word") * 64 + F.col("b")).alias("id"), "skills")
+
+
+def _counted(rows: DataFrame, ids: Column, reached: Column) -> DataFrame:
+    """(id, hits, w, upstreams, skills) of every id, with the same of all rows (``n``, ``all_w``, ``all_upstreams``, ``all_skills``)."""
+    out = written(_by_upstream(rows, ids).join(_reach(rows, reached), "id", "left").withColumn("skills", F.coalesce("skills", F.lit(0))), "counted")
+    whole = out.where("id = 0").select(F.col("hits").alias("n"), F.col("w").alias("all_w"), F.col("upstreams").alias("all_upstreams"), F.col("skills").alias("all_skills"))
+    return out.where("id > 0").crossJoin(F.broadcast(whole))  # one row
+
+
 def prevalence(instances: DataFrame) -> DataFrame:
     """One row for each category: hits, share, weighted share, and how much of skills and upstreams it reaches.
 
-    An instance credits all of its skills to each of its categories. Hits and weights are summed by (category, upstream)
-    and reach is counted on distinct keys, so no distinct set is built in a single place. Instances are cached, as six
-    branches read them (``spark.catalog.clearCache()`` lets go of them); lost blocks are made again.
+    An instance credits all of its skills to each of its categories; categories are a vocabulary, null is none of them. Instances
+    are computed and written once; hits and weights are summed by upstream and skills counted as bits (``_reach``).
     """
-    rows = instances.select("id", "upstream", F.array_distinct("categories").alias("categories"), F.array_distinct("skills").alias("skills"))
-    rows = weighted(rows.persist())
-    long = rows.select("upstream", "w", "skills", F.explode("categories").alias("category"))
-    by_upstream = long.groupBy("category", "upstream").agg(F.count(F.lit(1)).alias("hits"), F.sum("w").alias("w"))
-    hits = by_upstream.groupBy("category").agg(F.sum("hits").alias("hits"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("upstreams"))
-    reached = long.select("category", "upstream", F.explode("skills").alias("skill")).distinct().groupBy("category").agg(F.count(F.lit(1)).alias("skills"))
-    counted = rows.groupBy("upstream").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-    totals = counted.agg(F.sum("n").alias("n"), F.sum("w").alias("all_w"), F.count(F.lit(1)).alias("all_upstreams"))
-    skills = rows.select("upstream", F.explode("skills").alias("skill")).distinct().agg(F.count(F.lit(1)).alias("all_skills"))
-    out = hits.join(reached, "category", "left").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(skills))  # each of one row
+    rows, names = _coded(instances)
+    out = _counted(rows, F.col("ids"), F.col("ids"))
+    name = F.get(F.array(*map(F.lit, names)), (F.col("id") - 1).cast("int")) if names else F.lit(None).cast("string")
     return out.select(
-        "category", "hits", F.col("n").alias("analyzed"), ratio(F.col("hits"), F.col("n")).alias("prevalence"), ratio(F.col("w"), F.col("all_w")).alias("adjusted_prevalence"),
-        F.coalesce("skills", F.lit(0)).alias("skills"), F.col("all_skills").alias("observed_skills"), ratio(F.coalesce("skills", F.lit(0)), F.col("all_skills")).alias("skill_breadth"),
+        name.alias("category"), "hits", F.col("n").alias("analyzed"), ratio(F.col("hits"), F.col("n")).alias("prevalence"), ratio(F.col("w"), F.col("all_w")).alias("adjusted_prevalence"),
+        "skills", F.col("all_skills").alias("observed_skills"), ratio(F.col("skills"), F.col("all_skills")).alias("skill_breadth"),
         "upstreams", F.col("all_upstreams").alias("observed_upstreams"), ratio(F.col("upstreams"), F.col("all_upstreams")).alias("upstream_coverage"),
     )
 
@@ -67,22 +127,26 @@ def share(rows: DataFrame, key: str) -> DataFrame:
 def bundles(instances: DataFrame, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """Sets of 2 to 3 categories that occur together: support, reach, and lift over independence, ranked.
 
-    Combinations are formed inside each row's array, without a self-join. Instances are cached, as in ``prevalence``.
+    Combinations are formed inside each row's array, without a self-join, as numbers whose digits are places in the vocabulary;
+    categories, pairs and triples are then counted together, as in ``prevalence``.
     """
-    rows = instances.select("id", "upstream", F.array_sort(F.array_distinct("categories")).alias("c"), F.array_distinct("skills").alias("skills")).persist()
-    pairs = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.greatest(F.size("c") - i - 1, F.lit(0))), lambda y: F.array(x, y))))
-    triples = F.flatten(F.transform("c", lambda x, i: F.flatten(F.transform(F.slice("c", i + 2, F.greatest(F.size("c") - i - 1, F.lit(0))), lambda y: F.transform(F.filter(F.slice("c", i + 2, F.greatest(F.size("c") - i - 1, F.lit(0))), lambda z: z > y), lambda z: F.array(x, y, z))))))
-    made = [c for n, c in ((2, pairs), (3, triples)) if n in sizes]
-    long = rows.select("id", "upstream", "skills", F.explode(F.concat(*made)).alias("b"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("upstream").alias("all_upstreams"))
-    single = rows.select(F.explode("c").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("k"))
-    by_upstream = long.groupBy("b", "upstream").agg(F.count(F.lit(1)).alias("k"))
-    found = by_upstream.groupBy("b").agg(F.sum("k").alias("support"), F.count(F.lit(1)).alias("upstreams"))
-    reach = long.select("b", "upstream", F.explode("skills").alias("skill")).distinct().groupBy("b").agg(F.count(F.lit(1)).alias("skills"))
-    parts = found.select("b", F.explode("b").alias("category")).join(single, "category").crossJoin(F.broadcast(n))
-    expected = parts.groupBy("b").agg(F.product(F.col("k") / F.col("n")).alias("expected"))
-    out = found.join(reach, "b", "left").join(expected, "b").crossJoin(F.broadcast(n))
-    out = out.select(F.array_join("b", " + ").alias("bundle"), F.size("b").alias("size"), "support", ratio(F.col("support"), F.col("n")).alias("prevalence"), F.coalesce("skills", F.lit(0)).alias("skills"), ratio(F.col("upstreams"), F.col("all_upstreams")).alias("upstream_coverage"), "expected", ratio(ratio(F.col("support"), F.col("n")), F.col("expected")).alias("lift"))
+    rows, names = _coded(instances)
+    base, c = len(names) + 1, F.col("ids")
+    rest = lambda i: F.slice(c, i + 2, F.greatest(F.size(c) - i - 1, F.lit(0)))
+    pairs = F.flatten(F.transform(c, lambda x, i: F.transform(rest(i), lambda y: x * base + y)))
+    triples = F.flatten(F.transform(c, lambda x, i: F.flatten(F.transform(rest(i), lambda y: F.transform(F.filter(rest(i), lambda z: z > y), lambda z: (x * base + y) * base + z)))))
+    made = F.concat(*[m for n, m in ((2, pairs), (3, triples)) if n in sizes])
+    counted = written(_counted(rows, F.concat(c, made), made), "bundles")
+    digits = F.filter(F.array(*[F.pmod(F.floor(F.col("id") / base**k), F.lit(base)).cast("int") for k in (2, 1, 0)]), lambda d: d > 0)
+    label = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    found = counted.where(F.col("id") >= base).withColumn("places", digits)
+    single = counted.where(F.col("id") < base).select(F.col("id").cast("int").alias("place"), F.col("hits").alias("k"))
+    parts = found.select("id", "n", F.explode("places").alias("place")).join(single, "place")
+    expected = parts.groupBy("id").agg(F.product(F.col("k") / F.col("n")).alias("expected"))
+    out = found.join(expected, "id").select(
+        F.array_join(F.transform("places", lambda d: F.get(label, d - 1)), " + ").alias("bundle"), F.size("places").alias("size"), F.col("hits").alias("support"), ratio(F.col("hits"), F.col("n")).alias("prevalence"),
+        "skills", ratio(F.col("upstreams"), F.col("all_upstreams")).alias("upstream_coverage"), "expected", ratio(ratio(F.col("hits"), F.col("n")), F.col("expected")).alias("lift"),
+    )
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("prevalence"), "size", "bundle")))  # one row for each bundle of a fixed vocabulary
 
 
@@ -92,8 +156,9 @@ def pairs(instances: DataFrame, top: int | None = None) -> DataFrame:
     counts = long.groupBy("category").agg(F.count(F.lit(1)).alias("k"))
     if top is not None:
         counts = counts.orderBy(F.desc("k"), "category").limit(top)
+    counts = _few(counts, "categories")
     n = instances.agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.select(F.col("category").alias("a"), F.col("k").alias("a_count")).join(F.broadcast(counts.select(F.col("category").alias("b"), F.col("k").alias("b_count"))), F.col("a") < F.col("b"))
+    grid = counts.select(F.col("category").alias("a"), F.col("k").alias("a_count")).join(counts.select(F.col("category").alias("b"), F.col("k").alias("b_count")), F.col("a") < F.col("b"))
     c = F.array_sort(F.array_distinct("categories"))
     both = instances.select(c.alias("c")).select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.greatest(F.size("c") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
     both = both.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("together"))
@@ -134,7 +199,7 @@ def conditional_lift(rows: DataFrame, why: str, what: str, support: int = 5) ->
     whys = long.select(F.explode("y").alias("why")).groupBy("why").agg(F.count(F.lit(1)).alias("why_count")).where(F.col("why_count") >= support)
     whats = long.select(F.explode("x").alias("what")).groupBy("what").agg(F.count(F.lit(1)).alias("what_count"))
     both = long.select(F.explode("y").alias("why"), "x").select("why", F.explode("x").alias("what")).groupBy("why", "what").agg(F.count(F.lit(1)).alias("both"))
-    grid = whys.crossJoin(F.broadcast(whats)).crossJoin(F.broadcast(n))  # vocabularies are fixed lists
+    grid = whys.crossJoin(_few(whats, "labels")).crossJoin(F.broadcast(n))
     out = grid.join(both, ["why", "what"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     return out.select("why", "what", "why_count", "what_count", "both", ratio(F.col("both") / F.col("why_count"), F.col("what_count") / F.col("n")).alias("lift"))
 

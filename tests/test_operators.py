@@ -1,8 +1,10 @@
 """Cleaning, sampling, labels, metrics, rules and checks on small cases."""
 
+import itertools
 import json
 import math
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,45 @@ def test_maximal_sets_of_no_rows(spark):
     assert C.maximal_sets(df, ["u"], "s", F.col("d")).collect() == []
 
 
+def test_prevalence_and_bundles_of_a_large_vocabulary(spark):
+    rng = random.Random(9)
+    names = [f"c{i:02}" for i in range(90)]
+    rows = [(i, rng.choice([None, "u", "v", "w"]), rng.choices(names, k=rng.randrange(5)) + rng.choice([[], [None]]), rng.choices(["s", "t", "x", "y", "z"], k=rng.randrange(4))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, upstream string, categories array<string>, skills array<string>")
+    sizes, hits, reach, ups, weights = Counter(r[1] for r in rows), Counter(), defaultdict(set), defaultdict(set), Counter()
+    every = {(u, s) for _, u, _, skills in rows for s in skills}
+    for _, u, categories, skills in rows:
+        mine = sorted({c for c in categories if c})
+        for n in (1, 2, 3):
+            for b in itertools.combinations(mine, n):
+                hits[b] += 1
+                weights[b] += 1 / math.sqrt(sizes[u])
+                ups[b].add(u)
+                reach[b] |= {(u, s) for s in skills}
+    total = sum(math.sqrt(n) for n in sizes.values())
+    found = {r.category: r for r in M.prevalence(df).collect()}
+    assert set(found) == {b[0] for b in hits if len(b) == 1}
+    for name, r in found.items():
+        assert (r.hits, r.analyzed, r.skills, r.observed_skills, r.upstreams, r.observed_upstreams) == (hits[(name,)], 300, len(reach[(name,)]), len(every), len(ups[(name,)]), 4)
+        assert r.adjusted_prevalence == pytest.approx(weights[(name,)] / total)
+    out = M.bundles(df).orderBy("rank").collect()
+    assert len(out) == sum(len(b) > 1 for b in hits)
+    for r in out:
+        b = tuple(r.bundle.split(" + "))
+        assert (r["size"], r.support, r.skills, r.upstream_coverage) == (len(b), hits[b], len(reach[b]), len(ups[b]) / 4)
+        assert r.lift == pytest.approx(hits[b] / 300 / math.prod(hits[(c,)] / 300 for c in b))
+    assert [(-r.prevalence, r["size"], r.bundle) for r in out] == sorted((-r.prevalence, r["size"], r.bundle) for r in out)
+    assert M.prevalence(df.limit(0)).collect() == [] and M.bundles(df.limit(0)).collect() == []
+
+
+def test_vocabularies_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_NAMES", 2)
+    df = spark.createDataFrame([(1, "u", ["a", "b", "c"], ["s"])], "id int, upstream string, categories array<string>, skills array<string>")
+    for f in (M.prevalence, M.bundles, M.pairs):
+        with pytest.raises(ValueError, match="more than 2"):
+            f(df)
+
+
 def test_shared_history_and_scope(spark):
     rows = [(0, "u", "a", "x", "ok", ["1", "2"]), (1, "u", "b", "x", "ok", ["2", "3"]), (2, "v", "a", "x", "ok", ["2"]), (3, "u", "a", "y", "no_diff", ["9"]), (4, "u", "c", "x", "ok", ["2"])]
     data = [(i, u, o, b, s, [(c, "m") for c in shas]) for i, u, o, b, s, shas in rows]
