@@ -7,6 +7,7 @@ Rules are unrolled into one array expression, so a line is read once and the ord
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
@@ -15,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import bound
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -62,22 +61,56 @@ def one_of(patterns: tuple[str, ...]) -> str:
     return "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
 
 
+def any_of(texts: tuple[str, ...]) -> str:
+    """One expression that is found where any of the texts is: a tree of their prefixes, so a place is tried once for each first character."""
+    heads: dict[str, list[str]] = {}
+    for t in texts:
+        if not t:
+            return ""
+        heads.setdefault(t[0], []).append(t[1:])
+    parts = [(h if h.isalnum() or h in "_ " else "\\x{%x}" % ord(h)) + any_of(tuple(rest)) for h, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def needed_text(pattern: str) -> str:
+    """The longest text, in lower case, that every match of a pattern holds, as far as it shows outside of groups and choices."""
+    if re.search(r"(?<!\\)[|]", re.sub(r"(?<!\\)\([^()]*\)", "", pattern)):
+        return ""
+    runs, depth = [""], 0
+    for m in re.finditer(r"\\[a-zA-Z]|\\.|\[[^]]*\]|.", pattern):
+        token, after = m[0], pattern[m.end() : m.end() + 1]
+        depth += (token == "(") - (token == ")")
+        plain = token[1] if token[0] == "\\" and not token[1].isalnum() else token if len(token) == 1 and token not in "()[]{}.*+?^$|" else ""
+        if depth or not plain or after in ("*", "?", "{"):
+            runs.append("")
+        else:
+            runs[-1] += plain.lower()
+            if after == "+":
+                runs.append("")
+    return max(runs, key=len)
+
+
 def passes_global(line: Column) -> Column:
     """Whether a line holds any of the texts that rules ask for."""
-    return bound(F.lower(line), lambda low: reduce(or_, (F.contains(low, F.lit(t)) for t in GLOBAL)))
+    return F.lower(line).rlike(any_of(GLOBAL))
 
 
-def rule_matches(line: Column, rule: Rule) -> Column:
-    """Whether a rule matches a line that has passed the global test."""
-    allowed = reduce(lambda a, d: a | F.contains(F.lower(line), F.lit(d.lower())), rule.allowed, F.lit(False))
-    found = ~allowed & (line.rlike(one_of(rule.prefilters)) if rule.prefilters else F.lit(True))
-    return found & line.rlike(one_of(rule.patterns))
+def folded(line: Column) -> Column:
+    """A line in lower case, with the letters that expressions without regard to case take for s, i and k as such."""
+    return F.lower(F.translate(line, "\u017f\u0131\u212a", "sik"))
 
 
-def matching_rules(line: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Numbers of the rules that match a line, in order."""
-    each = F.array(*[F.when(rule_matches(line, r), F.lit(i)) for i, r in enumerate(rules)])
-    return F.when(passes_global(line), F.filter(each, lambda x: x.isNotNull())).otherwise(F.array().cast("array<int>"))
+def rule_matches(line: Column, rule: Rule, low: Column | None = None) -> Column:
+    """Whether a rule matches a line that has passed the global test. ``low`` is the folded line, if it is at hand.
+
+    A rule is tried only if the line holds a text that one of its prefilters needs.
+    """
+    low = folded(line) if low is None else low
+    texts = [needed_text(p) for p in rule.prefilters]
+    gate = low.rlike(any_of(tuple(texts))) if texts and all(texts) else F.lit(True)
+    allowed = reduce(lambda a, d: a | F.contains(F.lower(line), F.lit(d.lower())), rule.allowed, F.lit(False))
+    found = gate & ~allowed & (line.rlike(one_of(rule.prefilters)) if rule.prefilters else F.lit(True))
+    return found & line.rlike(one_of(rule.patterns))
 
 
 def rule_table(spark, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -86,8 +119,13 @@ def rule_table(spark, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def scan(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A row for each line and rule that match; ``lines`` has ``content`` and any columns that place it."""
-    hit = lines.withColumn("rule_no", F.explode(matching_rules(F.col("content"), rules)))
+    """A row for each line and rule that match; ``lines`` has ``content`` and any columns that place it.
+
+    All tests are in generated code: the global test first, then a column with the folded line that all rules share.
+    """
+    passed = lines.where(passes_global(F.col("content"))).withColumn("_low", folded(F.col("content")))
+    each = F.array(*[F.when(rule_matches(F.col("content"), r, F.col("_low")), F.lit(i)) for i, r in enumerate(rules)])
+    hit = passed.withColumn("rule_no", F.explode(each)).drop("_low").where("rule_no is not null")
     return hit.join(F.broadcast(rule_table(lines.sparkSession, rules)), "rule_no")
 
 
@@ -129,13 +167,14 @@ def summary(by_instance: DataFrame) -> DataFrame:
     return out.withColumn("prevalence", F.when(F.col("instances") > 0, F.col("flagged") / F.col("instances")).otherwise(0.0))
 
 
-def by(matches: DataFrame, keys: list[str], instances: int, key: str = "id") -> DataFrame:
-    """Distinct instances, matches, prevalence and share of matches by category or rule."""
+def by(matches: DataFrame, keys: list[str], instances: DataFrame, key: str = "id") -> DataFrame:
+    """Distinct instances, matches, prevalence among ``instances`` and share of matches by category or rule."""
     pairs = matches.groupBy(*keys, key).agg(F.count(F.lit(1)).alias("m"))
     counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("instances"), F.sum("m").alias("matches"))
     total = counts.agg(F.sum("matches").alias("total"))
-    out = counts.crossJoin(F.broadcast(total))
-    return out.select(*keys, "instances", (F.col("instances") / F.lit(max(instances, 1))).alias("prevalence"), "matches", (F.col("matches") / F.col("total")).alias("match_share"))
+    all_of = instances.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
+    out = counts.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(all_of))  # each of one row
+    return out.select(*keys, "instances", (F.col("instances") / F.col("n")).alias("prevalence"), "matches", (F.col("matches") / F.col("total")).alias("match_share"))
 
 
 def hunks(matches: DataFrame, roles: DataFrame) -> DataFrame:

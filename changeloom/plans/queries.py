@@ -382,13 +382,13 @@ def security_summary(spark, sf):
 @query
 def security_by_rule(spark, sf):
     """Documents and matches by rule."""
-    return rounded(Z.by(Z.scan(document_lines(spark, sf)), ["rule", "category", "severity"], table(spark, sf, "documents").count()))
+    return rounded(Z.by(Z.scan(document_lines(spark, sf)), ["rule", "category", "severity"], table(spark, sf, "documents")))
 
 
 @query
 def security_by_category(spark, sf):
     """Documents and matches by category."""
-    return rounded(Z.by(Z.scan(document_lines(spark, sf)), ["category"], table(spark, sf, "documents").count()))
+    return rounded(Z.by(Z.scan(document_lines(spark, sf)), ["category"], table(spark, sf, "documents")))
 
 
 def document_diffs(spark, sf, loose: bool = False) -> DataFrame:
@@ -451,7 +451,7 @@ def diff_origin_by_rule(spark, sf):
 def diff_added_by_rule(spark, sf):
     """Documents and matches on added lines by rule."""
     found = Z.scan(Z.diff_lines(document_diffs(spark, sf))).where("role = 'added'")
-    return rounded(Z.by(found, ["rule"], table(spark, sf, "documents").count()))
+    return rounded(Z.by(found, ["rule"], table(spark, sf, "documents")))
 
 
 @query

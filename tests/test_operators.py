@@ -4,7 +4,10 @@ import itertools
 import json
 import math
 import random
+import re
 from collections import Counter, defaultdict
+from functools import reduce
+from operator import or_
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +137,32 @@ def test_vocabularies_are_bounded(spark, monkeypatch):
             f(df)
 
 
+def test_scan_without_gates(spark):
+    """Matches of random lines against all tests of every rule, one after the other."""
+    rng = random.Random(12)
+    words = ["inject", "into file", "code", "curl", "http://x", "wget ", "CURL", "\u017fudo x", "sudo", "rm -rf /", " rm\t", "exec (", "exec(", "decode", "api_key", "to\u212aen", "password", "nc -l", "nc  -e /", ".SSH/", "~/.ssh/", "==", "force", "install", "--upgrade", "npm i -g", "base64.decode", "chr (1) + chr", "vars()[x]", "prod then", "if PROD then system", "pip install a --global", "eval(", "github.com", "> /etc/", ":>", "dd x of=/", "getattr(a, 'b')(", "é", "x", "/etc/", "su ", "credentials.json"]
+    lines = [rng.choice(["", " "]).join(rng.choice(words) for _ in range(rng.randrange(6))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, content string")
+    low, line = F.lower("content"), F.col("content")
+    tests = []
+    for i, r in enumerate(Z.RULES):
+        ok = reduce(or_, [F.contains(low, F.lit(t)) for t in Z.GLOBAL])
+        for d in r.allowed:
+            ok &= ~F.contains(low, F.lit(d.lower()))
+        tests.append(F.when(ok & line.rlike(Z.one_of(r.prefilters)) & line.rlike(Z.one_of(r.patterns)), i))
+    plain = {(r.id, i) for r in df.select("id", F.array(*tests).alias("m")).collect() for i in r.m if i is not None}
+    assert {(r.id, r.rule_no) for r in Z.scan(df).collect()} == plain and len({i for _, i in plain}) == len(Z.RULES)
+
+
+def test_texts_that_patterns_need():
+    cases = {r"\bcurl\b": "curl", r"requests\.": "requests.", r"nc\s+": "nc", r">\s*/(?:etc|usr)/": ">", "a|b": "", r"ab(c|d)efg": "efg", "xy?z": "x", "ab+c": "ab", r"[ab]cd": "cd", r"a\(x|y\)": ""}
+    assert {p: Z.needed_text(p) for p in cases} == cases
+    pattern = re.compile(Z.any_of(("ab", "abc", "b.d", "")) or "(?:)")
+    assert pattern.search("zzz")
+    pattern = re.compile(Z.any_of(("ab", "abc", "b.d", "c ")).replace("\\x{2e}", r"\."))
+    assert [bool(pattern.search(t)) for t in ("xab", "b.d", "bxd", "c", "c ", "a")] == [True, True, False, False, True, False]
+
+
 def test_shared_history_and_scope(spark):
     rows = [(0, "u", "a", "x", "ok", ["1", "2"]), (1, "u", "b", "x", "ok", ["2", "3"]), (2, "v", "a", "x", "ok", ["2"]), (3, "u", "a", "y", "no_diff", ["9"]), (4, "u", "c", "x", "ok", ["2"])]
     data = [(i, u, o, b, s, [(c, "m") for c in shas]) for i, u, o, b, s, shas in rows]
