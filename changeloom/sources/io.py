@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import fixed4
+from .files import write_files
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -139,27 +140,13 @@ def rewrite(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
-def write_per_row(df: DataFrame, path: str, stem: str = "stem") -> None:
-    """One pretty JSON file ``<stem>.json`` for each row; of rows with equal stems the last text by order stays.
+def write_per_row(df: DataFrame, path: str, stem: str = "stem") -> int:
+    """One pretty JSON file ``<stem>.json`` for each row, beside what ``path`` holds; of rows with equal stems the last text by order stays.
 
-    Rows are written in parallel; then each file is renamed to its stem, which moves no data.
+    Tasks write the files, and one commit decides on all of them (``files``). Gives the number of files.
     """
-    spark = df.sparkSession
     body = F.to_json(F.struct(*[c for c in df.columns if c != stem]), {"pretty": "true", "ignoreNullFields": "false"})
-    rows = df.select(F.col(stem).alias("stem"), body.alias("value")).groupBy("stem").agg(F.max("value").alias("value"))
-    rows.write.mode("overwrite").partitionBy("stem").text(path + ".tmp")
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    whole, made = to_path(path), to_path(path + ".tmp")
-    fs = whole.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.mkdirs(whole)
-    for folder in fs.listStatus(made):
-        if folder.isDirectory():
-            name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName().removeprefix("stem="))
-            target = to_path(whole, f"{name}.json")
-            fs.delete(target, False)
-            if not fs.rename(fs.globStatus(to_path(folder.getPath(), "part-*"))[0].getPath(), target):
-                raise OSError(f"{name}.json could not be put in its place")
-    fs.delete(made, True)
+    return write_files(df.select(F.col(stem).cast("string").alias("stem"), body.alias("value")).groupBy("stem").agg(F.max("value").alias("value")), path)
 
 
 def write_sample(records: DataFrame, drawn: DataFrame, path: str, about: dict, stem: str = "stem") -> int:
@@ -168,8 +155,8 @@ def write_sample(records: DataFrame, drawn: DataFrame, path: str, about: dict, s
     ``about`` is what ``manifest`` wants besides size and files. A drawn sample is as long as people can read.
     """
     copied = records.join(drawn.select(stem), stem, "left_semi")
-    names = sorted(r[stem] for r in copied.select(stem).distinct().collect())
     write_per_row(copied, path, stem)
+    names = sorted(r[stem] for r in copied.select(stem).distinct().collect())  # the manifest lists them
     spark = records.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path, "manifest.json")
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
