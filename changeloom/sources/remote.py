@@ -1,22 +1,25 @@
-"""Paged REST listings as a Spark data source, and checkouts of repositories as tables.
+"""Paged REST listings as a Spark data source, at once or as a stream, and checkouts of repositories as tables.
 
-The source reads ``url`` page by page in one task for each of the ``keys`` that fill its ``{key}``; the transport is a
-function ``(url, headers) -> (status, headers, text)``, so tests and other clients can put in their own.
+The source reads ``url`` page by page in one task for each of the ``keys`` that fill its ``{key}``; as a stream it reads each page in
+a task of its own and goes on, after a stop or a crash, at the page where it was. The transport is a function
+``(url, headers) -> (status, headers, text)``, so tests and other clients can put in their own.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import subprocess
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Items of a page, most items of a search, tries, longest wait between them in seconds, requests to keep back.
 PAGE, CAP, TRIES, LONGEST, SPARE = 100, 1000, 5, 60, 50
@@ -70,11 +73,16 @@ def fetch(url: str, headers: dict, transport: Transport = http, sleep: Callable[
     raise RuntimeError(f"no answer after {TRIES} tries: {url}")
 
 
+def page_url(url: str, n: int) -> str:
+    """The address of page ``n`` of a listing."""
+    return f"{url}{'&' if '?' in url else '?'}per_page={PAGE}&page={n}"
+
+
 def pages(url: str, headers: dict, most: int | None = None, transport: Transport = http, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
     """Items of a listing. It ends where no ``Link`` header names a next page; a search also at a short page or at the cap."""
     n, seen = 1, 0
     while most is None or seen < most:
-        got = fetch(f"{url}{'&' if '?' in url else '?'}per_page={PAGE}&page={n}", headers, transport, sleep)
+        got = fetch(page_url(url, n), headers, transport, sleep)
         if got is None:
             return
         found = json.loads(got[1])
@@ -111,10 +119,96 @@ class PagedReader(DataSourceReader):
                 raise
 
 
+def last_page(url: str, headers: dict, most: int | None = None, transport: Transport = http, sleep: Callable[[float], None] = time.sleep) -> int:
+    """The number of pages of a listing, from its first one: what ``Link`` says of the last, or a search's total; 0 if it isn't there."""
+    got = fetch(page_url(url, 1), headers, transport, sleep)
+    if got is None:
+        return 0
+    found = json.loads(got[1])
+    if isinstance(found, dict):
+        n = -(-int(found.get("total_count", len(found.get("items", [])))) // PAGE)
+    else:
+        named = re.search(r'[?&]page=(\d+)[^>]*>; rel="last"', got[0].get("link", ""))
+        n = int(named[1]) if named else 1
+    return n if most is None else min(n, -(-most // PAGE))
+
+
+class PagedStream(DataSourceStreamReader):
+    """Listings as a stream. An offset is the number of a batch; which pages a batch has is written to ``state`` before it is given out.
+
+    So a batch that is run again has the same pages, and a reader that starts anew knows what has been given out, whatever the
+    engine had noted of it: no page is read for two batches. ``pages`` is the number of pages of a batch.
+    """
+
+    def __init__(self, schema, options):
+        self.columns, self.url = schema.names, options["url"]
+        self.keys, self.headers = json.loads(options.get("keys", '[""]')), json.loads(options.get("headers", "{}"))
+        self.most = int(options["most"]) if "most" in options else None
+        self.size, self.state = int(options.get("pages", "100")), options["state"]
+        self.lasts: dict[str, int] = {}
+
+    def _batch(self, n: int) -> list[list] | None:
+        """The (key, page) of batch n, None if it hasn't been given out."""
+        system, root = fs.FileSystem.from_uri(self.state)
+        if not system.get_file_info(f"{root}/{n}.json").is_file:
+            return None
+        with system.open_input_stream(f"{root}/{n}.json") as f:
+            return json.loads(f.read())
+
+    def _given(self) -> int:
+        """The number of the last batch that has been given out."""
+        system, root = fs.FileSystem.from_uri(self.state)
+        found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        return max([int(f.base_name[:-5]) for f in found if f.base_name[:-5].isdigit()], default=0)
+
+    def _next(self, key: str, page: int) -> list[list]:
+        """The pages that follow a page in the order of keys, as many as a batch has."""
+        out, at = [], self.keys.index(key) if key in self.keys else 0
+        for k in self.keys[at:]:
+            if k not in self.lasts:
+                self.lasts[k] = last_page(self.url.replace("{key}", str(k)), self.headers, self.most)
+            first = page + 1 if k == key else 1
+            out += [[k, n] for n in range(first, self.lasts[k] + 1)][: self.size - len(out)]
+            if len(out) == self.size:
+                break
+        return out
+
+    def initialOffset(self):
+        return {"batch": 0}
+
+    def latestOffset(self):
+        n = self._given()
+        key, page = self._batch(n)[-1] if n else (self.keys[0] if self.keys else None, 0)
+        batch = self._next(key, page)
+        if not batch:
+            return {"batch": n}
+        system, root = fs.FileSystem.from_uri(self.state)
+        system.create_dir(root)
+        with system.open_output_stream(f"{root}/_next") as out:
+            out.write(json.dumps(batch).encode())
+        system.move(f"{root}/_next", f"{root}/{n + 1}.json")
+        return {"batch": n + 1}
+
+    def partitions(self, start, end):
+        return [InputPartition(tuple(x)) for n in range(start["batch"] + 1, end["batch"] + 1) for x in self._batch(n) or []]
+
+    def read(self, partition):
+        key, page = partition.value
+        got = fetch(page_url(self.url.replace("{key}", str(key)), page), self.headers)
+        found = json.loads(got[1]) if got else []
+        left = PAGE if self.most is None else self.most - (page - 1) * PAGE
+        for item in (found.get("items", []) if isinstance(found, dict) else found)[:left]:
+            yield (key, *[None if item.get(c) is None else str(item[c]) for c in self.columns[1:]])
+
+    def commit(self, end):
+        pass  # what has been given out stays on record
+
+
 class PagedSource(DataSource):
     """``spark.read.format("paged").schema("key string, full_name string, ...")`` with options url, keys, most, headers, lenient.
 
-    A key that still fails after the last try raises, or, if lenient, yields the pages read so far.
+    A key that still fails after the last try raises, or, if lenient, yields the pages read so far. ``spark.readStream`` also takes
+    ``state``, a folder for what has been given out, and ``pages``, the pages of a batch.
     """
 
     @classmethod
@@ -124,6 +218,9 @@ class PagedSource(DataSource):
     def reader(self, schema):
         return PagedReader(schema, self.options)
 
+    def streamReader(self, schema):
+        return PagedStream(schema, self.options)
+
 
 def checkout_definitions(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """(path, text) of the definition files below a checkout, read as whole files."""

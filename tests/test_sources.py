@@ -166,3 +166,82 @@ def test_two_writers_of_a_version(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(V, "_pointers", pointers)
     assert V.publish(spark, path, "rows-mine") == 3
+
+
+LISTINGS = {"a": 430, "b": 0, "c": 1, "d": 200, "none": None}
+
+
+@pytest.fixture
+def listings():
+    """A server of paged listings, and the pages that were asked for."""
+    import http.server
+    import threading
+    from urllib.parse import parse_qs, urlsplit
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            key, page = urlsplit(self.path).path[1:], int(parse_qs(urlsplit(self.path).query)["page"][0])
+            asked.append((key, page))
+            size = LISTINGS[key]
+            self.send_response(404 if size is None else 200)
+            last = -(-(size or 0) // 100)
+            if page < last:
+                self.send_header("Link", f'<http://x/{key}?per_page=100&page={page + 1}>; rel="next", <http://x/{key}?per_page=100&page={last}>; rel="last"')
+            self.end_headers()
+            self.wfile.write(json.dumps([{"id": i} for i in range((page - 1) * 100, min(size or 0, page * 100))]).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/{{key}}", asked
+    server.shutdown()
+
+
+def test_a_listing_goes_on_where_it_stopped(spark, tmp_path, listings):
+    from changeloom.sources import remote
+
+    url, asked = listings
+    spark.dataSource.register(remote.PagedSource)
+    out, expected = [], sorted((k, i) for k, n in LISTINGS.items() for i in range(n or 0))
+
+    def run(stop_after):
+        seen = []
+
+        def put(df, n):
+            rows = [(r.key, int(r.id)) for r in df.collect()]
+            if len(seen) == stop_after:
+                raise RuntimeError("lost")
+            seen.append(n)
+            done = {m for m, _ in out}
+            if n not in done:  # a batch may be run again
+                out.append((n, rows))
+
+        stream = spark.readStream.format("paged").schema("key string, id string").options(url=url, keys=json.dumps(list(LISTINGS)), pages="2", state=f"file://{tmp_path}/state").load()
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"file://{tmp_path}/checkpoint").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    for stop_after in (1, 0, 2):
+        with pytest.raises(Exception, match="lost"):
+            run(stop_after)
+    run(100)
+    assert sorted(x for _, rows in out for x in rows) == expected
+    assert max(len({k for k in rows}) for _, rows in out) <= 200
+    before = len(asked)
+    run(100)  # nothing is left: only the last listing is looked at again
+    assert len(asked) - before <= 2 and sorted(x for _, rows in out for x in rows) == expected
+
+
+def test_last_page():
+    from changeloom.sources import remote as W
+
+    answer = lambda headers, body: lambda *_: (200, headers, json.dumps(body))
+    assert W.last_page("u", {}, None, answer({"link": '<http://x?per_page=100&page=2>; rel="next", <http://x?per_page=100&page=147>; rel="last"'}, [])) == 147
+    assert W.last_page("u", {}, None, answer({}, [{}])) == 1 and W.last_page("u", {}, 150, answer({}, {"total_count": 999})) == 2
+    assert W.last_page("u", {}, None, answer({}, {"total_count": 0, "items": []})) == 0 and W.last_page("u", {}, None, lambda *_: (404, {}, "")) == 0
