@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from changeloom.sources import comparisons as Q
 from changeloom.sources import files, io
 from changeloom.sources import versions as V
+from changeloom.streaming import resume
 
 
 def requests(n=60):
@@ -245,3 +246,31 @@ def test_last_page():
     assert W.last_page("u", {}, None, answer({"link": '<http://x?per_page=100&page=2>; rel="next", <http://x?per_page=100&page=147>; rel="last"'}, [])) == 147
     assert W.last_page("u", {}, None, answer({}, [{}])) == 1 and W.last_page("u", {}, 150, answer({}, {"total_count": 999})) == 2
     assert W.last_page("u", {}, None, answer({}, {"total_count": 0, "items": []})) == 0 and W.last_page("u", {}, None, lambda *_: (404, {}, "")) == 0
+
+
+def test_keys_are_kept_in_a_state_store(spark, tmp_path):
+    source, sink = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    spark.createDataFrame([(1, "a", "old")], "k long, l string, v string").write.parquet(str(sink))
+
+    def run(name, rows):
+        (source / f"{name}.json").write_text("".join(json.dumps(dict(zip("klv", r, strict=True))) + "\n" for r in rows))
+        resume.incremental(spark, str(source), str(sink), str(tmp_path / "checkpoint"), "k long, l string, v string", ["k", "l"], lambda df: df.where("v != 'no'")).awaitTermination()
+
+    rows = lambda: sorted((tuple(r) for r in spark.read.parquet(str(sink)).collect()), key=repr)
+    run("1", [(1, "a", "x"), (1, "b", "y"), (1, "b", "x"), (2, None, "z"), (None, None, "n"), (5, "c", "no")])
+    first = [(1, "a", "old"), (1, "b", "x"), (2, None, "z"), (None, None, "n")]
+    assert rows() == sorted(first, key=repr)
+    kept = {p: p.read_bytes() for p in sink.glob("*.parquet")}
+    for p in kept:
+        p.write_bytes(b"no batch reads the sink")
+    run("2", [(2, None, "again"), (1, "a", "again"), (None, None, "again"), (5, "c", "c"), (6, "d", "d")])
+    for p, data in kept.items():
+        p.write_bytes(data)
+    assert rows() == sorted([*first, (5, "c", "c"), (6, "d", "d")], key=repr)
+
+
+def test_a_batch_that_is_put_again(spark, tmp_path):
+    for _ in range(2):
+        resume.put(spark.range(10).repartition(3), 4, f"{tmp_path}/out")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(10))
