@@ -227,3 +227,65 @@ def checkout_definitions(spark: SparkSession, path: str, prefix: str = "") -> Da
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").text(path, wholetext=True)
     relative = F.substring_index(F.col("_metadata.file_path"), path.rstrip("/").removeprefix("file://") + "/", -1)
     return files.select(relative.alias("path"), F.col("value").alias("text")).where(F.col("path").startswith(prefix))
+
+
+class GitReader(DataSourceReader):
+    """One (repository, commit) for each task, whose tree is listed once and whose blobs come from one process."""
+
+    def __init__(self, options):
+        self.commits = json.loads(options["commits"])
+        self.root, self.name, self.prefix = options["root"].removeprefix("file://"), options.get("file", "SKILL.md"), options.get("prefix", "")
+
+    def partitions(self):
+        return [InputPartition(tuple(x)) for x in self.commits] or [InputPartition(None)]
+
+    def read(self, partition):
+        if partition.value is None:
+            return
+        repo, sha = partition.value
+        if not re.fullmatch(r"[0-9a-f]{4,64}", sha) or ".." in repo.split("/"):
+            raise ValueError(f"{repo} at {sha} can't be read")
+        git = ["git", "-c", "safe.directory=*", "-C", os.path.join(self.root, repo)]
+        listed = subprocess.run([*git, "ls-tree", "-r", "-z", sha], capture_output=True, check=True).stdout
+        found = []
+        for entry in listed.split(b"\0")[:-1]:
+            about, path = entry.split(b"\t", 1)
+            kind, blob = about.split()[1:3]
+            place = path.decode(errors="replace")
+            if kind == b"blob" and place.rsplit("/", 1)[-1] == self.name and place.startswith(self.prefix):
+                found.append((place, blob))
+        if not found:
+            return
+        with subprocess.Popen([*git, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as run:
+            for place, blob in found:  # asked and answered one by one, so neither side waits for a full pipe
+                run.stdin.write(blob + b"\n")
+                run.stdin.flush()
+                size = int(run.stdout.readline().split()[2])
+                text = run.stdout.read(size + 1)[:-1]
+                yield (repo, sha, place, blob.decode(), text.decode(errors="replace"))
+            run.stdin.close()
+
+
+class GitSource(DataSource):
+    """Files at commits: options root (a folder of clones), commits (JSON of (repository, commit)), file (the name), prefix."""
+
+    @classmethod
+    def name(cls):
+        return "git_blobs"
+
+    def schema(self):
+        return "repo string, head_sha string, path string, blob string, text string"
+
+    def reader(self, schema):
+        return GitReader(self.options)
+
+
+def definitions_at(spark: SparkSession, root: str, commits: DataFrame, prefix: str = "", file: str = "SKILL.md") -> DataFrame:
+    """(repo, head_sha, path, blob, text) of the definition files of each commit, as they were at that commit.
+
+    ``commits`` has (repo, head_sha), one row for each repository that is read, and goes through the driver, as partitions do. The
+    clones lie below ``root``, a folder that the executors share; neither a checkout nor a working tree is needed.
+    """
+    spark.dataSource.register(GitSource)
+    pairs = [list(r) for r in commits.select("repo", "head_sha").distinct().orderBy("repo", "head_sha").collect()]
+    return spark.read.format("git_blobs").options(root=root, commits=json.dumps(pairs), prefix=prefix, file=file).load()

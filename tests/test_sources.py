@@ -274,3 +274,33 @@ def test_a_batch_that_is_put_again(spark, tmp_path):
     for _ in range(2):
         resume.put(spark.range(10).repartition(3), 4, f"{tmp_path}/out")
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(10))
+
+
+def test_files_at_commits(spark, tmp_path):
+    import subprocess
+
+    from changeloom.sources import remote
+
+    def git(*args):
+        run = subprocess.run(["git", "-c", "user.name=a", "-c", "user.email=a@b", "-C", str(tmp_path / "o" / "r"), *args], capture_output=True, text=True, check=True)
+        return run.stdout.strip()
+
+    (tmp_path / "o" / "r" / "s" / "x y").mkdir(parents=True)
+    git("init", "-q")
+    place = tmp_path / "o" / "r"
+    shas = []
+    for n, text in enumerate(["one\n", "zwei é", ""]):
+        (place / "s" / "x y" / "SKILL.md").write_text(text)
+        (place / "SKILL.md").write_text(f"root {n}")
+        (place / "s" / "other.md").write_text("no")
+        (place / "s" / f"SKILL{n}.md").write_text("no")
+        git("add", "-A")
+        git("commit", "-q", "-m", "m")
+        shas.append(git("rev-parse", "HEAD"))
+    commits = spark.createDataFrame([("o/r", s) for s in (*shas, shas[0])], "repo string, head_sha string")
+    found = {(r.head_sha, r.path): r.text for r in remote.definitions_at(spark, str(tmp_path), commits).collect()}
+    assert found == {(s, p): t for s, t, n in zip(shas, ["one\n", "zwei é", ""], range(3), strict=True) for p, t in (("s/x y/SKILL.md", t), ("SKILL.md", f"root {n}"))}
+    assert [r.path for r in remote.definitions_at(spark, str(tmp_path), commits, prefix="s/").collect()] == ["s/x y/SKILL.md"] * 3
+    assert remote.definitions_at(spark, f"file://{tmp_path}", commits.limit(0)).collect() == []
+    with pytest.raises(Exception, match="can't be read"):
+        remote.definitions_at(spark, str(tmp_path), spark.createDataFrame([("o/r", "--help")], "repo string, head_sha string")).collect()
