@@ -135,6 +135,11 @@ def frontmatter_fields(text: Column) -> Column:
     return read(frontmatter(text))
 
 
+def frontmatter_variant(text: Column) -> Column:
+    """Fields of the frontmatter as a VARIANT, an empty object where there is none that can be read."""
+    return F.parse_json(frontmatter_fields(text))
+
+
 def headings(text: Column) -> Column:
     """ATX headings (level, text, line) outside fences; either fence mark opens or closes."""
     pattern = r"(?U)^(#{1,6})\s+(.+?)\s*\z"

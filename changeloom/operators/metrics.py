@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import bound
 from ..sources.tables import written
+from .numbering import running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -188,8 +189,8 @@ def expression_share(rows: DataFrame, column: str) -> DataFrame:
 
 
 def sorted_pairs(found: DataFrame, order: list[str]) -> DataFrame:
-    """Pairs by falling prevalence; equal ones in the categories' fixed order."""
-    return found.orderBy(F.desc("prevalence"), canonical_rank(F.col("a"), order), canonical_rank(F.col("b"), order), "a", "b")
+    """Pairs with ``place``, by falling prevalence; equal ones in the categories' fixed order, unknown ones last, by name."""
+    return running(found, [F.desc("prevalence"), canonical_rank(F.col("a"), order), canonical_rank(F.col("b"), order), F.col("a"), F.col("b")]).orderBy("place")
 
 
 def conditional_lift(rows: DataFrame, why: str, what: str, support: int = 5) -> DataFrame:
@@ -281,6 +282,8 @@ def precision_recall(rows: DataFrame) -> DataFrame:
     return out
 
 
-def batches(total: int, done: int, size: int = 50) -> int:
-    """Batches that are left."""
+def batches(total, done, size: int = 50):
+    """Batches that are left, of numbers or of columns."""
+    if isinstance(total, Column):
+        return F.ceil(F.greatest(total - done, F.lit(0)) / size).cast("long")
     return math.ceil(max(total - done, 0) / size)

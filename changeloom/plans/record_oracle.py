@@ -80,7 +80,8 @@ concat_ws(',', 'SKILL.md', case when doc_id % 2 = 0 then 'scripts/run.py' end, c
     "branch_rows": "select distinct c_custkey, c_name as full_name, o_orderpriority as fork_branch from customer join orders on o_custkey = c_custkey",
     "frontmatter_fields": "with d as (select *, doc_id % 5 <> 0 and doc_id % 4 > 1 as good from documents) select doc_id, case when good then 'n ' || lang end as name, case when good then doc_id end as number, case when good then 2::bigint end as second from d",
     "vocabularies": "select distinct 'patterns' as vocabulary, p_type as name from part union all select 'what', n_name from nation union all select 'what', 'missing-what' union all select 'why', n_name from nation where n_nationkey > 0 union all select 'why', 'missing-why'",
-    "sorted_pairs": f"select a, b, prevalence from ({pairs()})",
+    "sorted_pairs": f"""with p as (select a, b, round(prevalence, 6) as prevalence from ({pairs()})), r as (select * from (values ('REGION_2', 1), ('AMERICA', 2), ('ASIA', 3)) as t(name, k))
+select a, b, prevalence, row_number() over (order by prevalence desc, coalesce(x.k, 4), coalesce(y.k, 4), a, b) as place from p left join r x on x.name = a left join r y on y.name = b""",
     "match_tables": f"with {DIFF}, {matched('dl')}, t as (select 'added' as matches_on, role, id from m where role = 'added' union all select 'context', role, id from m where role <> 'added' union all select 'removed', role, id from m where role = 'removed') select matches_on, role, count(*) as matches, count(distinct id) as instances from t group by 1, 2",
     "release_instances": f"with t as (select doc_id, source, text || ' token=abc' as a, '+' || text as p, source || '::' || doc_id || '::main' as v from documents) select doc_id, case when doc_id % 2 = 0 then {uuid5('v')} else source end as modification_id, md5({redacted('a')} || '|<LOCAL_USER_PATH>/x') as messages, md5({redacted('p')}) as patch from t",
     "release_diffs": f"select c_custkey, case when c_custkey % 5 = 0 then '' else {digest('c_name', 'fork-owner')} end as fork_owner, case when c_custkey % 3 > 0 then {digest("('b' || c_custkey)", 'sha')} end as merge_base_sha, {digest("('h' || c_custkey)", 'sha')} as head_sha, {digest('c_custkey', 'sha')} as sha, 'token=<REDACTED> y' as message from customer",

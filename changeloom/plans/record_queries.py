@@ -186,8 +186,9 @@ def frontmatter_fields(spark, sf):
     d = F.col("doc_id")
     block = F.when(d % 4 == 0, "name: [a").when(d % 4 == 1, "- a\n- b").otherwise(F.concat(F.lit("name: 'n "), "lang", F.lit("'\nnumber: "), d, F.lit("\ndeep:\n  x: [1, 2]")))
     text = F.when(d % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("---\n"), block, F.lit("\n---\n"), "text"))
-    read = table(spark, sf, "documents").select("doc_id", D.frontmatter_fields(text).alias("f"))
-    return read.select("doc_id", F.get_json_object("f", "$.name").alias("name"), F.get_json_object("f", "$.number").cast("long").alias("number"), F.get_json_object("f", "$.deep.x[1]").cast("long").alias("second"))
+    read = table(spark, sf, "documents").select("doc_id", D.frontmatter_variant(text).alias("f"))
+    get = lambda path, kind: F.try_variant_get("f", path, kind)
+    return read.select("doc_id", get("$.name", "string").alias("name"), get("$.number", "long").alias("number"), get("$.deep.x[1]", "long").alias("second"))
 
 
 @query
@@ -205,8 +206,8 @@ def vocabularies(spark, sf):
 def sorted_pairs(spark, sf):
     """Pairs of families by falling prevalence, with their place."""
     names = ["REGION_2", "AMERICA", "ASIA"]
-    found = M.sorted_pairs(M.pairs(instances(spark, sf)), names)
-    return rounded(found.select("a", "b", "prevalence"))
+    found = M.sorted_pairs(rounded(M.pairs(instances(spark, sf)).select("a", "b", "prevalence")), names)
+    return found.select("a", "b", "prevalence", "place")
 
 
 @query

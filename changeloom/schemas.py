@@ -6,7 +6,7 @@ REPOS = "full_name STRING, stargazers_count BIGINT, forks_count BIGINT, default_
 REPO_METADATA = "repo_name STRING, stars BIGINT, forks BIGINT, default_branch STRING, captured_at STRING"
 FORKS = "upstream STRING, owner STRING, name STRING, full_name STRING, clone_url STRING, created_at STRING, pushed_at STRING, size BIGINT, stargazers_count BIGINT, default_branch STRING"
 DIFFS = f"upstream STRING, fork_owner STRING, fork_branch STRING, base STRING, prefix STRING, status STRING, fetched_at STRING, ahead_by BIGINT, behind_by BIGINT, merge_base_sha STRING, head_sha STRING, commits {COMMITS}, files {FILES}"
-INDEX = "repo STRING, path STRING, head_sha STRING, frontmatter STRING, n_lines BIGINT, headings ARRAY<STRUCT<level INT, text STRING, line INT>>"
+INDEX = "repo STRING, path STRING, head_sha STRING, frontmatter VARIANT, n_lines BIGINT, headings ARRAY<STRUCT<level INT, text STRING, line INT>>"
 LABELS = "upstream STRING, fork_owner STRING, fork_branch STRING, taxonomy_version STRING, labels ARRAY<STRING>, label_assignments ARRAY<STRUCT<name STRING, confidence STRING, evidence ARRAY<STRUCT<type STRING, summary STRING, file STRING>>>>, taxonomy_updates ARRAY<STRUCT<name STRING, rationale STRING>>, uninformative_commit_messages BOOLEAN, patch_sufficiency STRING, input_context STRING, rationale STRING"
 VERDICTS = "author STRING, exported_at STRING, total BIGINT, audited BIGINT, reviewed BIGINT, verdicts ARRAY<STRUCT<record STRING, upstream STRING, fork_owner STRING, set STRING, predicted_labels STRING, has_low_confidence BOOLEAN, audited BOOLEAN, verdict STRING, remove_labels ARRAY<STRING>, add_labels ARRAY<STRING>, notes STRING>>"
 INSTANCES = "modification_id STRING, upstream STRING, commit_messages ARRAY<STRING>, patch STRING, labels ARRAY<STRING>"

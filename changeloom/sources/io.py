@@ -56,6 +56,14 @@ def read_json_folder(spark: SparkSession, path: str, schema: str, skip: tuple[st
     return df.where(~F.col("_name").isin(list(skip))).withColumn("stem", F.regexp_replace("_name", r"\.json$", "")).drop("_name")
 
 
+def read_variants(spark: SparkSession, path: str, skip: tuple[str, ...] = ("manifest.json",)) -> DataFrame:
+    """(stem, value): the JSON files of a folder, of any shape, as VARIANT; null where a file is no JSON."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "stem STRING, value VARIANT")
+    df = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).withColumn("_name", F.col("_metadata.file_name"))
+    return df.where(~F.col("_name").isin(list(skip))).select(F.regexp_replace("_name", r"\.json$", "").alias("stem"), F.try_parse_json("value").alias("value"))
+
+
 def read_verdicts(spark: SparkSession, pattern: str, schema: str, need: int = 2) -> list[DataFrame]:
     """The verdict tables of the first ``need`` files by name; raises if there are fewer."""
     files = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("_file", F.col("_metadata.file_name"))
