@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
 import pyarrow as pa
@@ -58,7 +59,9 @@ def canonical(value: object) -> str:
 
 
 def valid(value: object, schema: dict) -> bool:
-    """Whether a value meets a schema of the subset named above."""
+    """Whether a value meets a schema of the subset named above; a reference to a result stands for a value of any type."""
+    if isinstance(value, dict) and len(value) == 1 and isinstance(value.get("$result"), str):
+        return True
     kind = schema.get("type")
     if kind and (not isinstance(value, TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
         return False
@@ -177,13 +180,27 @@ def place(turn: int | None, calls: list[dict], cross: list[dict], inner: list[di
 PLACED = "row long, conv_id long, order_turn long, message_level int, place int, id string, floor long, level int, cycle boolean, reach long"
 
 
-def _place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``PLACED`` for each call of each message."""
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PLACED`` for the calls of each message whose waits are known, be it from messages that came before in this very sweep."""
+    key, here = None, {}
     for b in batches:
         out = []
         for m in b.to_pylist():
-            order, level, found = place(m["turn"], m["calls"], m["cross"] or [], m["inner"] or [])
-            out += [(m["row"], m["conv_id"], order, level, c["place"], c["id"], *found[c["place"]]) for c in m["calls"]]
+            if key != (m["conv_id"],):
+                key, here = (m["conv_id"],), {}
+            cross = []
+            for x in m["cross"] or []:
+                if not x["known"]:
+                    if x["after"] not in here:
+                        break
+                    x["reach"], x["level"] = here[x["after"]]
+                cross.append(x)
+            else:
+                order, level, found = place(m["turn"], m["calls"], cross, m["inner"] or [])
+                for c in m["calls"]:
+                    out.append((m["row"], m["conv_id"], order, level, c["place"], c["id"], *found[c["place"]]))
+                    if c["id"] is not None:
+                        here[c["id"]] = found[c["place"]][3], found[c["place"]][1]
         yield batch(out, PLACED)
 
 
@@ -191,8 +208,10 @@ def placed(made: DataFrame, waits: DataFrame) -> DataFrame:
     """``PLACED`` of the calls of messages that wait for a result.
 
     ``made`` are all calls (row, conv_id, turn, place, id, nth, fault, first, last), ``waits`` the edges (row, conv_id, place,
-    after, owner, target). Rounds over the messages that are left: every round places those whose edges to other messages
-    lead to calls whose reach is known; when a round places none, the rest is a cycle or waits for one.
+    after, owner, target). Rounds over the messages that are left, dealt out by ranges of conversation and turn: a task goes through
+    its range in order, up and down in turn, and places every message whose waits are known from rounds before or from its way
+    so far. So a chain of any length takes two rounds, and one more for each part of its conversation that it crosses against
+    the way or from range to range. When neither way places any, the rest is a cycle or waits for one.
     """
     edges = written(waits.withColumn("outer", F.col("row") != F.col("owner")), "waits")
     mine = made.join(edges.select("row").distinct(), "row", "left_semi").dropDuplicates(["row", "place"])
@@ -201,23 +220,29 @@ def placed(made: DataFrame, waits: DataFrame) -> DataFrame:
     left = written(messages.join(inner, "row", "left"), "messages")
     free = made.where("nth = 1").join(edges.select("row").distinct(), "row", "left_anti")
     reached = written(free.select("conv_id", F.col("id").alias("after"), F.greatest("turn", "last").alias("reach"), F.lit(0).alias("level")).join(edges.select("conv_id", "after").distinct(), ["conv_id", "after"], "left_semi"), "reached")
-    rest, done, level = edges.where("outer"), None, 0
+    rest, done, level, idle = edges.where("outer"), [], 0, 0
     while not left.isEmpty():
         level += 1
         known = rest.join(reached.withColumn("known", F.lit(True)), ["conv_id", "after"], "left")
-        known = known.groupBy("row").agg(F.min(F.coalesce("known", F.lit(False))).alias("ready"), F.collect_list(F.struct("place", "reach", F.coalesce("level", F.lit(0)).alias("level"))).alias("cross"))
-        ready = left.join(known, "row", "left").where("coalesce(ready, true)").select("row", "conv_id", "turn", "calls", "inner", "cross")
-        now = written(in_arrow(ready, _place_all, PLACED), "placed")
+        known = known.groupBy("row").agg(F.collect_list(F.struct("place", "after", F.coalesce("known", F.lit(False)).alias("known"), "reach", F.coalesce("level", F.lit(0)).alias("level"))).alias("cross"))
+        ready = left.join(known, "row", "left").select("row", "conv_id", "turn", "calls", "inner", "cross")
+        way = F.asc_nulls_first("turn") if level % 2 else F.desc_nulls_last("turn")
+        spread = ready.repartitionByRange("conv_id", "turn", "row").sortWithinPartitions("conv_id", way, "row")
+        now = written(in_arrow(spread, _sweep, PLACED), "placed")
         if now.isEmpty():
+            idle += 1
+            if idle < 2:  # the other way may still lead on
+                continue
             waiting = edges.select("row", "place", F.lit(True).alias("waits")).distinct()
             stuck = left.select("row", "conv_id", "turn", F.explode("calls").alias("c")).select("row", "conv_id", "turn", F.col("c.place").alias("place"), F.col("c.id").alias("id")).join(waiting, ["row", "place"], "left")
-            stuck = stuck.select("row", "conv_id", F.col("turn").alias("order_turn"), F.lit(level).alias("message_level"), "place", "id", F.col("turn").alias("floor"), F.lit(level).alias("level"), F.coalesce("waits", F.lit(False)).alias("cycle"), F.col("turn").alias("reach"))
-            return stuck if done is None else done.unionByName(stuck)
-        done = now if done is None else written(done.unionByName(now), "placed")
-        reached = written(reached.unionByName(now.where("id is not null").select("conv_id", F.col("id").alias("after"), "reach", "level")), "reached")
+            done.append(stuck.select("row", "conv_id", F.col("turn").alias("order_turn"), F.lit(level).alias("message_level"), "place", "id", F.col("turn").alias("floor"), F.lit(level).alias("level"), F.coalesce("waits", F.lit(False)).alias("cycle"), F.col("turn").alias("reach")))
+            break
+        idle = 0
+        done.append(now)
+        reached = reached.unionByName(now.where("id is not null").select("conv_id", F.col("id").alias("after"), "reach", "level"))
         left = written(left.join(now.select("row").distinct(), "row", "left_anti"), "messages")
         rest = rest.join(left.select("row"), "row", "left_semi")
-    return done
+    return reduce(DataFrame.unionByName, done)
 
 
 def chat_messages(turns: DataFrame, tools: dict | None = None) -> DataFrame:
