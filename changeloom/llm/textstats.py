@@ -108,7 +108,8 @@ def held_out(column: str = "doc_id"):
 def labelled_counts(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts and quality of at most ``most`` labelled documents that are not held out, those of least hash.
 
-    The bound keeps what goes through the driver small whatever the corpus; labels outside 0 and 1 are ignored.
+    The bound keeps what goes through the driver small whatever the corpus; labels outside 0 and 1 are ignored. Of documents that
+    repeat an id with other texts the one of the least counts is taken, whatever the partitioning.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
@@ -119,7 +120,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.n
     chosen = F.broadcast(spark.createDataFrame(rows, "doc_id long, quality int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS)])
-    found = with_counts(texts, lambda ids, c: [ids, *(pa.array(x) for x in c.T)], schema).dropDuplicates(["doc_id"]).toArrow()
+    found = with_counts(texts, lambda ids, c: [ids, *(pa.array(x) for x in c.T)], schema).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("least")).select("doc_id", "least.*").toArrow()
     c = np.column_stack([found[x].to_numpy() for x in COUNTS]) if found.num_rows else np.zeros((0, len(COUNTS)))
     place = {d: i for i, d in enumerate(found["doc_id"].to_pylist())}
     pairs = sorted((r.doc_id, r.quality) for r in rows if r.doc_id in place)
