@@ -21,18 +21,18 @@ from pyspark.sql import functions as F
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Buckets (three hexadecimal digits of an MD5), sizes of n-grams, passes, step and ridge of the training.
 BUCKETS, SIZES, PASSES, STEP, RIDGE = 4096, (3, 4), 200, 1.0, 0.002
-#: The labelled URLs: hosts and paths to block, and to allow.
-BLOCKED = """adult-x.example.com/en/1 adult-tube.example.org/video/2 www.adult-cam.test/free free-porn.test/hd/3 xxx-videos.test/fr/4.html
-sexy-chat.test/room/5 hot-xxx.example.org/es/6 spam-farm.example.com/en/7 spam-farm.test/?page=2 link-spam.test/seo/8 seo-farm.example.org/9
-content-farm.test/top10 casino-royal.test/bonus/10 online-casino.example.com/slots poker-win.test/bet/11 bet-now.test/odds lucky-slots.test/jackpot
-cheap-pills.test/viagra/12 viagra-shop.example.org/buy pharma-deal.test/cialis replica-watch.test/sale/13 free-money.test/win/14 win-prize.test/claim
+#: The labelled URLs: made-up hosts and paths to block, and to allow.
+BLOCKED = """adult-zone.test/en/1 adult-tube.test/video/2 www.adult-cam.test/free free-porn.test/hd/3 xxx-videos.test/fr/4.html
+sexy-chat.test/room/5 hot-xxx.test/es/6 spam-fields.test/en/7 spam-farm.test/?page=2 link-spam.test/seo/8 seo-farm.test/9
+content-farm.test/top10 casino-royal.test/bonus/10 online-casino.test/slots poker-win.test/bet/11 bet-now.test/odds lucky-slots.test/jackpot
+cheap-pills.test/viagra/12 viagra-shop.test/buy pharma-deal.test/cialis replica-watch.test/sale/13 free-money.test/win/14 win-prize.test/claim
 malware-drop.test/setup.exe phish-login.test/verify/15 secure-login-verify.test/account crack-keygen.test/download/16 warez-zone.test/torrent/17
 torrent-free.test/movie/18 click-bait.test/shock/19 ad-track.test/redirect/20 payday-loan.test/apply/21 escort-city.test/girls/22 nude-pics.test/gallery""".split()
-ALLOWED = """www.example.com/en/1 blog.example.org/post/2 m.example.com/fr/3.html docs.example.org/guide/4 wiki.example.com/page/5 news.example.com/es/6
-library.test/catalog/7 university.test/course/8 www.tionble.example.com/de/9 blog.thernt.example.org/en/10/ m.therat.example.com/en/11#top
-ththed.example.org/en/12?page=2 ththing.example.com/es/13 www.thorin.example.com/14.html blog.erthed.example.org/en/15 m.onhash.example.com/fr/16
+ALLOWED = """www.river.test/en/1 blog.quarry.test/post/2 m.valley.test/fr/3.html docs.timber.test/guide/4 wiki.pebble.test/page/5 news.summit.test/es/6
+library.test/catalog/7 university.test/course/8 www.meadow.test/de/9 blog.harbour.test/en/10/ m.lantern.test/en/11#top
+orchard.test/en/12?page=2 willow.test/es/13 www.granite.test/14.html blog.copper.test/en/15 m.saffron.test/fr/16
 city-council.test/minutes/17 museum.test/collection/18 weather.test/forecast/19 recipes.test/soup/20 garden-club.test/roses/21 school.test/pupils
-research-lab.test/paper/22 open-data.test/tables/23 history.test/articles/24 travel.test/routes/25 forum.example.org/thread/26 help.example.com/faq
+research-lab.test/paper/22 open-data.test/tables/23 history.test/articles/24 travel.test/routes/25 forum.cedar.test/thread/26 help.maple.test/faq
 journal.test/volume/27 music-school.test/lessons/28 maps.test/city/29 cinema.test/program/30 hospital.test/contact/31 bakery.test/bread/32""".split()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
