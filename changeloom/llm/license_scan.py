@@ -8,8 +8,10 @@ paragraphs and are not made of ``STOP`` words alone. Multinomial logistic regres
 (a licence statement of no known family) and ``none``. It is trained here, on sentences made from ``TEMPLATES`` and
 ``OTHERS`` by seeded changes of case, words and surroundings. A temperature, fitted on sentences that the training has not
 seen, calibrates the probabilities; a family whose probability stays below ``SURE`` becomes ``unknown``. A predicted family is
-confirmed if the paragraph holds at least ``ALIKE`` of the words of one of the family's templates; otherwise it too
-becomes ``unknown``. A line is also confirmed if its words and those of one of the family's ``HEADINGS`` agree, ``ALIKE`` of
+confirmed if the paragraph holds at least ``ALIKE`` of the words of one of the family's templates, in their order (all of them, if
+they are four or fewer); otherwise it too becomes ``unknown``. An unknown statement holds a word that speaks of licences (``SAID``); in
+a text with a statement of a known family it must also name a licence, else it is the rest of that family's text. A block in which no
+line or run is a statement is judged once more as a whole. A line is also confirmed if its words and those of one of the family's ``HEADINGS`` agree, ``ALIKE`` of
 both together; a line that is just a heading has its family, whatever the model says.
 
 Texts without any word of the features are ``none`` without further work, which is what the model gives them. Null and empty
@@ -67,9 +69,30 @@ HEADINGS = {
 }
 #: Statements of other licences, and sentences that only share words with licences.
 OTHERS = {
-    "unknown": ["Licensed under the {x} Public License, version {n}", "Released under the {x} License", "This work is licensed under the {x} license agreement", "Distributed under the terms of the {x} License version {n}", "SPDX-License-Identifier: {x}-{n}", "licensed under {x} {n}"],
-    "none": ["The driver lost a license last year", "Researchers at MIT published a study of {x}", "The general public was invited to the {x}", "Apache is a people and a helicopter", "The version {n} of the report is late", "He may obtain a copy of the {x} at the office", "The foundation gave free concerts in {n} towns", "use the software with care and read the {x}", "the source of the river is under the {x}", "a person may redistribute food to any other person", "the terms of the contract were {x}", "creative people work in common rooms", "permission to enter was granted at {n}", "The work was released in the year {n}", "public transport in {x} is under repair", "all rights of way on the {x} are reserved for walkers", "{x} {y} {x} and {y} of the {z}"],
+    "unknown": ["Licensed under the {x} Public License, version {n}", "Released under the {x} License", "This work is licensed under the {x} license agreement", "Distributed under the terms of the {x} License version {n}", "SPDX-License-Identifier: {x}-{n}", "licensed under {x} {n}",
+        "This software is provided as is, without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License {n} which is available at https://www.eclipse.org/legal",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License, version {n}, the license, which you accept by using it",
+        "Licensed under the European Union Public Licence, version {n}, you may not use this work except in compliance with the licence",
+        "This is free software; you can redistribute it and/or modify it under the same terms as {x} itself",
+        "This software is governed by the {x} license under {y} law and abiding by the rules of distribution of free software",
+        "This license governs use of the accompanying {y}. If you use the {y}, you accept this license",
+        "This {y} is made available under the {x} {z} License", "{x} {y} {z} License version {n}", "The license of {x} is copied below, with copyright by its authors", "It comes without any warranty, to the extent permitted by applicable law",
+        "In no event will the authors be held liable for any damages arising from the use of this software",
+        "Use of this source code is governed by the {x} license that can be found in the file",
+    ],
+    "none": ["The driver lost a license last year", "Researchers at MIT published a study of {x}", "The general public was invited to the {x}", "Apache is a people and a helicopter", "The version {n} of the report is late", "He may obtain a copy of the {x} at the office", "The foundation gave free concerts in {n} towns", "use the software with care and read the {x}", "the source of the river is under the {x}", "a person may redistribute food to any other person", "the terms of the contract were {x}", "creative people work in common rooms", "permission to enter was granted at {n}", "The work was released in the year {n}", "public transport in {x} is under repair", "all rights of way on the {x} are reserved for walkers", "{x} {y} {x} and {y} of the {z}",
+        "His {x} license expired last year", "The {x} sold a fishing license to the {y}", "The license of the {x} driver was renewed in {n} days", "License plates of the {x} are {y}", "A license fee is due in {x}", "{x} lost the license to the {y}",
+        "All rights reserved seats were taken", "The {x} tribe told version {n} of the story", "The public domain of the {x} is large", "It is available under the {x} bridge", "The terms of the {x} were made in public",
+        "Permission to use the {x} was granted by the mayor", "A software version {n} was distributed to the {x}", "The author has waived the fee for the {x}", "Parts of the {x} were reproduced with the permission of the {y}",
+        "She is subject to the terms of the {x} contract", "The foundation published version {n} of the {x} for the public", "No part of the {x} was sold", "They copy and modify the {x} without fee", "The conditions of the {x} are met in the source",
+        "The warranty of the {x} ended last year", "The {x} was released under the moon", "Attribution of the {x} to the painter is international work", "Commons and creative people met at the {x}",
+    ],
 }
+#: An unknown licence's statement holds one of these words; a work is put under a licence by a verb and one of two words.
+SAID = frozenset(b"license licence licensed licenced licensing sublicense copyright copyrighted warranty redistribute redistribution redistributed spdx unencumbered".split())
+VERBS, BELOW, LINKS = frozenset(b"licensed licenced released distributed available governed modify".split()), frozenset((b"under", b"by")), frozenset(b"the a an terms of this same license licence".split())
 STOP = frozenset(b"a an and any are as at be by either for from in is it may not of on or other that the this to under use was were with without work you".split())
 _TABLE = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 or c == 10 else 32 for c in range(256)).lower()
 FOUND = "doc_id long, line int, family string, probability double, similarity double"
@@ -80,6 +103,32 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
+def names_license(words: list[bytes]) -> bool:
+    """Whether words put a work under a licence that they name, rather than under "the License"."""
+    if b"spdx" in words:
+        return True
+    for i, w in enumerate(words[:-2]):
+        after = words[i + 2 : i + 8]
+        if w in VERBS and words[i + 1] in BELOW or w == b"it" and words[i + 1] in BELOW:
+            named = next((x for x in after if x not in LINKS), None)
+            if named and named not in STOP and not SAID.isdisjoint(after):
+                return True
+    return False
+
+
+def in_order(template: list[bytes], words: list[bytes]) -> float:
+    """The share of a template's words that a longest common subsequence with some words has: its words in its order."""
+    at = {w: 0 for w in template}
+    for i, w in enumerate(template):
+        at[w] |= 1 << i
+    full, row = (1 << len(template)) - 1, (1 << len(template)) - 1
+    for w in words:  # a bit for each word of the template, 0 where the subsequence grows
+        if m := at.get(w, 0):
+            u = row & m
+            row = (row + u | row - u) & full
+    return (len(template) - row.bit_count()) / max(len(template), 1)
+
+
 def grams(words: list[bytes]) -> list[bytes]:
     """The n-grams that are not made of stop words alone."""
     return [b" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1) if not STOP.issuperset(words[i : i + n])]
@@ -140,6 +189,7 @@ class Model:
         self.templates = {k: [frozenset(tokens(t.encode())) for t in v] for k, v in TEMPLATES.items()}
         self.headings = {k: [frozenset(tokens(t.encode())) for t in v] for k, v in HEADINGS.items()}
         self.lengths = {k: [len(tokens(t.encode())) for t in v] for k, v in TEMPLATES.items()}
+        self.sequences = {k: [tokens(t.encode()) for t in v] for k, v in TEMPLATES.items()}
 
     def encode(self, rows: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row and column of each feature, and the classes."""
@@ -187,10 +237,22 @@ class Model:
                         count[gone] -= 1
                         if not count[gone]:
                             del count[gone]
-                    if len(count) >= ALIKE * len(t) and line_of[hits[0]] != line_of[at]:
-                        out.append((len(count) / len(t), hits[0], at, family))
+                    if len(count) >= ALIKE * len(t) and line_of[hits[0]] != line_of[at] and (share := self.alike(family, words[hits[0] : at + 1])) >= ALIKE:
+                        out.append((share, hits[0], at, family))
         return out
 
+    def alike(self, family: str, words: list[bytes]) -> float:
+        """The greatest share of a template of the family that words hold, in its order; short templates count only as a whole."""
+        here, most = frozenset(words), 0.0
+        for t, sequence in zip(self.templates.get(family, []), self.sequences.get(family, []), strict=True):
+            share = len(t & here) / len(t)
+            if share >= ALIKE and share > most:
+                share = min(share, in_order(sequence, words))
+                most = max(most, share if len(sequence) > 4 or share == 1 else min(share, ALIKE / 2))
+            elif share < ALIKE:
+                most = max(most, min(share, ALIKE - 0.01))
+        return most
+
     def statement(self, words: list[bytes], q: np.ndarray) -> tuple[str, float, float, bool] | None:
         """(family, probability, similarity, whether a heading alone gave the family) of a paragraph with probabilities ``q``."""
         here = frozenset(words)
@@ -202,11 +264,13 @@ class Model:
         if q[-1] >= 0.5:
             return None
         best = self.classes[int(q[:-1].argmax())]
-        alike = max((len(t & here) / len(t) for t in self.templates.get(best, [])), default=0.0)
+        alike = self.alike(best, words)
         heading = alike < ALIKE and len(words) <= 12
         if heading:
             alike = max([alike, *(len(t & bare) / len(t | bare) for t in self.headings.get(best, []))])
         sure = best != "unknown" and q.max() >= SURE and alike >= ALIKE
+        if not sure and here.isdisjoint(SAID):
+            return None
         return best if sure else "unknown", float(q[:-1].max() if sure else 1 - q[-1]), float(alike), heading
 
     def over_lines(self, lines: list[list[bytes]], found: dict[tuple[int, int], tuple[str, float, float, bool]], first: int) -> None:
@@ -245,6 +309,12 @@ class Model:
             if not self.words.isdisjoint(rest) and (said := self.statement(rest, self.judge([rest])[0])):
                 found[line_of[left[0]], left[0] + 1] = said
 
+    def whole(self, lines: list[list[bytes]], found: dict[tuple[int, int], tuple[str, float, float, bool]], first: int) -> None:
+        """Judge a block, which begins at line ``first``, as one paragraph where nothing was found in it."""
+        words = [w for x in lines for w in x]
+        if not SAID.isdisjoint(words) and not any(first <= i < first + len(lines) for i, _ in found) and (said := self.statement(words, self.judge([words])[0])):
+            found[first, 0] = said
+
     def scan(self, text: bytes) -> list[tuple[int, str, float, float]]:
         """(line, family, probability, similarity) of the licence statements of a text, in order."""
         lines = [x.split() for x in text.translate(_TABLE).split(b"\n")]
@@ -263,6 +333,9 @@ class Model:
                 stop += 1
             if stop - first > 1:
                 self.over_lines(lines[first:stop], found, first)
+                self.whole(lines[first:stop], found, first)
+        if any(x[0] != "unknown" for x in found.values()):  # the rest of a known text
+            found = {k: x for k, x in found.items() if x[0] != "unknown" or names_license(lines[k[0]] + [w for y in lines[k[0] + 1 : k[0] + 2] for w in y])}
         return [(i, *found[i, at][:3]) for i, at in sorted(found)]
 
 

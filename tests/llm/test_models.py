@@ -186,6 +186,63 @@ TURNS = [
 ]
 
 
+#: Notices of licences that the training doesn't have.
+FURTHER = [
+    "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at\nhttps://www.boost.org/LICENSE_1_0.txt)", "This is free software; you can redistribute it and/or modify it under\nthe terms of the Artistic License 2.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.\nThis license is copied below, and is also available with a FAQ at:", "This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software.",
+    "This data is made available under the Open Database License: http://opendatacommons.org/licenses/odbl/1.0/.", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2", "Licensed under the Universal Permissive License v 1.0 as shown at https://oss.oracle.com/licenses/upl.",
+    "# This software is governed by the CeCILL license under French law and\n# abiding by the rules of distribution of free software.", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.",
+    "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", "This is free and unencumbered software released into the public domain.",
+]
+PROSE = ["All rights reserved seats were taken.", "The apache tribe version 2.0 of the story.", "Her license expired in {}.", "The {} public was not amused by the GNU in the zoo.", "They granted permission to cross the {} bridge.", "MIT students met at the {} fair.", "The source of the {} river is protected by law.", "He released the {} bird under an open sky.", "The terms of the {} deal stayed secret.", "A {} foundation gave its software away.", "Copies of the {} map were distributed by hand.", "The author of the {} novel kept the rights to the film.", "Version 2 of the {} plan was available at noon.", "Creative people and the commons of the {} village.", "Without any warning the {} storm arrived.", "You may use the {} garden with care.", "The work was done under the {} roof.", "The {} report was published by the general.", "A mozilla is no animal of the {} forest.", "Fees of the {} school were waived."]
+
+
+def test_notices_of_further_licences_and_prose():
+    scan = L.model().scan
+    for text in FURTHER:
+        assert {x[1] for x in scan(text.encode())} == {"unknown"}, text
+    rng = random.Random(4)
+    words = "old green northern quiet royal famous little broken hidden modern".split()
+    prose = [rng.choice(PROSE).format(rng.choice(words)) for _ in range(200)]
+    assert [t for t in prose if scan(t.encode())] == []
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    for text in (apache, "\n".join("# " + x for x in apache.split("\n"))):
+        assert {x[1] for x in scan(text.encode())} == {"Apache-2.0"}
+    both = apache + "\n\nThe fonts are licensed under the SIL Open Font License, Version 1.1."
+    assert {x[1] for x in scan(both.encode())} == {"Apache-2.0", "unknown"}
+
+
+def test_runs_against_all_windows():
+    """Runs over lines against a search of every window of a block."""
+    m, rng = L.model(), random.Random(8)
+    every = [(f, s) for f, all_ in m.sequences.items() for s in all_ if len(s) > 6]
+    for _ in range(40):
+        family, words = rng.choice(every)
+        words = [w for w in words if rng.random() > 0.1]
+        flat = [b"zz"] * rng.randrange(4) + words + [b"yy"] * rng.randrange(4)
+        cuts = sorted(rng.sample(range(1, len(flat)), min(3, len(flat) - 1)))
+        lines = [flat[a:b] for a, b in zip([0, *cuts], [*cuts, len(flat)], strict=True)]
+        line_of = [i for i, x in enumerate(lines) for _ in x]
+        best = max((m.alike(family, flat[a:b]) for a in range(len(flat)) for b in range(a + 1, len(flat) + 1) if line_of[a] != line_of[b - 1]), default=0.0)
+        found = max((x[0] for x in m.runs(lines) if x[3] == family), default=0.0)
+        assert found <= best + 1e-9 and (found >= L.ALIKE or best < L.ALIKE + 0.1), (family, flat)
+
+
+def test_words_in_order():
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randrange(1, 9))] for _ in range(2))
+        assert L.in_order(a, b) == longest(a, b) / len(a)
+
+
 def test_labelled_counts_of_repeated_ids(spark):
     """Which of the texts of an id trains doesn't depend on how rows are spread."""
     from changeloom.llm import textstats as T
