@@ -304,3 +304,45 @@ def test_files_at_commits(spark, tmp_path):
     assert remote.definitions_at(spark, f"file://{tmp_path}", commits.limit(0)).collect() == []
     with pytest.raises(Exception, match="can't be read"):
         remote.definitions_at(spark, str(tmp_path), spark.createDataFrame([("o/r", "--help")], "repo string, head_sha string")).collect()
+
+
+def test_rules_and_repos_of_a_config(spark, tmp_path):
+    from changeloom.operators import security as Z
+
+    config = {"network_rules": [{"id": r.id, "name": r.name, "severity": r.severity, "patterns": list(r.patterns), "allowed_domains": list(r.allowed)} for r in Z.RULES if r.category == "network"], "own_rules": [{"id": "OWN1", "severity": "WARNING", "patterns": ["sudo"]}], "other": 1}
+    (tmp_path / "rules.yaml").write_text(json.dumps(config))
+    rules = io.rules_from(io.read_yaml(str(tmp_path / "rules.yaml")))
+    assert [(r.id, r.category) for r in rules] == [(r.id, "network") for r in Z.RULES if r.category == "network"] + [("OWN1", "own")]
+    assert rules[:2] == tuple(r for r in Z.RULES if r.category == "network")
+    lines = spark.createDataFrame([(1, "wget x"), (2, "sudo y"), (3, "plain")], "id int, content string")
+    assert {(r.id, r.rule, r.category) for r in Z.scan(lines, rules).collect()} == {(1, "NET001", "network"), (2, "OWN1", "own")}
+
+
+def test_lines_are_added_and_searched_for(spark, tmp_path, capsys):
+    path = str(tmp_path / "lines")
+    for n in (1, 2):
+        io.append_jsonl(spark.createDataFrame([(n, "é")], "a long, b string"), path)
+    assert sorted(tuple(r)[:2] for r in io.read_jsonl(spark, path, "a long, b string").collect()) == [(1, "é"), (2, "é")]
+    assert io.search_query("agents in:path", 20, 5) == "agents in:path stars:>=20 forks:>=5"
+    io.listing(spark.createDataFrame([("x" * 60,)], "c string"))
+    assert "x" * 60 in capsys.readouterr().out
+
+
+def test_variants_of_a_folder(spark, tmp_path):
+    for name, text in (("a", '{"k": [1, {"z": "é"}]}'), ("b", "no json"), ("c", "[]"), ("manifest", "{}")):
+        (tmp_path / f"{name}.json").write_text(text)
+    found = io.read_variants(spark, str(tmp_path)).select("stem", F.try_variant_get("value", "$.k[1].z", "string").alias("z"), F.col("value").isNull().alias("none")).collect()
+    assert {tuple(r) for r in found} == {("a", "é", False), ("b", None, True), ("c", None, False)}
+    assert io.read_variants(spark, str(tmp_path / "gone")).count() == 0
+
+
+def test_time_matrix_and_blind_messages(spark):
+    from datetime import datetime, timezone
+
+    from changeloom.operators import clean as C
+    from changeloom.operators import features as T
+
+    said = spark.range(1).select(C.utc_now().alias("t")).first().t
+    assert abs((datetime.now(timezone.utc) - datetime.fromisoformat(said)).total_seconds()) < 120 and said.endswith("+00:00") and "." not in said
+    blind = T.message_inputs(spark.createDataFrame([("1", ["m"], ["truth"])], "modification_id string, msg array<string>, gt_labels array<string>"))
+    assert blind.columns == ["modification_id", "msg"]
