@@ -14,7 +14,7 @@ from ..sources.tables import dropped, new_path, remove_at_end, shared_dir, writt
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of an Arrow batch at most, on either side of a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def tidy() -> None:

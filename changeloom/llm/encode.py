@@ -31,9 +31,9 @@ _ODD = (b"\0", b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b
 #: Where a long text may be cut for any tokenizer that is cut at all: before the space.
 _BETWEEN = re.compile(rb"[A-Za-z0-9](?= [A-Za-z0-9])")
 #: Pieces that a worker keeps at most, and the longest piece that it keeps, in bytes. About 40 bytes a piece.
-KEEP, LONGEST = 1_000_000, 48
+KEEP, LONGEST = 250_000, 48
 #: Bytes of text that are encoded together; a longer text is cut, where it has a space between words.
-GROUP = 4 << 20
+GROUP = 2 << 20
 #: Pieces that go to the library as one string.
 JOINED = 500
 #: Bytes of text of a run on average, the number of runs at most, and marks that are drawn for each run.
