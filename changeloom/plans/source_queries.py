@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import audit as U
+from ..operators import features as T
 from ..operators import metrics as M
 from ..operators.numbering import running
 from ..sources import comparisons, io, versions
@@ -115,3 +117,46 @@ def batch_status(spark, sf):
 
 
 SQL["batch_status"] = "select source, count(*) as total, count(l.doc_id) as done, ceil((count(*) - count(l.doc_id)) / 7.0)::bigint as left from documents d left join (select distinct doc_id from labels) l using (doc_id) group by 1"
+
+
+@query
+def blind_messages(spark, sf):
+    """Labelled documents as what an annotator may see of them: id and messages, no label."""
+    both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    instances = both.select(F.col("doc_id").cast("string").alias("modification_id"), F.array("text", "lang").alias("msg"), F.array(F.col("quality").cast("string")).alias("gt_labels"))
+    return T.message_inputs(instances).select("modification_id", F.md5(F.array_join("msg", "|")).alias("h"))
+
+
+SQL["blind_messages"] = "select doc_id::varchar as modification_id, md5(text || '|' || lang) as h from documents join labels using (doc_id)"
+
+
+@query
+def type_matrix(spark, sf):
+    """Parts of every brand by type, a column for each type, as a heat map needs them."""
+    counts = table(spark, sf, "part").groupBy("p_brand", F.translate("p_type", " ", "_").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    out = T.matrix(counts, "p_brand", "t", "n")
+    row = F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in sorted(out.columns) if c != "p_brand"])
+    return out.select("p_brand", F.to_json(row).alias("row"))
+
+
+SQL["type_matrix"] = """with t as (select distinct replace(p_type, ' ', '_') as t from part), b as (select distinct p_brand from part),
+c as (select p_brand, replace(p_type, ' ', '_') as t, count(*) as n from part group by 1, 2)
+select p_brand, '{' || string_agg('"' || t || '":' || coalesce(n, 0), ',' order by t) || '}' as row from b cross join t left join c using (p_brand, t) group by 1"""
+
+
+@query
+def rendered_labels(spark, sf):
+    """Labels of documents as Markdown: one or two with evidence, some of low confidence, or none, with a rationale or without."""
+    d = F.col("doc_id")
+    proof = F.array(F.struct(F.lit("patch").alias("type"), F.concat(F.lit(" "), F.col("source"), F.lit(" ")).alias("summary"), F.when(d % 3 == 0, F.concat(F.col("lang"), F.lit(".md"))).alias("file")))
+    label = lambda name, level: F.struct(F.lit(name).alias("name"), level.alias("confidence"), proof.alias("evidence"))
+    level = F.when(F.col("toxic") == 1, "low").otherwise("high")
+    labels = F.when(d % 4 == 0, F.array().cast("array<struct<name:string,confidence:string,evidence:array<struct<type:string,summary:string,file:string>>>>")).when(F.col("quality") == 1, F.array(label("good", level))).otherwise(F.array(label("bad", level), label("short", F.lit("high"))))
+    both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return both.select("doc_id", U.render_labels(labels, F.when(d % 2 == 0, F.col("lang")), F.lit("sufficient"), d % 5 == 0).alias("text"))
+
+
+SQL["rendered_labels"] = """with x as (select *, case when toxic = 1 then '**low** ⚠️ LOW' else '**high**' end as level, chr(10) || chr(10) as nn,
+chr(10) || chr(10) || '- ' || source || case when doc_id % 3 = 0 then chr(10) || '  ↳ `' || lang || '.md`' else '' end as proof from documents join labels using (doc_id))
+select doc_id, '## Model prediction' || chr(10) || nn || case when doc_id % 4 = 0 then '_(no labels assigned)_' when quality = 1 then '### `good` — confidence: ' || level || proof else '### `bad` — confidence: ' || level || proof || nn || '### `short` — confidence: **high**' || proof end
+|| case when doc_id % 2 = 0 then nn || chr(10) || '## Rationale' || nn || lang else '' end || nn || chr(10) || '---' || chr(10) || '_patch_sufficiency: sufficient · uninformative_commit_messages: ' || case when doc_id % 5 = 0 then 'True' else 'False' end || '_' as text from x"""
