@@ -66,7 +66,7 @@ def test_long_texts_in_proportion(spark):
         df = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff and some more words.\n"), n).alias("text"))
         began = time.perf_counter()
         row = S.scan(df).select(F.size("found").alias("n"), F.element_at("found", -1).alias("last")).first()
-        assert row.n == 3 * n and row["last"]["end"] == 69 * (n - 1) + 48
+        assert row.n == 3 * n and row["last"]["end"] == 70 * (n - 1) + 48
         return time.perf_counter() - began
 
     seconds(100)
