@@ -45,6 +45,13 @@ SECRETS = (
     (r"(?iU)\b(api[_-]?key|token|secret|password)\s*[:=]\s*['\"]?[^'\"\s,;}]+", "$1=<REDACTED>"),
 )
 LOCAL_PATHS = (r"(?U)/Users/[^/\s]+", r"(?U)/home/[^/\s]+", r"(?iU)\b[A-Z]:\\Users\\[^\\\s]+")
+# A key and its value in a line of code, and what stands for it if the key names a secret; bearer tokens.
+SNIPPETS = (
+    (r"(?iU)(['\"])KEY\1\s*:\s*(['\"])[^'\"]+\3", "$1$2$1: $3<redacted>$3"),
+    (r"(?iU)\bKEY\b\s*=\s*(['\"])[^'\"]+\2", "$1=$2<redacted>$2"),
+    (r"(?iU)\bKEY\b\s*=\s*(?!['\"])[^\s;&]+", "$1=<redacted>"),
+)
+BEARER = (r"(?iU)(Bearer\s+)[A-Za-z0-9._~+/=-]+", "$1<redacted>")
 #: A text without any of these, in lower case, has no match.
 HOLDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "key", "token", "secret", "password", "/users/", "/home/", "users\\")
 # Branch names and messages of rows that only follow their upstream.
@@ -148,10 +155,9 @@ def _redact_keyed(c: Column, pattern: str, by: str) -> Column:
 
 def redact_snippet(c: Column) -> Column:
     """Line of code without the values given to keys that name a secret, and without bearer tokens."""
-    c = _redact_keyed(c, rf"(?iU)(['\"]){_NAME}\1\s*:\s*(['\"])[^'\"]+\3", "$1$2$1: $3<redacted>$3")
-    c = _redact_keyed(c, rf"(?iU)\b{_NAME}\b\s*=\s*(['\"])[^'\"]+\2", "$1=$2<redacted>$2")
-    c = _redact_keyed(c, rf"(?iU)\b{_NAME}\b\s*=\s*(?!['\"])[^\s;&]+", "$1=<redacted>")
-    return F.regexp_replace(c, r"(?iU)(Bearer\s+)[A-Za-z0-9._~+/=-]+", "$1<redacted>")
+    for pattern, by in SNIPPETS:
+        c = _redact_keyed(c, pattern.replace("KEY", _NAME), by)
+    return F.regexp_replace(c, *BEARER)
 
 
 def label_list(c: Column) -> Column:
