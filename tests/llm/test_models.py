@@ -243,6 +243,51 @@ def test_words_in_order():
         assert L.in_order(a, b) == longest(a, b) / len(a)
 
 
+def test_trees_against_a_walk():
+    """The flat arrays against a walk from node to node, and the bounds of the monotone features."""
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 400, size=(300, len(R.COUNTS)))
+    names, x = R.features(counts)
+    labels = (x[:, 0] + rng.normal(size=300) * x[:, 0].std() > np.median(x[:, 0])).astype(float)
+    trees = R.fit(counts, labels)
+
+    def walk(t, row):
+        at = 0
+        while trees.left[t, at] != at:
+            at = trees.left[t, at] if row[trees.feature[t, at]] <= trees.threshold[t, at] else trees.right[t, at]
+        return trees.value[t, at]
+
+    plain = [trees.base + sum(walk(t, row) for t in range(len(trees.value))) for row in x]
+    assert np.allclose(trees.margin(x), plain)
+    assert len({round(v, 6) for v in plain}) > 20
+    for name, sign in R.MONOTONE.items():
+        k = names.index(name)
+        if sign:
+            low, high = x.copy(), x.copy()
+            high[:, k] += abs(x[:, k]).max()
+            assert (sign * (trees.margin(high) - trees.margin(low)) >= -1e-9).all(), name
+
+
+def test_url_weights_against_plain_descent():
+    """The trained weights against dense gradient descent over the same table."""
+    rows, labels = [], []
+    for label, urls in ((1, U.BLOCKED), (0, U.ALLOWED)):
+        for url in urls:
+            host, slash, path = url.split("?")[0].split("#")[0].partition("/")
+            row = np.zeros(U.BUCKETS)
+            for g in U.grams(host, slash + path):
+                row[U.bucket(g)] += 1
+            rows.append(row / np.sqrt(row.sum()))
+            labels.append(label)
+    x, y, w, b = np.array(rows), np.array(labels), np.zeros(U.BUCKETS), 0.0
+    for _ in range(U.PASSES):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        b, w = b - U.STEP * error.mean(), w * (1 - U.RIDGE) - U.STEP * (x.T @ error) / np.sqrt(len(y))
+    found, bias = U.weights()
+    assert np.allclose(found, w, atol=2e-6) and abs(bias - b) < 2e-6
+    assert ((x @ w + b > 0) == y).all()
+
+
 def test_labelled_counts_of_repeated_ids(spark):
     """Which of the texts of an id trains doesn't depend on how rows are spread."""
     from changeloom.llm import textstats as T
