@@ -307,17 +307,17 @@ def runs_of(ids: pa.Array, hashes: pa.Array, starts: Runs) -> np.ndarray:
 ENCODED = "part int, run int, doc_id long, hash long, ids binary"
 
 
-def encoded_runs(docs: DataFrame, tokenizer: str, end_id: int, target: int = RUN_BYTES) -> DataFrame:
+def encoded_runs(docs: DataFrame, tokenizer: str, end_id: int, target: int = RUN_BYTES, part: int = PART_BYTES) -> DataFrame:
     """``ENCODED``: the packed ids of every text with ``end_id`` after them. A partition is a range of runs, and in order of id.
 
     Texts are encoded where they are read; only ids, two bytes each for most vocabularies, are shuffled. If fewer splits hold rows
     than there are cores, rows are spread first: then a table is small, or badly cut. Partitions are as many as their size asks
-    for (``PART_BYTES`` of text), or the cores, but no more than there are runs; what a run holds doesn't depend on that. Rows
+    for (``part`` bytes of text), or the cores, but no more than there are runs; what a run holds doesn't depend on that. Rows
     with equal ids are in the order of a hash of their text, rows without one come first.
     """
     starts = run_starts(docs, target)
     cores, runs = docs.sparkSession.sparkContext.defaultParallelism, len(starts.ids) + 1
-    parts = min(runs, max(-(-starts.size // PART_BYTES), 2 * cores))
+    parts = min(runs, max(-(-starts.size // part), 2 * cores))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)

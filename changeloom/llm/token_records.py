@@ -11,8 +11,8 @@ index is a Parquet table (doc_id, shard, offset, n_bytes, n_tokens, start, ids_c
 themselves; a reader that shuffles takes offsets from it and reads single frames.
 
 Spark's own writer commits the shards, so they can lie in any file system that Spark knows, and a lost executor
-leaves no half shard. A shard holds a range of runs (``encode.encoded_runs``), the ids of some 256 MB of text, more where the text
-would make more than 200,000 shards; a small table is cut for the cores at hand. A reader holds one shard at a time.
+leaves no half shard. A shard holds a range of runs (``encode.encoded_runs``), the ids of some 32 MB of text, more where the text
+would make more than 200,000 shards (from 6 TB of text on); a small table is cut for the cores at hand. A reader holds one shard at a time.
 
 Null text counts as empty (its record is the end id alone); a null id is kept, flagged, and sorts first; of equal ids the one whose
 text has the lesser hash comes first; repeated rows give one record each; a text of any length is one record, of 2 GB at
@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_arrow, new_path, remove_at_end
-from .encode import encoded_runs, encoder
+from .encode import RUN_BYTES, encoded_runs, encoder
 
 HEAD, TAIL, META = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<Bq")
 END = b"\n"
+#: Bytes of text whose ids a shard holds, about: readers hold a shard as one row, in both processes.
+SHARD_BYTES = 32 << 20
 INDEX = "shard int, path string, doc_id long, offset long, n_bytes long, n_tokens long, start_in_shard long, ids_crc32 long"
 
 
@@ -80,7 +82,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -
             out = [frame(doc_id, ids.as_py(), code) for doc_id, ids in zip(b["doc_id"].to_pylist(), b["ids"], strict=True)]
             yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    framed = in_arrow(encoded_runs(docs, tokenizer, end_id).select("doc_id", "ids"), to_frames, "value binary")
+    framed = in_arrow(encoded_runs(docs, tokenizer, end_id, RUN_BYTES, SHARD_BYTES).select("doc_id", "ids"), to_frames, "value binary")
     # The text writer puts a row's bytes down as they are and ends each with the frame's last byte.
     framed.select(F.col("value").cast("string")).write.option("lineSep", END.decode()).option("compression", "none").text(path)
 
