@@ -5,16 +5,13 @@ Rows have the columns of ``schemas.DIFFS``; ``row_no`` carries the order of the
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..functions import text as X
-from ..sources.tables import written
+from .containment import maximal_keys
 
 
 def is_active(created: Column, pushed: Column) -> Column:
@@ -164,58 +161,12 @@ def clean_commits(commits: Column) -> Column:
     return F.filter(trimmed, lambda c: X.maintenance_class(c["message"]).isNull() & (c["message"] != ""))
 
 
-def _held(sets: DataFrame, hot: int) -> DataFrame:
-    """(r) of the sets (g, r, n, items) whose items another, larger set of the same ``g`` holds too.
+def maximal_sets(rows: DataFrame, group: list[str], items: str, first: Column, order: str = "row_no", hot: int = 500_000) -> DataFrame:
+    """Rows whose set of ``items`` is not inside another row's set of the same group, by ``maximal_keys``.
 
-    A set meets only those that hold its rarest item; an item of more than ``hot`` sets is dealt out to as many salts as it takes.
-    A set of one item needs no meeting, and one whose rarest item is in no larger set meets nobody. Pairs are told apart by size
-    and by a signature of 256 bits before any item is compared; then each set is compared with the largest that may hold it, and
-    those that are not held there with all that may.
-    """
-    bit = lambda x: F.xxhash64(x)
-    word = lambda k: F.aggregate("items", F.lit(0).cast("long"), lambda a, x: F.when(bit(x).bitwiseAND(192) == 64 * k, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(x).bitwiseAND(63).cast("int")))).otherwise(a))
-    words = [f"w{k}" for k in range(4)]
-    signed = written(sets.where("n > 0").select("g", "r", "n", "items", *[word(k).alias(w) for k, w in enumerate(words)]), "sets")
-    long = signed.select("g", "r", "n", *words, F.explode("items").alias("x"))
-    counts = written(long.groupBy("g", "x").agg(F.count(F.lit(1)).alias("f"), F.max("n").alias("top")), "counts")
-    least = F.min(F.struct("f", "x", "top")).alias("rare")
-    rare = long.select("g", "r", "n", *words, "x").join(counts, ["g", "x"]).groupBy("g", "r").agg(least, F.any_value("n").alias("n"), *[F.any_value(w).alias(w) for w in words])
-    rare = written(rare.select("g", "r", "n", *words, "rare.*").where("top > n"), "probes")
-    alone, probes = rare.where("n = 1").select("r"), rare.where("n > 1")
-    salts = F.ceil(F.col("f") / hot).cast("int")
-    needed = written(probes.select("g", "x", salts.alias("salts")).distinct(), "needed")
-    postings = long.join(needed, ["g", "x"]).select("g", "x", F.pmod(F.xxhash64("r"), "salts").cast("int").alias("salt"), F.col("r").alias("s"), F.col("n").alias("m"), *[F.col(w).alias(f"o{w}") for w in words])
-
-    def may(probing: DataFrame) -> DataFrame:
-        each = probing.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        inside = reduce(and_, [F.col(w).bitwiseAND(F.bitwise_not(F.col(f"o{w}"))) == 0 for w in words])
-        return each.join(postings, ["g", "x", "salt"]).where((F.col("m") > F.col("n")) & inside)
-
-    def held(pairs: DataFrame) -> DataFrame:
-        mine, other = (signed.select(F.col("r").alias(c), F.col("items").alias(f"items_{c}")) for c in "rs")
-        both = written(pairs.select("r", "s"), "pairs").join(mine, "r").join(other, "s")
-        return both.where(F.size(F.array_except("items_r", "items_s")) == 0).select("r").distinct()
-
-    found = written(held(may(probes).groupBy("r").agg(F.max_by("s", "m").alias("s"))), "held")
-    again = held(may(probes.join(found, "r", "left_anti")))
-    return alone.unionByName(found).unionByName(again)
-
-
-def maximal_sets(rows: DataFrame, group: list[str], items: str, first: Column, order: str = "row_no", hot: int = 1000) -> DataFrame:
-    """Rows whose set of ``items`` is not inside another row's set of the same group; null is a group's value like any other.
-
-    Of equal sets the row with the greatest ``first`` stays, then the least ``order``, which tells rows apart. A row without items goes
-    if its group has any row with some, or an earlier one without. Equal sets are united first, so copies don't multiply; how
-    others meet, and what ``hot`` is, ``_held`` says.
+    Rows are read twice; where group and order are all that is asked for, ``maximal_keys`` reads them once.
     """
-    key = F.md5(F.to_json(F.struct(*group), {"ignoreNullFields": "false"}))
-    base = rows.select(key.alias("g"), F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))).alias("items"), F.struct((~first).alias("a"), F.col(order).alias("b")).alias("o"))
-    sets = base.groupBy("g", "items").agg(F.min("o").alias("best"))
-    sets = written(sets.select("g", F.col("best.b").alias("r"), F.size("items").alias("n"), "items"), "united")
-    some = sets.where("n > 0").select("g").distinct()
-    empty = sets.where("n = 0").join(some, "g", "left_anti").select("r")
-    kept = sets.where("n > 0").select("r").join(_held(sets, hot), "r", "left_anti").unionByName(empty)
-    return rows.join(kept.withColumnRenamed("r", order), order, "left_semi")
+    return rows.join(maximal_keys(rows, group, items, first, order, hot).select(order), order, "left_semi")
 
 
 def dedup_branches(diffs: DataFrame) -> DataFrame:

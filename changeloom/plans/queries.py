@@ -242,8 +242,13 @@ def first_wins_dedup(spark, sf):
 @query
 def subset_dedup(spark, sf):
     """Orders of a customer whose set of brands no other of their orders holds."""
-    rows = instances(spark, sf).select(F.col("id").alias("row_no"), "upstream", "skills").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_no"), "o_orderstatus"), "row_no")
-    return C.maximal_sets(rows, ["upstream"], "skills", F.col("o_orderstatus") == "O").select(F.col("row_no").alias("id"), "upstream")
+    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    supplier = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    items = table(spark, sf, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    items = items.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")
+    items = items.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = items.groupBy(F.col("o_orderkey").alias("row_no"), F.col("o_custkey").alias("upstream"), "o_orderstatus").agg(F.collect_set("p_brand").alias("skills"))
+    return C.maximal_keys(rows, ["upstream"], "skills", F.col("o_orderstatus") == "O").select(F.col("row_no").alias("id"), "upstream")
 
 
 @query

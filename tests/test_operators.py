@@ -98,6 +98,31 @@ def test_maximal_sets_of_no_rows(spark):
     assert C.maximal_sets(df, ["u"], "s", F.col("d")).collect() == []
 
 
+def outdone(rows):
+    """Ids of the rows (id, group, first, set) to keep, by comparing all pairs of a group."""
+    groups = defaultdict(list)
+    for i, g, d, s in rows:
+        groups[g].append((frozenset(s), not d, i))
+    return sorted(i for sets in groups.values() for s, d, i in sets if not any(s < t or s == t and (e, j) < (d, i) for t, e, j in sets))
+
+
+def test_maximal_keys_reads_rows_once(spark):
+    read, rng = spark.sparkContext.accumulator(0), random.Random(5)
+    rows = [(i, i % 40, rng.random() < 0.3, sorted({f"x{rng.randrange(9)}" for _ in range(rng.randrange(6))})) for i in range(400)]
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "row_no long, u long, d boolean, s array<string>")
+    for hot in (20, 500_000):
+        before = read.value
+        found = C.maximal_keys(df.mapInArrow(counted, df.schema), ["u"], "s", F.col("d"), hot=hot).collect()
+        assert sorted(r.row_no for r in found) == outdone(rows) and all(r.u == r.row_no % 40 for r in found)
+        assert read.value - before == len(rows)
+
+
 def test_prevalence_and_bundles_of_a_large_vocabulary(spark):
     rng = random.Random(9)
     names = [f"c{i:02}" for i in range(90)]
