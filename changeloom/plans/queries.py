@@ -257,7 +257,7 @@ def subset_dedup_hot(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_no"), F.concat(F.lit("p"), (F.col("l_partkey") % 400).cast("string")).alias("part"))
     sets = lines.groupBy("row_no").agg(F.concat(F.collect_set("part"), F.array(F.lit("everywhere"))).alias("parts"))
     orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("row_no"), F.col("c_nationkey").alias("nation"), "o_orderstatus")
-    return C.maximal_sets(sets.join(orders, "row_no"), ["nation"], "parts", F.col("o_orderstatus") == "O").select(F.col("row_no").alias("id"), "nation")
+    return C.maximal_keys(sets.join(orders, "row_no"), ["nation"], "parts", F.col("o_orderstatus") == "O").select(F.col("row_no").alias("id"), "nation")
 
 
 @query

@@ -9,11 +9,14 @@ from collections import Counter, defaultdict
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from changeloom import schemas
 from changeloom.operators import clean as C
+from changeloom.operators import containment as K
 from changeloom.operators import labels as L
 from changeloom.operators import metrics as M
 from changeloom.operators import sampling as S
@@ -123,6 +126,36 @@ def test_maximal_keys_reads_rows_once(spark):
         assert read.value - before == len(rows)
 
 
+@pytest.mark.parametrize("hot", [40, 700, 500_000])
+def test_maximal_sets_of_large_groups_without_pairs(spark, hot):
+    rng = random.Random(hot)
+    rows = [(i, rng.choice([None, 1, 2]), rng.random() < 0.3, ["everywhere", *{f"x{int(rng.random() ** 2 * 30)}" for _ in range(rng.randrange(8))}]) for i in range(1500)]
+    rows += [(2000 + i, 3, False, [f"y{j:04}" for j in range(i)]) for i in (0, 1, 2, 1100, 1101, 1102)]  # a chain of long sets
+    df = spark.createDataFrame(rows, "row_no long, u int, d boolean, s array<string>").repartition(3)
+    assert sorted(r.row_no for r in C.maximal_keys(df, ["u"], "s", F.col("d"), hot=hot).collect()) == outdone(rows)
+
+
+def test_units_are_compared_in_bounded_steps(monkeypatch):
+    """Rows of a unit come in many batches, and steps are few: they grow with the sets, not with their pairs."""
+    rng, found = random.Random(4), {}
+    monkeypatch.setattr(K, "ROWS", 64)
+    monkeypatch.setattr(K, "STEPS", 50)
+    rows = [(i, i % 3, False, sorted({f"x{rng.randrange(12):02}" for _ in range(rng.randrange(7))})) for i in range(500)]
+    kind = pa.schema([("u", pa.int64()), ("g", pa.struct([("k", pa.int64())])), ("items", pa.list_(pa.string())), ("n", pa.int32()), ("probe", pa.bool_()), ("a", pa.int32()), ("b", pa.int64())])
+    table = pa.Table.from_pylist([{"u": g, "g": {"k": g}, "items": s, "n": len(s), "probe": True, "a": 1, "b": i} for i, g, _, s in sorted(rows, key=lambda r: r[1])], kind)
+    assert sorted(b for x in K._compared(iter(table.to_batches(max_chunksize=17))) for b in x["b"].to_pylist()) == outdone(rows)
+
+    monkeypatch.undo()
+    for n in (4000, 8000):
+        steps, step = [], K._Tries._next
+        monkeypatch.setattr(K._Tries, "_next", lambda self, *a, step=step, steps=steps: steps.append(int(np.minimum(a[4], a[5]).sum())) or step(self, *a))
+        many = [{"u": 0, "g": {"k": 0}, "items": s, "n": len(s), "probe": True, "a": 1, "b": i} for i in range(n) if (s := sorted({f"x{rng.randrange(200):03}" for _ in range(rng.randrange(1, 8))}))]
+        list(K._compared(iter(pa.Table.from_pylist(many, kind).to_batches())))
+        found[n] = sum(steps)
+        monkeypatch.undo()
+    assert found[8000] < 2.5 * found[4000] and found[8000] < 8000**2 / 100
+
+
 def test_prevalence_and_bundles_of_a_large_vocabulary(spark):
     rng = random.Random(9)
     names = [f"c{i:02}" for i in range(90)]
